@@ -2,7 +2,8 @@
 
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled documents. A text, lower-cased and
 reduced to letters and single spaces, is compressed with each dictionary in chunks of a few kilobytes, whole text, and the
-language with the smallest total wins; ties go to the language first in the alphabet. A text is rejected if the second
+language with the smallest total wins; ties go to the language first in the alphabet. Texts of up to `FINE` bytes get a
+slower, closer search for matches, since in them a few bytes decide. A text is rejected if the second
 smallest total is nearer than `margin` of the smallest. Null texts and texts without a letter are `und`, score 0, rejected.
 
 Learning takes at most about `docs_per_language` rows of a language, chosen by a hash of the id, and `dictionary_bytes` of
@@ -12,6 +13,7 @@ them. Rows with a null language teach nothing.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +25,16 @@ from docfields.llm.common import batch_of, fold, rows_of, table
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-CHUNK = 4096
+CHUNK, FINE = 4096, 1200
+#: (level, bytes of the dictionary) of long and of short texts.
+LONG, SHORT = (6, 256 * 1024), (12, 96 * 1024)
 
 
 def letters(text: str) -> str:
     return NOT_LETTERS.sub(" ", text).strip().lower()
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 120, dictionary_bytes: int = 96 * 1024) -> dict[str, bytes]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, dictionary_bytes: int = 256 * 1024) -> dict[str, bytes]:
     """Raw dictionary content of each language. Two passes: counts of each language, then the sampled rows alone."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r.n for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
@@ -44,22 +48,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = some.select(lang_col, id_col, text_col).limit(2 * docs_per_language * len(counts)).collect()
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
-        texts = sorted({letters(r[2]) for r in rows if r[0] == lang}, key=lambda t: (len(t), t))
-        raw = " ".join(t[: max(256, 2 * dictionary_bytes // max(1, len(texts)))] for t in texts).encode()
+        texts = sorted({letters(r[2]) for r in rows if r[0] == lang}, key=lambda t: zlib.crc32(t.encode()))
+        raw = " ".join(t[: max(1000, dictionary_bytes // max(1, len(texts)))] for t in texts).encode()
         out[lang] = raw[-dictionary_bytes:] or b" "
     return out
 
 
-class Classifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3) -> None:
-        import zstandard
+def _compressor(dictionary: bytes, level: int, most: int):
+    import zstandard
+
+    content = zstandard.ZstdCompressionDict(dictionary[-most:].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
 
+
+class Classifier:
+    def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.languages = sorted(dictionaries)
-        self.compressors = []
-        for lang in self.languages:
-            content = zstandard.ZstdCompressionDict(dictionaries[lang].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            self.compressors.append(zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+        self.long, self.short = ([_compressor(dictionaries[lang], *how) for lang in self.languages] for how in (LONG, SHORT))
 
     def sizes(self, text: str) -> np.ndarray | None:
         """Compressed bytes by language, or None for a text without letters."""
@@ -69,7 +75,7 @@ class Classifier:
         total = np.zeros(len(self.languages))
         for at in range(0, len(raw), CHUNK):
             part = raw[at : at + CHUNK]
-            total += [len(c.compress(part)) for c in self.compressors]
+            total += [len(c.compress(part)) for c in (self.short if len(raw) <= FINE else self.long)]
         return total
 
     def classify(self, text: str) -> tuple[str, float, float]:
