@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docfields.functions.ship import ship
 from docfields.llm.common import table
 
 
@@ -75,6 +76,8 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 5, pivots: int =
         d = (full**2).sum(1)[:, None] + (chosen**2).sum(1) - 2 * full @ chosen.T
         return np.sqrt(np.maximum(0, d))
 
+    ship()
+
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("query_id", "vec_id", "score", "evaluated")})

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.functions.ship import ship
 from docfields.llm.common import batch_of, fold, rows_of, table
 
 UNDETERMINED = "und"
@@ -95,6 +96,8 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out = pa.schema([(id_col, id_type), ("lang_pred", pa.string()), ("score", pa.float64()), ("margin", pa.float64()), ("rejected", pa.bool_())])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(dictionaries)
         for keys, texts in rows_of(batches, "id", "text"):

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.functions.ship import ship
 from docfields.llm.common import Memory, batch_of, materialise, rows_of, table
 
 WORDS = 5
@@ -102,6 +103,8 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, bands array<long>, slots array<int>): the key is a hash of the whole text; texts without a word have no bands."""
     out = pa.schema([("id", pa.int64()), ("key", pa.string()), ("bands", pa.list_(pa.int64())), ("slots", pa.list_(pa.int32()))])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _GOLD
         for ids, keys, texts in rows_of(batches, "id", "key", "text"):
@@ -122,6 +125,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     """(id, members array<long>): the shingle sets of the documents named in ids, one row each."""
     out = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in rows_of(batches, "id", "text"):
             yield batch_of(out, keys, [shingles(t)[0].view(np.int64) for t in texts])
@@ -169,6 +174,8 @@ def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame) -> DataFra
     minor = rows.where("root <> main").select("bucket", "id", "root", "slots", F.pmod(block, blocks(F.col("n") - F.col("most"))).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks(F.col("n")) - 1)).alias("j"))
     every = rows.select(F.col("bucket").alias("in_bucket"), F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("slots").alias("other_slots"), F.pmod(block, blocks(F.col("n"))).cast("int").alias("oj"), F.explode(F.sequence(F.lit(0), blocks(F.col("n") - F.col("most")) - 1)).alias("oi"))
 
+    ship()
+
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(left) and len(right):

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docfields.functions.ship import ship
 from docfields.llm.common import Memory, batch_of, materialise, rows_of, table
 
 REMEMBERED = 400_000
@@ -53,6 +54,8 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity:
     fields = [(id_col, id_type), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     out = pa.schema([*fields, ("ids", pa.list_(pa.int32()))] if with_ids else fields)
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in rows_of(batches, "id", "text"):
             rows = []

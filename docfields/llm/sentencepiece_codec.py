@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.functions.ship import ship
 from docfields.llm.common import Memory, batch_of, rows_of, table
 
 SPACE = "▁"
@@ -231,6 +232,8 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str, digests: bool
     out = pa.schema([(id_col, id_type), ("n_tokens", pa.int64()), (names[0], pa.string() if digests else pa.list_(pa.int32())), (names[1], pa.string())])
     schema = f"`{id_col}` {kind}, n_tokens long, {names[0]} {'string' if digests else 'array<int>'}, {names[1]} string"
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = prefix_table(model)
         for keys, texts in rows_of(batches, "id", "text"):
@@ -250,6 +253,8 @@ def decode(df: DataFrame, id_col: str, ids_col: str, model: str) -> DataFrame:
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out = pa.schema([(id_col, id_type), ("decoded", pa.string())])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = prefix_table(model)
         for keys, ids in rows_of(batches, "id", "ids"):

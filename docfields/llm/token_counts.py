@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.functions.ship import ship
 from docfields.llm.common import batch_of, rows_of, table
 
 RULES = ("largest", "first", "split")
@@ -96,6 +97,8 @@ def count_tokens(df: DataFrame, id_col: str, text_col: str, tokenizer: str, patt
     ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out = pa.schema([(id_col, ids), ("section", pa.int32()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("n_tokens", pa.float64() if rule == "split" else pa.int64()), ("n_crossing", pa.int64()), ("document_tokens", pa.int64())])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in rows_of(batches, "id", "text"):
             cols: list[list] = [[] for _ in out]
@@ -124,6 +127,8 @@ def count_field_tokens(df: DataFrame, id_col: str, fields: list[str], tokenizer:
     ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     out = pa.schema([(id_col, ids), ("field", pa.string()), ("start_char", pa.int64()), ("end_char", pa.int64()), ("n_tokens", pa.float64()), ("n_crossing", pa.int64()), ("document_tokens", pa.int64())])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in rows_of(batches, id_col, "text"):
             cols: list[list] = [[] for _ in out]

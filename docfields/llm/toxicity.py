@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docfields.functions.ship import ship
 from docfields.llm.common import batch_of, fold, rows_of, sampled, table
 
 # Symbols: other, insult, threat, target, negation, report; and what transducers make of insults and threats.
@@ -209,6 +210,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _features(df: DataFrame, lexicon: Lexicon, label: str) -> DataFrame:
     out = pa.schema([(label, pa.int32()), ("total", pa.float64()), ("most", pa.float64()), ("density", pa.float64())])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
         for keys, texts in rows_of(batches, label, "text"):
@@ -224,6 +227,8 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     clause = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
     out = pa.schema([(id_col, id_type), ("score", pa.float64()), ("predicted", pa.int32()), ("clauses", pa.list_(clause))])
 
+    ship()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.lexicon)
         for keys, texts in rows_of(batches, "id", "text"):
