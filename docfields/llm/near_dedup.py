@@ -7,7 +7,7 @@ slot's earliest. The share of equal slots estimates the probability Jaccard simi
 
 Signatures are cut into bands; documents with an equal band share a bucket. In each bucket every document is first compared
 with one leader, in linear work. Buckets that then still hold several components are compared further, in blocks: documents
-outside the bucket's largest component with all of the bucket, by signature first. Every link is verified exactly: the
+outside the bucket's largest component with all of the bucket, by signature first, each pair in the first band it shares. Every link is verified exactly: the
 Jaccard similarity of the shingle sets (64-bit hashes) is at least `similarity`. Classes are the components of these links;
 exact copies are joined beforehand by a hash of the text, whatever their number.
 
@@ -163,34 +163,84 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidate pairs across the components inside buckets that hold several of them."""
-    placed = buckets.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+def _meet(rows: DataFrame, compare, schema: str, carried: list[str]) -> DataFrame:
+    """Runs compare(minor rows, other rows) on each pair of blocks of a bucket: rows outside its main component against all."""
+    each = rows.groupBy("bucket").agg(F.sum(F.col("minor").cast("int")).alias("few"), F.count("*").alias("n")).where("few > 0")
+    dealt = rows.join(each, "bucket")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    part = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    left = dealt.where("minor").select("bucket", *carried, part("few").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"))
+    right = dealt.select(F.col("bucket").alias("at"), *[F.col(c).alias(f"other_{c}") for c in carried], part("n").alias("oj"), F.explode(F.sequence(F.lit(0), blocks("few") - 1)).alias("oi"))
+    ship()
+    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("at", "oi", "oj")).applyInPandas(compare, schema)
+
+
+def _alike(slots: np.ndarray, mine: list[int], band: int) -> np.ndarray:
+    """Rows whose signatures agree often enough with mine, and for which this is the first band they share with it."""
+    same = slots == np.asarray(mine)
+    some = np.flatnonzero(same.sum(axis=1) >= LEAST_EQUAL)
+    first = same[some].reshape(len(some), BANDS, ROWS).all(axis=2).argmax(axis=1)
+    return some[first == band]
+
+
+def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """Verified links across components inside buckets that hold several of them. Signatures say which documents may have
+    such links; the shingle sets of these alone then meet, block by block. A task returns links that join components which
+    its earlier links haven't joined, so the result is no longer than the documents that meet in it."""
+    placed = buckets.join(roots, "id", "left").select("bucket", "band", "id", F.coalesce("root", "id").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).where("n > most")
+    mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     rows = placed.join(mixed, "bucket").join(signed.select("id", "slots"), "id")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    block = F.xxhash64("id")
-    minor = rows.where("root <> main").select("bucket", "id", "root", "slots", F.pmod(block, blocks(F.col("n") - F.col("most"))).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks(F.col("n")) - 1)).alias("j"))
-    every = rows.select(F.col("bucket").alias("in_bucket"), F.col("id").alias("other"), F.col("root").alias("other_root"), F.col("slots").alias("other_slots"), F.pmod(block, blocks(F.col("n"))).cast("int").alias("oj"), F.explode(F.sequence(F.lit(0), blocks(F.col("n") - F.col("most")) - 1)).alias("oi"))
+    rows = rows.select("bucket", "band", "id", "root", "slots", (F.col("root") != F.col("main")).alias("minor"))
 
-    ship()
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
+    def likely(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: set[tuple[int, int]] = set()
         if len(left) and len(right):
-            ids, roots = right["other"].to_numpy(), right["other_root"].to_numpy()
+            ids, other_roots = right["other_id"].to_numpy(), right["other_root"].to_numpy()
             slots = np.stack(right["other_slots"].to_list())
+            bucket, band = int(left["bucket"].iloc[0]), int(left["band"].iloc[0])
             for i, r, s in zip(left["id"].tolist(), left["root"].tolist(), left["slots"].tolist(), strict=True):
-                hit = ids[((slots == s).sum(axis=1) >= LEAST_EQUAL) & (roots != r)].tolist()
-                out += [(min(i, x), max(i, x)) for x in hit]
+                hit = _alike(slots, s, band)
+                hit = hit[other_roots[hit] != r]
+                if len(hit):
+                    out.add((bucket, i))
+                    out.update((bucket, x) for x in ids[hit].tolist())
+        return pd.DataFrame(sorted(out), columns=["bucket", "id"], dtype="int64")
+
+    def exact(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            ids, other_roots = right["other_id"].tolist(), right["other_root"].tolist()
+            sets = [frozenset(m) for m in right["other_members"].map(np.ndarray.tolist)]
+            slots = np.stack(right["other_slots"].to_list())
+            band = int(left["band"].iloc[0])
+            joined: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in joined:
+                    x = joined[x]
+                return x
+
+            for i, r, s, m in zip(left["id"].tolist(), left["root"].tolist(), left["slots"].tolist(), left["members"].map(np.ndarray.tolist), strict=True):
+                mine = frozenset(m)
+                for k in _alike(slots, s, band).tolist():
+                    x, y = root(r), root(other_roots[k])
+                    if x != y:
+                        shared = len(mine & sets[k])
+                        if shared >= similarity * (len(mine) + len(sets[k]) - shared) - 1e-9:
+                            joined[max(x, y)] = min(x, y)
+                            out.append((min(i, ids[k]), max(i, ids[k])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return minor.groupBy("bucket", "i", "j").cogroup(every.groupBy("in_bucket", "oi", "oj")).applyInPandas(compare, "a long, b long").distinct()
+    hits = materialise(_meet(rows, likely, "bucket long, id long", ["id", "root", "slots", "band"]).distinct(), "hits")
+    sets = _sets(docs, hits.select("id").distinct(), id_col, text_col)
+    few = rows.join(hits, ["bucket", "id"], "left_semi").join(sets, "id")
+    return _meet(few, exact, "a long, b long", ["id", "root", "slots", "band", "members"]).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """id, class_id (the class's smallest id), n_copies (ids with just this text), n_links (verified links of this text)."""
+    """id, class_id (the class's smallest id), n_copies (ids with just this text), n_links (verified links of this text that
+    joined it to others; links inside what is already joined are not looked for)."""
     raw = materialise(sign(docs, id_col, text_col), "signed")
     # One vertex for each distinct text, named by its smallest id; an id with several texts links them.
     texts = materialise(raw.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n_copies"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
@@ -199,16 +249,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     own = materialise(own, "own")
     several = own.where("other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
-    pairs_in = signed.select("id", F.explode("bands").alias("bucket"))
+    pairs_in = signed.select("id", F.posexplode("bands").alias("band", "bucket"))
     leaders = pairs_in.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
     buckets = materialise(pairs_in.join(leaders, "bucket"), "buckets")
     stars = materialise(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = materialise(_verified(stars, docs, id_col, text_col, similarity).union(several), "links")
     roots = components(links)
 
-    more = _further(buckets.select("bucket", "id"), signed, roots)
-    more = materialise(more.join(stars, ["a", "b"], "left_anti"), "further")
-    found = materialise(_verified(more, docs, id_col, text_col, similarity), "more_links")
+    found = materialise(_further(buckets.select("bucket", "band", "id"), signed, roots, docs, id_col, text_col, similarity), "more_links")
     all_links = links.union(found)
     if found.limit(1).count():
         roots = components(all_links)
