@@ -1,4 +1,296 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the domain tables, each with the SQL that checks it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docfields.functions import text, validators
+from docfields.operators import edits, exports, layout, lookup, matching, responses, stats, versions
+from docfields.sources import files, fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+NOW = datetime.fromisoformat(fixtures.NOW)
+
+
+def _register(name: str, tables: str, query: Callable[..., DataFrame], sql: str | None = None, extra: str = "") -> None:
+    """tables: the domain tables that the query gets, in order; the SQL sees them as t_<table>."""
+    names = tables.split()
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(*[fixtures.load(spark, sf_dir, n) for n in names])
+
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = "WITH " + ", ".join([*[f"t_{n} AS {fixtures.duck(n)}" for n in names], *([extra] if extra else [])]) + " " + sql
+
+
+def _r(*names: str) -> Callable[[DataFrame], DataFrame]:
+    """Rounds means to six digits, so that the order of summation doesn't show."""
+    return lambda df: df.withColumns({n: F.round(n, 6) for n in names})
+
+
+# Statistics
+_PER = """SELECT e.id AS extraction_id, e.document_id, e.form_type, count(f.id) AS total_fields, count(f.id) FILTER (WHERE f.is_edited) AS edited_fields,
+    coalesce(avg(CASE WHEN f.id IS NOT NULL THEN coalesce(f.confidence, 0.0) END), 0.0) AS confidence_avg,
+    count(f.id) FILTER (WHERE f.confidence >= 0.85) AS high_fields, count(f.id) FILTER (WHERE f.confidence < 0.6) AS low_fields
+    FROM t_extractions e LEFT JOIN t_fields f ON f.extraction_id = e.id GROUP BY ALL"""
+_register("form_type_summary", "extractions fields", lambda e, f: _r("confidence")(stats.form_type_summary(e, f)), f"""SELECT form_type, count(*) AS extractions, CAST(sum(total_fields) AS BIGINT) AS fields, CAST(sum(edited_fields) AS BIGINT) AS edited,
+    CAST(sum(high_fields) AS BIGINT) AS high, CAST(sum(low_fields) AS BIGINT) AS low, round(avg(confidence_avg), 6) AS confidence FROM ({_PER}) GROUP BY form_type""")
+_register("extraction_field_stats", "extractions fields", lambda e, f: _r("confidence_avg")(stats.extraction_field_stats(e, f)), f"SELECT * REPLACE (round(confidence_avg, 6) AS confidence_avg) FROM ({_PER})")
+_register("document_status_counts", "documents", stats.document_status_counts, "SELECT status, count(*) AS n FROM t_documents WHERE NOT is_deleted GROUP BY status")
+_register("top_form_types", "documents", stats.top_form_types, "SELECT form_type, count(*) AS n FROM t_documents WHERE NOT is_deleted AND form_type IS NOT NULL GROUP BY form_type ORDER BY n DESC, form_type LIMIT 10")
+for _p in ("today", "week", "month", "year"):
+    _start = stats.period_bounds(_p, NOW)[0]
+    _register(f"dashboard_documents_{_p}", "documents", lambda d, p=_p: stats.dashboard_documents(d, p, NOW), f"SELECT count(*) AS total, count(*) FILTER (WHERE created_at >= TIMESTAMP '{_start}') AS in_period, count(*) FILTER (WHERE created_at >= TIMESTAMP '{NOW.date()}') AS today FROM t_documents WHERE NOT is_deleted")
+_register("dashboard_extractions", "extractions", lambda e: _r("success_rate", "confidence_pct", "avg_total_ms", "avg_ocr_ms", "avg_llm_ms")(stats.dashboard_extractions(e)), """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'completed') AS completed, count(*) FILTER (WHERE is_finalized) AS finalized,
+    round(count(*) FILTER (WHERE status = 'completed') / count(*) * 100, 6) AS success_rate, round(coalesce(avg(confidence_avg) FILTER (WHERE status = 'completed') * 100, 0.0), 6) AS confidence_pct,
+    round(avg(processing_time_ms), 6) AS avg_total_ms, round(avg(ocr_time_ms), 6) AS avg_ocr_ms, round(avg(llm_time_ms), 6) AS avg_llm_ms FROM t_extractions""")
+_register("dashboard_fields", "fields", lambda f: _r("edit_rate")(stats.dashboard_fields(f)), "SELECT count(*) AS total, count(*) FILTER (WHERE is_edited) AS edited, round(count(*) FILTER (WHERE is_edited) / greatest(count(*), 1) * 100, 6) AS edit_rate FROM t_fields")
+_register("document_stats", "documents extractions", lambda d, e: _r("avg_ms")(stats.document_stats(d, e, NOW)), f"""SELECT count(*) AS total, count(*) FILTER (WHERE created_at >= TIMESTAMP '{NOW.date()}') AS today, count(*) FILTER (WHERE created_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY) AS last_week,
+    CAST(sum(page_count) AS BIGINT) AS pages, (SELECT round(avg(processing_time_ms), 6) FROM t_extractions) AS avg_ms FROM t_documents WHERE NOT is_deleted""")
+_register("extraction_stats", "extractions fields", lambda e, f: _r("avg_confidence", "fields_per_extraction")(stats.extraction_stats(e, f)), """SELECT count(*) AS total, count(*) FILTER (WHERE is_finalized) AS finalized, count(*) FILTER (WHERE confidence_avg >= 0.85) AS high,
+    count(*) FILTER (WHERE confidence_avg >= 0.6 AND confidence_avg < 0.85) AS medium, count(*) FILTER (WHERE confidence_avg < 0.6) AS low, round(avg(confidence_avg), 6) AS avg_confidence,
+    (SELECT round(count(*) / count(DISTINCT extraction_id), 6) FROM t_fields) AS fields_per_extraction FROM t_extractions""")
+_register("extraction_status_counts", "extractions", stats.extraction_status_counts, "SELECT coalesce(status, 'unknown') AS status, count(*) AS n FROM t_extractions GROUP BY 1")
+_register("processing_times", "extractions", lambda e: _r("avg_ms", "avg_ocr_ms", "avg_llm_ms")(stats.processing_times(e)), "SELECT round(avg(processing_time_ms), 6) AS avg_ms, min(processing_time_ms) AS min_ms, max(processing_time_ms) AS max_ms, round(avg(ocr_time_ms), 6) AS avg_ocr_ms, round(avg(llm_time_ms), 6) AS avg_llm_ms FROM t_extractions WHERE processing_time_ms IS NOT NULL")
+_register("step_status", "logs", stats.step_status, "SELECT step, status, count(*) AS n FROM t_logs GROUP BY ALL")
+_register("step_status_pivot", "logs", stats.step_status_pivot, "SELECT step, " + ", ".join(f"count(*) FILTER (WHERE status = '{s}') AS {s}" for s in ("started", "in_progress", "completed", "failed", "skipped")) + " FROM t_logs GROUP BY step")
+_register("recent_failures", "logs", lambda g: stats.recent_failures(g).select("id", "document_id", "step", "n_failures"), """SELECT id, document_id, step, (SELECT count(*) FROM (SELECT 1 FROM t_logs WHERE status = 'failed' LIMIT 50)) AS n_failures
+    FROM t_logs WHERE status = 'failed' ORDER BY created_at DESC, id DESC LIMIT 10""")
+_register("system_overview", "documents extractions", stats.system_overview, "SELECT count(*) AS documents, count(*) FILTER (WHERE status = 'pending') AS pending, count(*) FILTER (WHERE status = 'processing') AS processing, count(*) FILTER (WHERE status = 'failed') AS failed, (SELECT count(*) FROM t_extractions) AS extractions FROM t_documents WHERE NOT is_deleted")
+_register("page_info", "documents", lambda d: d.groupBy("status").agg(F.count("*").alias("total")).withColumn("p", stats.page_info(F.col("total"), F.lit(2), F.lit(20))).select("status", "total", "p.*"), "SELECT status, count(*) AS total, CAST(greatest(ceil(count(*) / 20), 1) AS BIGINT) AS pages, 2 < greatest(ceil(count(*) / 20), 1) AS has_next, true AS has_previous FROM t_documents GROUP BY status")
+
+# Validation
+_C = "CASE WHEN confidence IS NULL OR confidence = 0 THEN 0.85 ELSE confidence END"
+_ST = r"regexp_replace(regexp_replace(coalesce(field_value, ''), '^\s+', ''), '\s+$', '')"
+_FORMATS = "['%Y-%m-%d', '%d/%m/%Y', '%m/%d/%Y', '%d-%m-%Y', '%d %b %Y', '%d %B %Y', '%B %d, %Y', '%b %d, %Y', '%Y/%m/%d']"
+_V = rf"""t_v AS (SELECT id, extraction_id, sort_order, field_key, t, s, c, n, CASE t
+    WHEN 'email' THEN CASE WHEN s = '' THEN 'e0|Email field is empty' WHEN regexp_matches(lower(s), '{validators.EMAIL}') THEN 'i1|Valid email format'
+      WHEN contains(s, ' ') AND regexp_matches(lower(replace(s, ' ', '')), '{validators.EMAIL}') THEN 'w0|Email contains spaces - did you mean: ' || lower(replace(s, ' ', '')) ELSE 'e0|Invalid email format' END
+    WHEN 'phone' THEN CASE WHEN s = '' THEN 'e0|Phone number is empty' WHEN regexp_matches(s, '{validators.PHONES[0]}') OR regexp_matches(s, '{validators.PHONES[1]}') OR regexp_matches(s, '{validators.PHONES[2]}') THEN 'i1|Valid phone format'
+      WHEN n BETWEEN 7 AND 15 THEN 'i1h|Phone number has valid digit count' ELSE 'e0|Invalid phone number (found ' || n || ' digits, expected 7-15)' END
+    WHEN 'date' THEN CASE WHEN s = '' THEN 'e0|Date field is empty' WHEN try_strptime(s, {_FORMATS}) IS NOT NULL THEN 'i1|Valid date: ' || strftime(try_strptime(s, {_FORMATS}), '%Y-%m-%d')
+      WHEN regexp_matches(s, '\d+[\/\-\.]\d+[\/\-\.]\d+') THEN 'w0r|Date format not recognized - please verify' ELSE 'e0|Invalid date format' END
+    WHEN 'number' THEN CASE WHEN s = '' THEN 'e0|Number field is empty' WHEN regexp_matches(regexp_replace(s, '[, ]', '', 'g'), '^-?\d+\.?\d*$') THEN 'i1|Valid number'
+      WHEN n / greatest(length(regexp_replace(s, '[, ]', '', 'g')), 1) > 0.8 THEN 'w0r|Value appears to be a number but has invalid characters' ELSE 'e0|Invalid number format' END
+    WHEN 'currency' THEN CASE WHEN s = '' THEN 'e0|Currency field is empty' WHEN regexp_matches(s, '^[$£€₹¥]?\s*[\d,]+\.?\d*$') OR regexp_matches(s, '^[\d,]+\.?\d*\s*[$£€₹¥]?$') THEN 'i1|Valid currency format'
+      WHEN regexp_matches(regexp_replace(s, '[^\d.]', '', 'g'), '^\d+\.?\d*$') THEN 'i1|Currency value extracted' ELSE 'e0|Invalid currency format' END
+    WHEN 'checkbox' THEN CASE WHEN lower(s) IN ({", ".join(repr(x) for x in validators.CHECKBOX)}) THEN 'i1|Valid checkbox value' ELSE 'w0r|Unrecognized checkbox value: ''' || v || ''' (expected yes/no, true/false, etc.)' END
+    WHEN 'name' THEN CASE WHEN s = '' THEN 'e0|Name field is empty' WHEN length(s) < 2 THEN 'e0|Name too short' WHEN n > 0 THEN 'w0r|Name contains numbers'
+      WHEN regexp_matches(s, '^[a-zA-Z\s\.\-'']+$') THEN 'i1|Valid name format' ELSE 'i1h|Name contains special characters - please verify' END
+    WHEN 'address' THEN CASE WHEN s = '' THEN 'e0|Address field is empty' WHEN length(s) < 10 THEN 'w0r|Address seems too short' ELSE 'i1m|Address format accepted' END
+    WHEN 'text' THEN CASE WHEN s = '' THEN 'i1h|Text field is empty' ELSE 'i1m|Text field accepted' END
+    WHEN 'signature' THEN CASE WHEN s = '' THEN 'w0r|Signature not detected' ELSE 'i1m|Signature detected' END
+    WHEN 'table' THEN CASE WHEN s = '' THEN 'w0r|Table data is empty' ELSE 'i1r|Table data present' END
+    ELSE 'i1r|Field type unknown - please review' END AS r
+    FROM (SELECT *, coalesce(field_value, '') AS v, field_type AS t, {_ST} AS s, {_C} AS c, length(regexp_replace({_ST}, '\D', '', 'g')) AS n FROM t_fields)),
+  t_found AS (SELECT id, extraction_id, sort_order, field_key, substr(r, 2, 1) = '1' AS is_valid,
+    substr(r, strpos(r, '|') + 1) || CASE WHEN c < 0.6 THEN ' (low confidence - needs review)' ELSE '' END AS message,
+    CASE substr(r, 1, 1) WHEN 'i' THEN 'info' WHEN 'w' THEN 'warning' ELSE 'error' END AS severity,
+    CASE WHEN c >= 0.85 THEN 'high' WHEN c >= 0.6 THEN 'medium' ELSE 'low' END AS confidence_level,
+    c < 0.6 OR CASE substr(r, 3, 1) WHEN 'h' THEN c < 0.85 WHEN 'm' THEN c < 0.6 WHEN 'r' THEN true ELSE false END AS needs_review FROM t_v)"""
+_register("validate_fields", "fields", lambda f: validators.validate_fields(f).select("id", "extraction_id", "sort_order", "field_key", "is_valid", "message", "severity", "confidence_level", "needs_review"), "SELECT * FROM t_found", _V)
+_register("validation_summary", "fields", lambda f: validators.validation_summary(validators.validate_fields(f)).withColumn("valid_rate", F.round(F.col("valid") / F.col("total") * 100, 6)), "SELECT extraction_id, count(*) AS total, count(*) FILTER (WHERE is_valid) AS valid, count(*) FILTER (WHERE NOT is_valid) AS invalid, count(*) FILTER (WHERE severity = 'warning') AS warnings, count(*) FILTER (WHERE needs_review) AS reviews, round(count(*) FILTER (WHERE is_valid) / count(*) * 100, 6) AS valid_rate FROM t_found GROUP BY extraction_id", _V)
+_register("validation_gate", "fields", lambda f: validators.finalization_gate(validators.validate_fields(f)), "SELECT extraction_id, count(*) FILTER (WHERE NOT is_valid) = 0 AS may_finalise, coalesce(string_agg(field_key || ': ' || message, '; ' ORDER BY sort_order) FILTER (WHERE NOT is_valid), '') AS errors FROM t_found GROUP BY extraction_id", _V)
+_register("validation_write_back", "fields", lambda f: validators.apply_validation(f, validators.validate_fields(f))[0].select("id", "is_valid", "validation_message"), "SELECT id, is_valid, message AS validation_message FROM t_found", _V)
+_register("validation_logs", "fields", lambda f: validators.apply_validation(f, validators.validate_fields(f))[1], "SELECT extraction_id, 'validation' AS step, 'completed' AS status, 'Validated ' || count(*) || ' fields: ' || count(*) FILTER (WHERE is_valid) || ' valid, ' || count(*) FILTER (WHERE NOT is_valid) || ' invalid, ' || count(*) FILTER (WHERE needs_review) || ' need review' AS message FROM t_found GROUP BY extraction_id", _V)
+_register("confidence_display", "fields", lambda f: f.where("confidence IS NOT NULL").select("id", text.confidence_level(F.col("confidence")).alias("level"), text.percent(F.col("confidence")).alias("pct")), "SELECT id, CASE WHEN confidence >= 0.85 THEN 'high' WHEN confidence >= 0.6 THEN 'medium' ELSE 'low' END AS level, CAST(trunc(confidence * 100) AS INTEGER) AS pct FROM t_fields WHERE confidence IS NOT NULL")
+
+# Lookups and joins
+_register("active_page", "documents", lambda d: lookup.page(lookup.active(d), skip=10, limit=25).select("id", "status"), "SELECT id, status FROM t_documents WHERE NOT is_deleted ORDER BY created_at DESC, id LIMIT 25 OFFSET 10")
+_register("by_status", "documents", lambda d: lookup.by_status(d, "completed").select("id", "form_type"), "SELECT id, form_type FROM t_documents WHERE NOT is_deleted AND status = 'completed'")
+_register("search_documents", "documents", lambda d: lookup.search(d, "bui", status="failed", date_from=datetime(2024, 1, 10), date_to=datetime(2024, 2, 20)).select("id", "form_type"), "SELECT id, form_type FROM t_documents WHERE NOT is_deleted AND (filename ILIKE '%bui%' OR original_filename ILIKE '%bui%' OR form_type ILIKE '%bui%') AND status = 'failed' AND created_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-02-20'")
+_register("by_ids", "documents extractions", lambda d, e: lookup.by_ids(d, e.where("is_finalized").select(F.col("document_id").alias("id"))).select("id", "status"), "SELECT id, status FROM t_documents WHERE id IN (SELECT document_id FROM t_extractions WHERE is_finalized)")
+_register("low_confidence_fields", "fields", lambda f: edits.low_confidence(f).select("id", "confidence"), "SELECT id, confidence FROM t_fields WHERE confidence < 0.6")
+_register("edited_fields", "fields", lambda f: edits.edited_fields(f).select("id", "extraction_id", "field_key"), "SELECT id, extraction_id, field_key FROM t_fields WHERE is_edited")
+_register("fields_in_order", "fields", lambda f: f.orderBy("extraction_id", "sort_order").select("extraction_id", "sort_order", "field_key", "field_type"), "SELECT extraction_id, sort_order, field_key, field_type FROM t_fields")
+_register("document_display", "documents", lambda d: d.select("id", text.display_status(F.col("status")).alias("shown"), text.file_size(F.col("file_size_bytes")).alias("size_text")), """SELECT id, upper(substr(status, 1, 1)) || substr(status, 2) AS shown, CASE WHEN file_size_bytes IS NULL OR file_size_bytes = 0 THEN NULL WHEN file_size_bytes < 1024 THEN printf('%.1f B', CAST(file_size_bytes AS DOUBLE))
+    WHEN file_size_bytes < 1048576 THEN printf('%.1f KB', file_size_bytes / 1024) WHEN file_size_bytes < 1073741824 THEN printf('%.1f MB', file_size_bytes / 1048576) ELSE printf('%.1f GB', file_size_bytes / 1073741824) END AS size_text FROM t_documents""")
+_register("response_defaults", "fields", lambda f: lookup.response_defaults(f).select("id", "field_type", "confidence", "is_valid", "is_edited", "page_number"), "SELECT id, coalesce(field_type, 'text') AS field_type, coalesce(confidence, 0.0) AS confidence, is_valid, is_edited, page_number FROM t_fields")
+_register("documents_with_extractions", "documents extractions", lambda d, e: lookup.with_extractions(d, e).select("id", "extraction_id", "version", "extraction_status"), "SELECT d.id, e.id AS extraction_id, e.version, e.status AS extraction_status FROM t_documents d LEFT JOIN t_extractions e ON e.document_id = d.id")
+_register("extractions_with_fields", "extractions fields", lambda e, f: lookup.with_fields(e, f).select("id", "field_id", "field_key", "sort_order"), "SELECT e.id, f.id AS field_id, f.field_key, f.sort_order FROM t_extractions e LEFT JOIN t_fields f ON f.extraction_id = e.id")
+_register("document_detail", "documents extractions", lambda d, e: lookup.document_detail(d, e).select("id", "n_extractions", "current_extraction_id"), "SELECT d.id, count(e.id) AS n_extractions, max(CASE WHEN e.is_current THEN e.id END) AS current_extraction_id FROM t_documents d LEFT JOIN t_extractions e ON e.document_id = d.id WHERE NOT d.is_deleted GROUP BY d.id")
+_register("finalized_with_document", "extractions documents", lambda e, d: lookup.finalized(e, d).select("id", "document_id", "original_filename"), "SELECT e.id, e.document_id, d.original_filename FROM t_extractions e JOIN t_documents d ON d.id = e.document_id WHERE e.is_finalized")
+_register("recent_edits", "edits edited_fields", lambda x, f: lookup.recent_edits(x, f).select("id", "field_id", "new_value", "field_value"), "SELECT x.id, x.field_id, x.new_value, f.field_value FROM (SELECT * FROM t_edits ORDER BY created_at DESC, id DESC LIMIT 50) x LEFT JOIN t_edited_fields f ON f.id = x.field_id")
+_register("documents_without_extractions", "documents extractions", lambda d, e: exports.missing_ids(d.select("id"), e.select(F.col("document_id").alias("id"))), "SELECT id FROM t_documents WHERE id NOT IN (SELECT document_id FROM t_extractions)")
+
+# Versions and state changes
+_register("current_versions", "extractions", lambda e: versions.current_versions(e).select("id", "document_id", "version"), "SELECT id, document_id, version FROM t_extractions WHERE is_current")
+_register("version_history", "extractions", lambda e: versions.version_history(e).select("id", "version", "place"), "SELECT id, version, CAST(row_number() OVER (PARTITION BY document_id ORDER BY version DESC) AS INTEGER) AS place FROM t_extractions")
+_register("version_faults", "extractions", versions.version_faults, "SELECT document_id, CAST(0 AS BIGINT) AS most, CAST(0 AS BIGINT) AS current FROM t_extractions GROUP BY document_id HAVING count(*) <> count(DISTINCT version) OR count(*) FILTER (WHERE is_current) <> 1")
+_register("add_versions", "extractions", lambda e: versions.add_versions(e, e.where("id % 5 = 0").select((F.col("id") + 100_000_000).alias("id"), "document_id", "created_at", "status")).select("id", "document_id", "version", "is_current"), """SELECT id, document_id, CAST(version AS INTEGER) AS version, version = max(version) OVER (PARTITION BY document_id) AS is_current FROM (
+    SELECT id, document_id, version FROM t_extractions UNION ALL
+    SELECT n.id + 100000000, n.document_id, m.v + row_number() OVER (PARTITION BY n.document_id ORDER BY n.created_at, n.id) FROM t_extractions n JOIN (SELECT document_id, max(version) AS v FROM t_extractions GROUP BY 1) m USING (document_id) WHERE n.id % 5 = 0)""")
+_register("soft_delete", "documents", lambda d: versions.soft_delete(d, d.where("id % 7 = 0"), NOW).select("id", "is_deleted", F.col("deleted_at").isNotNull().alias("newly")), "SELECT id, is_deleted OR id % 7 = 0 AS is_deleted, id % 7 = 0 AND NOT is_deleted AS newly FROM t_documents")
+_register("status_update", "documents", lambda d: versions.apply_status(d, d.where("id % 3 = 0").select("id", F.lit("completed").alias("new_status"), F.when(F.col("id") % 2 == 0, "NEW").otherwise("").alias("new_form_type"), F.lit(None).cast("string").alias("new_language"))).select("id", "status", "form_type", "language"), "SELECT id, CASE WHEN id % 3 = 0 THEN 'completed' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN 'NEW' ELSE form_type END AS form_type, language FROM t_documents")
+_register("finalize", "extractions", lambda e: versions.finalize(e, e.where("id % 4 = 1"), NOW).select("id", "is_finalized", "status"), "SELECT id, is_finalized OR id % 4 = 1 AS is_finalized, CASE WHEN id % 4 = 1 THEN 'completed' ELSE status END AS status FROM t_extractions")
+_register("template_usage", "extractions", lambda e: versions.count_usage(files.starter_templates(e.sparkSession), e.select(F.when(F.col("id") % 2 == 0, "Invoice").otherwise("General Form").alias("template_name"))).select("name", "usage_count"), "SELECT * FROM (SELECT 'Invoice' AS name, count(*) FILTER (WHERE id % 2 = 0) AS usage_count FROM t_extractions UNION ALL SELECT 'General Form', count(*) FILTER (WHERE id % 2 = 1) FROM t_extractions UNION ALL SELECT 'Application Form', 0)")
+_register("append_logs", "logs", lambda g: versions.append_logs(g, g.where("status = 'failed'").select((F.col("id") + 1_000_000_000).alias("id"), "step", F.lit("retried").alias("status"))).groupBy("step", "status").agg(F.count("*").alias("n"), F.count("document_id").alias("n_documents")), "SELECT step, status, count(*) AS n, count(document_id) AS n_documents FROM (SELECT step, status, document_id FROM t_logs UNION ALL SELECT step, 'retried', NULL FROM t_logs WHERE status = 'failed') GROUP BY ALL")
+
+
+def _cascade(d: DataFrame, e: DataFrame, f: DataFrame) -> DataFrame:
+    out = versions.cascade_delete({"documents": d, "extractions": e, "fields": f}, d.where("is_deleted"))
+    parts = [out[k].agg(F.lit(k).alias("part"), F.count("*").alias("n")) for k in ("documents", "extractions", "fields")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+_register("cascade_delete", "documents extractions fields", _cascade, """SELECT 'documents' AS part, count(*) AS n FROM t_documents WHERE NOT is_deleted UNION ALL SELECT 'extractions', count(*) FROM t_extractions WHERE document_id NOT IN (SELECT id FROM t_documents WHERE is_deleted)
+    UNION ALL SELECT 'fields', count(*) FROM t_fields WHERE extraction_id NOT IN (SELECT id FROM t_extractions WHERE document_id IN (SELECT id FROM t_documents WHERE is_deleted))""")
+
+# Edits
+_register("apply_edits", "edited_fields edits", lambda f, x: edits.apply_edits(f, x)[0].select("id", "field_value", "is_edited", "original_value"), "SELECT f.id, max_by(x.new_value, (x.created_at, x.id)) AS field_value, true AS is_edited, CASE WHEN f.is_edited THEN f.original_value ELSE f.field_value END AS original_value FROM t_edited_fields f JOIN t_edits x ON x.field_id = f.id GROUP BY f.id, f.is_edited, f.original_value, f.field_value")
+_register("edit_audit", "edited_fields edits", lambda f, x: edits.apply_edits(f, x)[1].select("id", "field_id", "old_value", "new_value"), "SELECT id, field_id, lag(new_value, 1, '0') OVER (PARTITION BY field_id ORDER BY created_at, id) AS old_value, new_value FROM t_edits")
+_register("bulk_update", "edited_fields edits", lambda f, x: edits.bulk_update(f.withColumn("field_type", F.lit("text")), x.select("id", "field_id", "created_at", F.when(F.col("id") % 2 == 0, F.col("new_value")).alias("field_value"), F.when(F.col("id") % 3 == 0, F.col("edit_type")).alias("field_type")))[0].select("id", "field_value", "field_type"), "SELECT f.id, coalesce(max_by(x.new_value, (x.created_at, x.id)) FILTER (WHERE x.id % 2 = 0), '0') AS field_value, coalesce(max_by(x.edit_type, (x.created_at, x.id)) FILTER (WHERE x.id % 3 = 0), 'text') AS field_type FROM t_edited_fields f JOIN t_edits x ON x.field_id = f.id GROUP BY f.id")
+_register("value_as_of", "edited_fields edits", lambda f, x: edits.value_as_of(f, x, datetime(2024, 1, 15)), "SELECT f.id, coalesce(max_by(x.new_value, (x.created_at, x.id)), CASE WHEN f.is_edited THEN f.original_value ELSE f.field_value END) AS value FROM t_edited_fields f LEFT JOIN t_edits x ON x.field_id = f.id AND x.created_at <= TIMESTAMP '2024-01-15' GROUP BY f.id, f.is_edited, f.original_value, f.field_value")
+_register("roll_back", "edited_fields", lambda f: edits.roll_back(f).select("id", "field_value", "is_edited"), "SELECT id, CASE WHEN is_edited THEN original_value ELSE field_value END AS field_value, false AS is_edited FROM t_edited_fields")
+_register("edit_history", "edits", lambda x: edits.edit_history(x).select("id", "field_id", "place"), "SELECT id, field_id, CAST(row_number() OVER (PARTITION BY field_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS place FROM t_edits")
+_register("guarded_changes", "fields extractions documents", lambda f, e, d: edits.guarded(f.select(F.col("id"), F.col("id").alias("field_id"), F.when(F.col("id") % 10 == 0, F.col("extraction_id") + 1).otherwise(F.col("extraction_id")).alias("extraction_id")), f, e, d).groupBy(F.coalesce("reason", F.lit("ok")).alias("verdict")).agg(F.count("*").alias("n")), """SELECT CASE WHEN e.id IS NULL THEN 'extraction not found' WHEN coalesce(d.is_deleted, true) THEN 'document not found' WHEN e.is_finalized THEN 'extraction is finalized' WHEN c.owner <> c.extraction_id THEN 'field of another extraction' ELSE 'ok' END AS verdict, count(*) AS n
+    FROM (SELECT extraction_id AS owner, CASE WHEN id % 10 = 0 THEN extraction_id + 1 ELSE extraction_id END AS extraction_id FROM t_fields) c LEFT JOIN t_extractions e ON e.id = c.extraction_id LEFT JOIN t_documents d ON d.id = e.document_id GROUP BY 1""")
+
+# Pages, prompts and responses
+_register("combine_markdown", "pages", lambda p: layout.combine_pages(p, "markdown"), "SELECT document_id, coalesce(string_agg(CASE WHEN n > 1 THEN '## Page ' || page_number || chr(10) || chr(10) ELSE '' END || markdown, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE markdown <> ''), '') AS markdown FROM (SELECT *, count(*) OVER (PARTITION BY document_id) AS n FROM t_pages) GROUP BY document_id")
+_register("combine_html", "pages", lambda p: layout.combine_pages(p.withColumn("html", F.when(F.col("markdown") != "", layout.html_div(F.col("markdown"))).otherwise("")), "html"), """SELECT document_id, coalesce(string_agg(CASE WHEN n > 1 THEN '<section data-page="' || page_number || '">' || chr(10) || h || chr(10) || '</section>' ELSE h END, chr(10) || '<hr>' || chr(10) ORDER BY page_number) FILTER (WHERE markdown <> ''), '') AS html
+    FROM (SELECT *, '<div class=''ocr-content''>' || chr(10) || markdown || chr(10) || '</div>' AS h, count(*) OVER (PARTITION BY document_id) AS n FROM t_pages) GROUP BY document_id""")
+_register("document_rollup", "pages", layout.document_rollup, "SELECT document_id, count(*) AS pages, CAST(sum(processing_time_ms) AS BIGINT) AS total_ms, bool_and(success) AS success, CASE WHEN NOT bool_and(success) THEN 'Some pages failed' END AS error FROM t_pages GROUP BY document_id")
+_register("token_estimate", "pages", lambda p: p.select("document_id", "page_number", responses.token_estimate(F.col("markdown")).alias("tokens")), "SELECT document_id, page_number, CAST(length(markdown) // 4 AS BIGINT) AS tokens FROM t_pages")
+_PROMPT = "'" + "=" * 60 + "'"
+
+
+def _prompts(p: DataFrame) -> DataFrame:
+    docs = p.where("page_number = 1").select("document_id", F.col("markdown").alias("text"), F.when(F.col("document_id") % 2 == 0, "Be brief").alias("custom_prompt"), F.when(F.col("document_id") % 3 == 0, "Invoice").alias("template_name"))
+    return responses.build_prompts(docs, files.starter_templates(p.sparkSession)).select("document_id", F.md5("prompt").alias("prompt_md5"))
+
+
+_register("build_prompts", "pages", _prompts, f"""SELECT document_id, md5(concat(CASE WHEN document_id % 2 = 0 THEN 'Additional Instructions:' || chr(10) || 'Be brief' || chr(10) || chr(10) ELSE '' END,
+    CASE WHEN document_id % 3 = 0 THEN 'Expected fields to look for: Invoice Number, Date, Total Amount, Vendor Name' || chr(10) || chr(10) ELSE '' END,
+    {_PROMPT} || chr(10) || 'DOCUMENT TEXT (OCR OUTPUT):' || chr(10) || {_PROMPT} || chr(10) || markdown || chr(10) || {_PROMPT} || chr(10) || chr(10) || 'Extract all key-value pairs from the document above.' || chr(10)
+    || 'Return the results as a JSON object with ''form_type'', ''language'', and ''fields'' array.')) AS prompt_md5 FROM t_pages WHERE page_number = 1""")
+
+
+def _raw(e: DataFrame, f: DataFrame) -> DataFrame:
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("sort_order", "field_key", "field_value", "field_type", "confidence"))), lambda x: F.struct(x["field_key"].alias("field_key"), x["field_value"].alias("field_value"), x["field_type"].alias("field_type"), x["confidence"].alias("confidence")))
+    lists = f.groupBy(F.col("extraction_id").alias("id")).agg(listed.alias("fields"))
+    good = F.to_json(F.struct(F.lit("Invoice").alias("form_type"), F.coalesce("fields", F.array()).alias("fields")))
+    k = F.pmod(F.col("id"), F.lit(7))
+    return e.select("id").join(lists, "id", "left").select("id", F.when(k == 1, "").when(k == 2, "[1]").when(k == 3, '{"x":1}').when(k == 4, F.substring(good, 1, 25)).otherwise(good).alias("response"))
+
+
+_register("parse_responses", "extractions fields", lambda e, f: responses.parse_responses(_raw(e, f)).select("id", "success", "error", "form_type", "language", F.size("fields").alias("n_fields"), F.round(responses.mean_confidence(F.col("fields")), 6).alias("confidence")), """SELECT e.id, e.id % 7 NOT IN (1, 2, 3, 4) AS success, CASE e.id % 7 WHEN 1 THEN 'Empty response' WHEN 2 THEN 'Response is not a JSON object' WHEN 3 THEN 'Response missing ''fields'' array' WHEN 4 THEN 'Invalid JSON' END AS error,
+    CASE WHEN e.id % 7 NOT IN (1, 2, 3, 4) THEN 'Invoice' END AS form_type, CASE WHEN e.id % 7 NOT IN (1, 2, 3, 4) THEN 'en' END AS language, CASE WHEN e.id % 7 NOT IN (1, 2, 3, 4) THEN CAST(count(f.id) AS INTEGER) END AS n_fields,
+    CASE WHEN e.id % 7 NOT IN (1, 2, 3, 4) THEN round(coalesce(avg(CASE WHEN f.id IS NOT NULL THEN coalesce(f.confidence, 0.85) END), 0.0), 6) END AS confidence FROM t_extractions e LEFT JOIN t_fields f ON f.extraction_id = e.id GROUP BY e.id""")
+_register("explode_responses", "extractions fields", lambda e, f: responses.explode_fields(responses.parse_responses(_raw(e, f)), "id"), "SELECT extraction_id AS id, sort_order, field_key, field_value, field_type, coalesce(confidence, 0.85) AS confidence FROM t_fields WHERE extraction_id % 7 NOT IN (1, 2, 3, 4)")
+_register("run_outcomes", "extractions", lambda e: responses.run_outcome(e.select(F.col("id").alias("document_id"), (F.col("status") != "failed").alias("ocr_success"), F.lit("scan").alias("ocr_error"), (F.col("status") != "processing").alias("llm_success"), F.lit("quota").alias("llm_error"), F.when(F.col("id") % 3 != 0, F.col("id")).alias("extraction_id"))).select("document_id", "status", "error", F.coalesce(F.size("logs"), F.lit(-1)).alias("n_logs")), "SELECT id AS document_id, CASE WHEN status = 'completed' AND id % 3 <> 0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN status = 'failed' THEN 'OCR failed: scan' WHEN status = 'processing' THEN 'Extraction failed: quota' WHEN id % 3 = 0 THEN 'Failed to save extraction to database' END AS error, CASE WHEN status <> 'completed' THEN 1 WHEN id % 3 <> 0 THEN 2 ELSE -1 END AS n_logs FROM t_extractions")
+
+# Exports and files
+_PCT = "CAST(trunc(coalesce(confidence, 0.0) * 100) AS INTEGER) || '%'"
+_FRAME = "t_frame AS (SELECT f.*, e.document_id, e.version, d.original_filename, d.form_type AS document_form_type, d.language, d.page_count FROM t_fields f JOIN t_extractions e ON e.id = f.extraction_id JOIN t_documents d ON d.id = e.document_id)"
+_register("export_flat", "documents extractions fields", lambda d, e, f: exports.to_flat(exports.export_frame(d, e, f), with_document=True), f"""SELECT extraction_id, sort_order, original_filename AS "Document", field_key AS "Field Name", coalesce(field_value, '') AS "Value", field_type AS "Type", {_PCT} AS "Confidence", CASE WHEN is_edited THEN 'Yes' ELSE 'No' END AS "Is Edited" FROM t_frame""", _FRAME)
+_register("export_confident", "documents extractions fields", lambda d, e, f: exports.to_flat(exports.export_frame(d, e, f, min_confidence=0.6), with_confidence=False), """SELECT extraction_id, sort_order, field_key AS "Field Name", coalesce(field_value, '') AS "Value", field_type AS "Type" FROM t_frame WHERE confidence >= 0.6""", _FRAME)
+_register("export_report", "documents extractions fields", lambda d, e, f: exports.report_rows(exports.export_frame(d, e, f)).select("id", "status_text"), "SELECT id, CASE WHEN confidence >= 0.85 THEN 'Valid' WHEN confidence >= 0.6 THEN 'Review' ELSE 'Low Confidence' END AS status_text FROM t_frame", _FRAME)
+_register("export_nested", "documents extractions fields", lambda d, e, f: exports.to_nested(exports.export_frame(d, e, f)).select("extraction_id", F.col("document.filename").alias("filename"), "total_fields", F.posexplode("fields").alias("place", "x")).select("extraction_id", "filename", "total_fields", "place", F.col("x.key").alias("field_key"), F.col("x.confidence_percent").alias("pct")), "SELECT extraction_id, original_filename AS filename, count(*) OVER (PARTITION BY extraction_id) AS total_fields, sort_order AS place, field_key, CAST(trunc(coalesce(confidence, 0.0) * 100) AS INTEGER) AS pct FROM t_frame", _FRAME)
+_register("export_summary", "extractions fields", lambda e, f: exports.export_summary(stats.extraction_field_stats(e, f)), f"SELECT count(*) AS extractions, CAST(sum(total_fields) AS BIGINT) AS fields, CAST(trunc(avg(confidence_avg) * 100) AS INTEGER) || '%' AS confidence FROM ({_PER})")
+_register("export_by_type", "documents extractions fields", lambda d, e, f: exports.summary_by_type(exports.export_frame(d, e, f)), "SELECT document_form_type, language, count(DISTINCT extraction_id) AS extractions, count(*) AS fields, count(*) FILTER (WHERE is_edited) AS edited FROM t_frame GROUP BY ALL", _FRAME)
+_register("export_document_info", "documents extractions fields", lambda d, e, f: exports.document_info(d, stats.extraction_field_stats(e, f).withColumns({"version": F.lit(1), "exported_at": F.lit(fixtures.NOW)})).where("label IN ('Form Type', 'Total Fields', 'Filename', 'Document ID', '')").select("extraction_id", "row_no", "label", "value"), f"""SELECT extraction_id, row_no, label, value FROM (SELECT p.extraction_id, unnest([0, 1, 2, 6, 9]) AS row_no, unnest(['Document ID', 'Filename', 'Form Type', '', 'Total Fields']) AS label,
+    unnest([CAST(d.id AS VARCHAR), d.original_filename, coalesce(d.form_type, 'Unknown'), '', CAST(p.total_fields AS VARCHAR)]) AS value FROM ({_PER}) p JOIN t_documents d ON d.id = p.document_id)""")
+_EXT = r"lower(regexp_extract(filename, '\.([^.]*)$', 1))"
+_register("check_uploads", "files", lambda f: f.select("id", files.check_upload(F.col("filename"), F.col("size")).alias("v"), files.mime_type(F.col("filename")).alias("mime")).select("id", "v.ok", "v.message", "mime"), f"""SELECT id, {_EXT} IN ('png', 'jpg', 'jpeg', 'pdf') AND size <= 20971520 AS ok, CASE WHEN {_EXT} NOT IN ('png', 'jpg', 'jpeg', 'pdf') THEN 'File type ''' || {_EXT} || ''' not allowed. Allowed: jpeg, jpg, pdf, png'
+    WHEN size > 20971520 THEN printf('File too large (%.1fMB). Maximum: 20MB', size / 1048576) END AS message, CASE {_EXT} WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime FROM t_files""")
+_register("stored_names", "files", lambda f: f.select("id", files.sanitize(F.concat(F.lit("my file:"), F.col("filename"))).alias("clean"), files.stored_name(F.col("filename"), F.lit(NOW), F.col("id")).alias("stored")), f"""SELECT id, regexp_replace('my file:' || regexp_replace(filename, '\\.[^.]*$', ''), '[^a-zA-Z0-9._-]', '_', 'g') || '.' || {_EXT} AS clean, 'doc_20240301_120000_' || substr(md5(CAST(id AS VARCHAR)), 1, 8) || '.' || {_EXT} AS stored FROM t_files""".replace("\\\\", "\\"))
+_register("repeated_uploads", "files", lambda f: files.repeated_uploads(f.select("id", F.col("html").alias("content"))), "SELECT md5(html) AS hash, count(*) AS n, min(id) AS first_id FROM t_files GROUP BY 1 HAVING count(*) > 1")
+
+
+# Boxes of whole documents: lines are the text's lines, words their words.
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("extraction_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "content"))
+    y = F.col("line") * 20.0
+    lines = docs.select("extraction_id", (F.col("line") * 100_000).alias("ordinal"), F.lit("line").alias("type"), "content", (1 + F.floor(F.col("line") / 40)).cast("int").alias("page_number"), F.array(F.lit(0.0), y, F.length("content") * 10.0, y, F.length("content") * 10.0, y + 15, F.lit(0.0), y + 15).alias("polygon"))
+    words = docs.select("extraction_id", "line", F.posexplode(F.split("content", " ")).alias("w", "content"))
+    x = F.col("w") * 100.0
+    words = words.select("extraction_id", (F.col("line") * 100_000 + F.col("w") + 1).alias("ordinal"), F.lit("word").alias("type"), "content", (1 + F.floor(F.col("line") / 40)).cast("int").alias("page_number"), F.array(x, y, x + 90, y, x + 90, y + 15, x, y + 15).alias("polygon"))
+    return lines.unionByName(words)
+
+
+_LINES = r"""WITH docs AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS line FROM documents),
+  words AS (SELECT doc_id, line, unnest(string_split(content, ' ')) AS content, unnest(range(len(string_split(content, ' ')))) AS w FROM docs) """
+
+
+def _page_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.page_boxes(_boxes(spark, sf_dir), 2).groupBy("extraction_id", "type").agg(F.count("*").alias("n"), F.min(matching.points(F.col("polygon"), 1)).alias("first_points"))
+
+
+QUERIES["page_boxes"] = _page_boxes
+ORACLES["page_boxes"] = _LINES + """, b AS (SELECT doc_id, 'line' AS type, line, 0.0 AS x0, length(content) * 10.0 AS x1 FROM docs UNION ALL SELECT doc_id, 'word', line, w * 100.0, w * 100.0 + 90 FROM words),
+  p AS (SELECT doc_id, type, printf('%.1f,%.1f %.1f,%.1f %.1f,%.1f %.1f,%.1f', CAST(x0 AS DOUBLE), CAST(line * 20 AS DOUBLE), CAST(x1 AS DOUBLE), CAST(line * 20 AS DOUBLE), CAST(x1 AS DOUBLE), CAST(line * 20 + 15 AS DOUBLE), CAST(x0 AS DOUBLE), CAST(line * 20 + 15 AS DOUBLE)) AS pts FROM b WHERE line // 40 = 1)
+  SELECT doc_id AS extraction_id, type, count(*) AS n, min(pts) AS first_points FROM p GROUP BY ALL"""
+
+
+def _line_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each document behind two blanks, its last word, and a text that no document has."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("extraction_id"), F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1)).alias("first"))
+    return docs.select("extraction_id", F.posexplode(F.array(F.concat(F.lit("  "), "first"), F.element_at(F.split("first", " "), -1), F.lit("no such text 0"))).alias("target_id", "target"))
+
+
+def _equal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _line_targets(spark, sf_dir).where("target_id = 0").withColumn("t", text.normalise(F.col("target")))
+    return matching.match_equal_lines(targets, _boxes(spark, sf_dir)).select("extraction_id", F.col("matched_text"), "confidence", "page")
+
+
+QUERIES["match_equal_lines"] = _equal_lines
+ORACLES["match_equal_lines"] = _LINES + r""", n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(content), '^\s+', ''), '\s+$', ''), '\s+', ' ', 'g') AS t FROM docs)
+  SELECT a.doc_id AS extraction_id, min_by(b.content, b.line) AS matched_text, CAST(1.0 AS DOUBLE) AS confidence, CAST(1 + min(b.line) // 40 AS INTEGER) AS page FROM n a JOIN n b ON a.doc_id = b.doc_id AND a.t = b.t WHERE a.line = 0 AND a.t <> '' GROUP BY a.doc_id"""
+
+
+def _contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_contains(_line_targets(spark, sf_dir).where("target_id = 0"), _boxes(spark, sf_dir).where("type = 'line'")).select("extraction_id", "matched_text", "page")
+
+
+QUERIES["match_contains"] = _contains
+ORACLES["match_contains"] = _LINES + r""", n AS (SELECT *, regexp_replace(regexp_replace(lower(content), '^\s+', ''), '\s+$', '') AS t FROM docs)
+  SELECT a.doc_id AS extraction_id, min_by(b.content, b.line) AS matched_text, CAST(1 + min(b.line) // 40 AS INTEGER) AS page FROM n a JOIN n b ON a.doc_id = b.doc_id AND (contains(b.t, a.t) OR contains(a.t, b.t)) WHERE a.line = 0 AND a.content <> '' GROUP BY a.doc_id"""
+
+
+def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged match of the first line, its last word and an absent text of every document."""
+    fixtures.ship(spark)
+    return matching.match_text(_line_targets(spark, sf_dir), _boxes(spark, sf_dir)).select("extraction_id", "target_id", "matched_text", "confidence", "page")
+
+
+QUERIES["match_text"] = _match
+
+
+def _reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _boxes(spark, sf_dir).where("type = 'word'")
+    corners = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.get("polygon", 2 * k), F.get("polygon", 2 * k + 1)))
+    blocks = w.select(F.col("extraction_id").alias("document_id"), "page_number", "ordinal", F.col("content").alias("text"), F.lit(1.0).alias("confidence"), corners.alias("box"))
+    return layout.reading_order(blocks).select("document_id", "page_number", "line_no", "text")
+
+
+QUERIES["reading_order"] = _reading_order
+ORACLES["reading_order"] = _LINES + "SELECT doc_id AS document_id, CAST(1 + line // 40 AS INTEGER) AS page_number, CAST(1 + line % 40 AS INTEGER) AS line_no, content AS text FROM docs"
+
+
+def _union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = _boxes(spark, sf_dir).where("type = 'word'").groupBy("extraction_id", "page_number").agg(matching.union_polygon(F.collect_list("polygon")).alias("u"))
+    return b.select("extraction_id", "page_number", *[F.get("u", F.lit(k)).alias(f"u{k}") for k in (0, 1, 4, 5)], matching.centre_pct(F.col("u"), F.lit(2000.0), F.lit(1000.0))["x"].alias("x_pct"))
+
+
+QUERIES["union_polygons"] = _union
+ORACLES["union_polygons"] = _LINES + "SELECT doc_id AS extraction_id, CAST(1 + line // 40 AS INTEGER) AS page_number, CAST(min(w) * 100 AS DOUBLE) AS u0, CAST(min(line) * 20 AS DOUBLE) AS u1, CAST(max(w) * 100 + 90 AS DOUBLE) AS u4, CAST(max(line) * 20 + 15 AS DOUBLE) AS u5, (min(w) * 100 + max(w) * 100 + 90) / 2 / 2000 * 100 AS x_pct FROM words GROUP BY 1, 2"
+_register("page_totals", "fields", lambda f: matching.page_totals(f), "SELECT extraction_id, max(page_number) AS pages FROM t_fields GROUP BY extraction_id")
+
+
+def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch form of the streaming job over the whole log."""
+    from docfields.streaming.jobs import daily_step_status
+
+    return daily_step_status(fixtures.load(spark, sf_dir, "logs"))
+
+
+QUERIES["daily_step_status"] = _stream_counts
+ORACLES["daily_step_status"] = f"SELECT strftime(created_at, '%Y-%m-%d') AS day, step, status, count(*) AS n FROM {fixtures.duck('logs')} GROUP BY ALL"
+_register("newest_logs", "logs", lambda g: g.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id"))).select("id", "document_id", "place"), "SELECT id, document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS INTEGER) AS place FROM t_logs")
