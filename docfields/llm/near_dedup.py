@@ -163,21 +163,37 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
-def _meet(rows: DataFrame, compare, schema: str, carried: list[str]) -> DataFrame:
-    """Runs compare(minor rows, other rows) on each pair of blocks of a bucket: rows outside its main component against all."""
+def _meet(rows: DataFrame, compare, schema: str, carried: list[str], groups: int) -> DataFrame:
+    """Runs compare(minor rows, other rows) on each pair of blocks of a bucket: rows outside its main component against all. Many
+    small pairs travel in one group; compare gets the columns as arrays and yields rows."""
     each = rows.groupBy("bucket").agg(F.sum(F.col("minor").cast("int")).alias("few"), F.count("*").alias("n")).where("few > 0")
     dealt = rows.join(each, "bucket")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     part = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
     left = dealt.where("minor").select("bucket", *carried, part("few").alias("i"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("j"))
     right = dealt.select(F.col("bucket").alias("at"), *[F.col(c).alias(f"other_{c}") for c in carried], part("n").alias("oj"), F.explode(F.sequence(F.lit(0), blocks("few") - 1)).alias("oi"))
+    group = lambda *key: F.pmod(F.xxhash64(*key), F.lit(groups))
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def arrays(df: pd.DataFrame, prefix: str) -> dict[str, np.ndarray]:
+        return {c: np.stack(df[prefix + c].to_list()) if c == "slots" else df[prefix + c].to_numpy() for c in carried}
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(one) and len(two):
+            x, y = arrays(one, ""), arrays(two, "other_")
+            there = two.groupby(["at", "oi", "oj"]).indices
+            for key, rows_ in one.groupby(["bucket", "i", "j"]).indices.items():
+                out += compare(int(key[0]), {c: v[rows_] for c, v in x.items()}, {c: v[there[key]] for c, v in y.items()})
+        return pd.DataFrame(out, columns=names, dtype="int64")
+
     ship()
-    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("at", "oi", "oj")).applyInPandas(compare, schema)
+    return left.withColumn("g", group("bucket", "i", "j")).groupBy("g").cogroup(right.withColumn("og", group("at", "oi", "oj")).groupBy("og")).applyInPandas(run, schema)
 
 
-def _alike(slots: np.ndarray, mine: list[int], band: int) -> np.ndarray:
+def _alike(slots: np.ndarray, mine: np.ndarray, band: int) -> np.ndarray:
     """Rows whose signatures agree often enough with mine, and for which this is the first band they share with it."""
-    same = slots == np.asarray(mine)
+    same = slots == mine
     some = np.flatnonzero(same.sum(axis=1) >= LEAST_EQUAL)
     first = same[some].reshape(len(some), BANDS, ROWS).all(axis=2).argmax(axis=1)
     return some[first == band]
@@ -193,49 +209,44 @@ def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: Data
     rows = placed.join(mixed, "bucket").join(signed.select("id", "slots"), "id")
     rows = rows.select("bucket", "band", "id", "root", "slots", (F.col("root") != F.col("main")).alias("minor"))
 
-    def likely(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def likely(bucket: int, mine: dict[str, np.ndarray], others: dict[str, np.ndarray]) -> set[tuple[int, int]]:
         out: set[tuple[int, int]] = set()
-        if len(left) and len(right):
-            ids, other_roots = right["other_id"].to_numpy(), right["other_root"].to_numpy()
-            slots = np.stack(right["other_slots"].to_list())
-            bucket, band = int(left["bucket"].iloc[0]), int(left["band"].iloc[0])
-            for i, r, s in zip(left["id"].tolist(), left["root"].tolist(), left["slots"].tolist(), strict=True):
-                hit = _alike(slots, s, band)
-                hit = hit[other_roots[hit] != r]
-                if len(hit):
-                    out.add((bucket, i))
-                    out.update((bucket, x) for x in ids[hit].tolist())
-        return pd.DataFrame(sorted(out), columns=["bucket", "id"], dtype="int64")
-
-    def exact(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        band = mine["band"][0]
+        for i, r, s in zip(mine["id"].tolist(), mine["root"].tolist(), mine["slots"], strict=True):
+            hit = _alike(others["slots"], s, band)
+            hit = hit[others["root"][hit] != r]
+            if len(hit):
+                out.add((bucket, i))
+                out.update((bucket, x) for x in others["id"][hit].tolist())
+        return out
+
+    def exact(bucket: int, mine: dict[str, np.ndarray], others: dict[str, np.ndarray]) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
-        if len(left) and len(right):
-            ids, other_roots = right["other_id"].tolist(), right["other_root"].tolist()
-            sets = [frozenset(m) for m in right["other_members"].map(np.ndarray.tolist)]
-            slots = np.stack(right["other_slots"].to_list())
-            band = int(left["band"].iloc[0])
-            joined: dict[int, int] = {}
-
-            def root(x: int) -> int:
-                while x in joined:
-                    x = joined[x]
-                return x
-
-            for i, r, s, m in zip(left["id"].tolist(), left["root"].tolist(), left["slots"].tolist(), left["members"].map(np.ndarray.tolist), strict=True):
-                mine = frozenset(m)
-                for k in _alike(slots, s, band).tolist():
-                    x, y = root(r), root(other_roots[k])
-                    if x != y:
-                        shared = len(mine & sets[k])
-                        if shared >= similarity * (len(mine) + len(sets[k]) - shared) - 1e-9:
-                            joined[max(x, y)] = min(x, y)
-                            out.append((min(i, ids[k]), max(i, ids[k])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    hits = materialise(_meet(rows, likely, "bucket long, id long", ["id", "root", "slots", "band"]).distinct(), "hits")
+        ids, roots_, band = others["id"].tolist(), others["root"].tolist(), mine["band"][0]
+        sets = [frozenset(m.tolist()) for m in others["members"]]
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in joined:
+                x = joined[x]
+            return x
+
+        for i, r, s, m in zip(mine["id"].tolist(), mine["root"].tolist(), mine["slots"], mine["members"], strict=True):
+            own = frozenset(m.tolist())
+            for k in _alike(others["slots"], s, band).tolist():
+                x, y = root(r), root(roots_[k])
+                if x != y:
+                    shared = len(own & sets[k])
+                    if shared >= similarity * (len(own) + len(sets[k]) - shared) - 1e-9:
+                        joined[max(x, y)] = min(x, y)
+                        out.append((min(i, ids[k]), max(i, ids[k])))
+        return out
+
+    groups = max(8, buckets.count() // 1024)
+    hits = materialise(_meet(rows, likely, "bucket long, id long", ["id", "root", "slots", "band"], groups).distinct(), "hits")
     sets = _sets(docs, hits.select("id").distinct(), id_col, text_col)
     few = rows.join(hits, ["bucket", "id"], "left_semi").join(sets, "id")
-    return _meet(few, exact, "a long, b long", ["id", "root", "slots", "band", "members"]).distinct()
+    return _meet(few, exact, "a long, b long", ["id", "root", "slots", "band", "members"], groups).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
