@@ -46,14 +46,14 @@ def _node(level: int) -> Column:
 
 
 def tree(leaf: DataFrame) -> list[DataFrame]:
-    """Levels 1 to LEVELS and the root: (file, node, hash) each."""
+    """Levels 1 to LEVELS and the root: (file, node, hash) each, written, so that every comparison's plan is short."""
     joined = lambda a, b: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(a, b))), lambda x: F.concat_ws(":", x[a].cast("string"), x[b])), ","), 256)
-    out = [leaf.groupBy("file", _node(0).alias("node")).agg(joined("start", "digest").alias("hash"))]
+    out = [materialise(leaf.groupBy("file", _node(0).alias("node")).agg(joined("start", "digest").alias("hash")), "level0")]
     for _ in range(1, LEVELS):
         below = out[-1].select("file", F.col("node").alias("child"), F.floor(F.col("node") / FANOUT).cast("long").alias("node"), "hash")
-        out.append(below.groupBy("file", "node").agg(joined("child", "hash").alias("hash")))
+        out.append(materialise(below.groupBy("file", "node").agg(joined("child", "hash").alias("hash")), f"level{len(out)}"))
     root = out[-1].select("file", F.col("node").alias("child"), F.lit(0).cast("long").alias("node"), "hash")
-    return [*out, root.groupBy("file", "node").agg(joined("child", "hash").alias("hash"))]
+    return [*out, materialise(root.groupBy("file", "node").agg(joined("child", "hash").alias("hash")), "root")]
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
 
     def differing(x: DataFrame, y: DataFrame) -> DataFrame:
         both = x.alias("x").join(y.alias("y"), ["file", "node"], "full")
-        return both.where(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select("file", "node")
+        return materialise(both.where(~F.col("x.hash").eqNullSafe(F.col("y.hash"))).select("file", "node"), "differing")
 
     def below(level: DataFrame, bad: DataFrame, parent: Column) -> DataFrame:
         return level.withColumn("parent", parent).join(bad.withColumnRenamed("node", "parent"), ["file", "parent"], "left_semi").drop("parent")
