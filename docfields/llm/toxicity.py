@@ -184,7 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     driver gathers is bounded: `max_words` words, and three numbers for each of `max_labelled` rows."""
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     some = sampled(marked, id_col, max_labelled, marked.count())
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(some, id_col)
+    # `some` has at most 1.2 * max_labelled rows of two numbers.
+    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("text")).join(F.broadcast(some), id_col)
     rows = rows.groupBy(F.md5("text").alias("_key")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).persist()
     try:
         sizes = {int(r.toxic): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
