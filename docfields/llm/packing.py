@@ -12,6 +12,8 @@ documents longer than the capacity are cut.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -26,18 +28,44 @@ from docfields.functions.ship import ship
 from docfields.llm.common import Memory, batch_of, materialise, rows_of, table
 
 REMEMBERED = 400_000
+#: Letters that have one lower case of one character, and marks that are tokens apart from the letters before them.
+LETTERS, ENDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!?"
 
 
 @lru_cache(maxsize=4)
 def _words(path: str) -> Memory:
     """The ids, as little-endian unsigned 32-bit bytes, of a stretch without blanks. Tokenizers that drop white space and whose
-    tokens never span it give a text's ids stretch by stretch."""
-    from tokenizers import Tokenizer
+    tokens never span it give a text's ids stretch by stretch. Words of LETTERS go straight to the model, past a normalizer
+    and a splitter that would only lower their case, where the tokenizer is seen to do just that."""
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    if tokenizer.pre_tokenizer is None or tokenizer.encode("a b \t\n\r c", add_special_tokens=False).ids != [i for w in "abc" for i in tokenizer.encode(w, add_special_tokens=False).ids]:
+    model = tokenizer.model
+    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    spelt = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+
+    def slow(w: str) -> list[int]:
+        return tokenizer.encode(w, add_special_tokens=False).ids
+
+    def fast(w: str) -> list[int]:
+        return [t.id for t in model.tokenize(w.translate(spelt))]
+
+    if tokenizer.pre_tokenizer is None or slow("a b \t\n\r c") != [i for w in "abc" for i in slow(w)]:
         raise ValueError("the tokenizer must drop white space")
-    return Memory(lambda w: np.array(tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes(), REMEMBERED)
+    letters = [c for c in map(chr, range(0x41, 0x100)) if LETTERS.fullmatch(c)]
+    probes = [*letters, "".join(letters), *"the Straße naïveté ÜBERMÄSSIG".split()]
+    direct = all(slow(w) == fast(w.lower()) and all(slow(w + e) == slow(w) + slow(e) for e in (*ENDS, ENDS)) for w in probes)
+
+    def make(w: str) -> bytes:
+        stem = w.rstrip(ENDS)
+        plain = direct and LETTERS.fullmatch(stem) is not None
+        if plain and (low := stem.lower()) != w:
+            return words[low] + (words[w[len(stem) :]] if len(stem) < len(w) else b"")
+        ids = fast(w) if plain else slow(w)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    words = Memory(make, REMEMBERED)
+    return words
 
 
 def token_bytes(text: str, path: str, end: int) -> bytes:
