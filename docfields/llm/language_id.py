@@ -6,8 +6,8 @@ language with the smallest total wins; ties go to the language first in the alph
 slower, closer search for matches, since in them a few bytes decide. A text is rejected if the second
 smallest total is nearer than `margin` of the smallest. Null texts and texts without a letter are `und`, score 0, rejected.
 
-Learning takes at most about `docs_per_language` rows of a language, chosen by a hash of the id, and `dictionary_bytes` of
-them. Rows with a null language teach nothing.
+Learning takes at most about `docs_per_language` rows of a language, chosen by a hash of the id, and of their whole texts as
+many as `dictionary_bytes` hold. Rows with a null language teach nothing.
 """
 
 from __future__ import annotations
@@ -47,12 +47,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         share = F.when(F.col(lang_col) == lang, int(grid * min(1.0, docs_per_language / n))).otherwise(share)
     some = known.where(F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(grid)) < share)
     rows = some.select(lang_col, id_col, text_col).limit(2 * docs_per_language * len(counts)).collect()
-    out: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        texts = sorted({letters(r[2]) for r in rows if r[0] == lang}, key=lambda t: zlib.crc32(t.encode()))
-        raw = " ".join(t[: max(1000, dictionary_bytes // max(1, len(texts)))] for t in texts).encode()
-        out[lang] = raw[-dictionary_bytes:] or b" "
-    return out
+    found = {lang: {letters(r[2]) for r in rows if r[0] == lang} for lang in sorted(counts)}
+    return {lang: _filled([t.encode() for t in texts if t], dictionary_bytes) for lang, texts in found.items()}
+
+
+def _filled(texts: list[bytes], most: int) -> bytes:
+    """As many whole texts as `most` bytes hold, the shortest first, so that many fit; these stand at the end, which the
+    dictionaries of short texts are cut from. If not even one fits, the end of the shortest; a space for none."""
+    texts = sorted(texts, key=lambda t: (len(t), t))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    fit = int(np.searchsorted(ends, most, side="right"))
+    return b" ".join(texts[:fit][::-1] or [t[-most:] for t in texts[:1]]) or b" "
 
 
 def _compressor(dictionary: bytes, level: int, most: int):
