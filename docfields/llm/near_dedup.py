@@ -3,7 +3,9 @@
 A text's shingles are its runs of five words (a shorter text is one shingle); their weights are 1 + ln(occurrences). Each
 shingle is a Poisson process whose rate is its weight: its arrivals come at exponential intervals and each falls on a random
 slot of the signature, which keeps its earliest arrival. A shingle is dropped as soon as its next arrival is later than every
-slot's earliest. The share of equal slots estimates the probability Jaccard similarity of the weighted shingles.
+slot's earliest. The share of equal slots estimates the probability Jaccard similarity of the weighted shingles; with all
+rates 1 it estimates the plain Jaccard similarity, by which links are verified. So each text is signed with rates of 1, and a
+text that repeats a shingle also with its weights; a pair is a candidate by any of its signatures.
 
 Signatures are cut into bands; documents with an equal band share a bucket. In each bucket every document is first compared
 with one leader, in linear work. Buckets that then still hold several components are compared further, in blocks: documents
@@ -30,10 +32,10 @@ from docfields.functions.ship import ship
 from docfields.llm.common import Memory, batch_of, materialise, rows_of, table
 
 WORDS = 5
-#: Bands and slots in a band: two texts of similarity 0.8 share a band with probability 1 - (1 - 0.8 ** 5) ** 25 > 0.9999.
+#: Bands and slots in a band: two texts of similarity 0.8 share a band of rates 1 with probability 1 - (1 - 0.8 ** 5) ** 25 > 0.9999.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-#: Signatures of similar texts (0.8) agree in fewer slots than this once in about 10 million pairs.
+#: Signatures with rates of 1 of similar texts (0.8) agree in fewer slots than this once in about 10 million pairs.
 LEAST_EQUAL = round(SLOTS * 0.61)
 BLOCK = 512
 #: Ids in at most this number are broadcast (8 bytes each); beyond it, joins shuffle.
@@ -100,7 +102,8 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands array<long>, slots array<int>): the key is a hash of the whole text; texts without a word have no bands."""
+    """(id, key, bands array<long>, slots array<int>): the key is a hash of the whole text; texts without a word have no bands.
+    Bands and slots of the signature with rates of 1 come first, then those of the weighted one if the text repeats a shingle."""
     out = pa.schema([("id", pa.int64()), ("key", pa.string()), ("bands", pa.list_(pa.int64())), ("slots", pa.list_(pa.int32()))])
 
     ship()
@@ -109,13 +112,14 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         base = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _GOLD
         for ids, keys, texts in rows_of(batches, "id", "key", "text"):
             sets = [shingles(t) for t in texts]
-            slots = signatures(sets)
-            band = np.broadcast_to(base, (len(texts), BANDS)).copy()
+            again = {k: len(sets) + n for n, k in enumerate(k for k, (_, c) in enumerate(sets) if (c > 1).any())}
+            slots = signatures([(s, np.ones_like(c)) for s, c in sets] + [sets[k] for k in again])
+            band = np.broadcast_to(base, (len(slots), BANDS)).copy()
             with np.errstate(over="ignore"):
                 for k in range(ROWS):
                     band = _mix(band * _GOLD + slots[:, k::ROWS].astype(np.uint64))
-            has = [len(s) > 0 for s, _ in sets]
-            yield batch_of(out, ids, keys, [b if h else [] for b, h in zip(band.view(np.int64), has, strict=True)], [s if h else [] for s, h in zip(slots.view(np.int32), has, strict=True)])
+            of = [[k, again[k]] if k in again else [k] if len(s) else [] for k, (s, _) in enumerate(sets)]
+            yield batch_of(out, ids, keys, *([x[k].ravel() for k in of] for x in (band.view(np.int64), slots.view(np.int32))))
 
     text = F.coalesce(text_col, F.lit(""))
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("key"), text.alias("text")).mapInArrow(run, "id long, key string, bands array<long>, slots array<int>")
@@ -203,10 +207,10 @@ def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: Data
     """Verified links across components inside buckets that hold several of them. Signatures say which documents may have
     such links; the shingle sets of these alone then meet, block by block. A task returns links that join components which
     its earlier links haven't joined, so the result is no longer than the documents that meet in it."""
-    placed = buckets.join(roots, "id", "left").select("bucket", "band", "id", F.coalesce("root", "id").alias("root"))
+    placed = buckets.join(roots, "id", "left").select("bucket", "band", "id", "kind", F.coalesce("root", "id").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rows = placed.join(mixed, "bucket").join(signed.select("id", "slots"), "id")
+    rows = placed.join(mixed, "bucket").join(signed.select("id", "kind", "slots"), ["id", "kind"])
     rows = rows.select("bucket", "band", "id", "root", "slots", (F.col("root") != F.col("main")).alias("minor"))
 
     def likely(bucket: int, mine: dict[str, np.ndarray], others: dict[str, np.ndarray]) -> set[tuple[int, int]]:
@@ -255,19 +259,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     raw = materialise(sign(docs, id_col, text_col), "signed")
     # One vertex for each distinct text, named by its smallest id; an id with several texts links them.
     texts = materialise(raw.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n_copies"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
-    signed = texts.select(F.col("rep").alias("id"), "bands", "slots").where(F.size("bands") > 0)
+    kinds = texts.where(F.size("bands") > 0).withColumn("kind", F.explode(F.sequence(F.lit(0), (F.size("bands") / BANDS).cast("int") - 1)))
+    signed = kinds.select(F.col("rep").alias("id"), "kind", *(F.slice(c, F.col("kind") * n + 1, F.lit(n)).alias(c) for c, n in (("bands", BANDS), ("slots", SLOTS))))
     own = raw.select("id", "key").join(texts.select("key", "rep", "n_copies"), "key").groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("n_copies").alias("n_copies"))
     own = materialise(own, "own")
     several = own.where("other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b"))
 
-    pairs_in = signed.select("id", F.posexplode("bands").alias("band", "bucket"))
+    pairs_in = signed.select("id", "kind", F.posexplode("bands").alias("band", "bucket"))
     leaders = pairs_in.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
     buckets = materialise(pairs_in.join(leaders, "bucket"), "buckets")
     stars = materialise(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     links = materialise(_verified(stars, docs, id_col, text_col, similarity).union(several), "links")
     roots = components(links)
 
-    found = materialise(_further(buckets.select("bucket", "band", "id"), signed, roots, docs, id_col, text_col, similarity), "more_links")
+    found = materialise(_further(buckets.select("bucket", "band", "id", "kind"), signed, roots, docs, id_col, text_col, similarity), "more_links")
     all_links = links.union(found)
     if found.limit(1).count():
         roots = components(all_links)

@@ -275,6 +275,18 @@ def test_near_dedup(spark, texts, odd, none):
     assert near_dedup.classes(none).count() == 0
 
 
+def test_near_dedup_finds_similar_sets_whatever_their_repetition(spark):
+    docs = []
+    for k in range(60):
+        words = [f"u{k}_{j}" for j in range(104)]
+        line = " ".join(f"l{k}_{j}" for j in range(12))
+        docs.append((4 * k, " ".join(words[:92] + [f"o{k}_{j}" for j in range(20)])))  # less similar, often a bucket's leader
+        docs.append((4 * k + 1, " ".join(words)))
+        docs.append((4 * k + 2, " ".join([*words, *[line] * (30, 100, 300)[k % 3]])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(df))} == brute(docs)
+
+
 def test_signature_estimates_similarity():
     rng = random.Random(4)
     a = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
