@@ -28,9 +28,12 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class, once."""
+    """Keeps the document with the smallest id of each class, once: of rows that share this id, the last in the order of text,
+    then of the other columns (nulls first). Rows are reduced by id before they are dealt out, so no task gets all of an id."""
     keep = near_dedup.classes(docs).where("doc_id = class_id").select("doc_id")
-    return docs.join(keep, "doc_id", "left_semi").select(docs.columns)
+    row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    once = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(row).alias("_row"))
+    return once.join(keep, "doc_id", "left_semi").select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -322,3 +322,14 @@ def test_pipeline(spark, odd, texts):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_near_dedup_stage_keeps_a_repeated_document_once(spark):
+    import corpus_pipeline
+
+    text = lambda k: " ".join(f"r{k}_{j}" for j in range(30))
+    kept = [(1, text(1), "en", 1), (2, text(3), "en", 1), (4, text(4), None, None)]
+    more = [kept[0]] * 50 + [(2, text(2), "en", 2), (2, None, "en", 3), (3, text(1), "en", 1), (4, text(4), None, None)]
+    docs = spark.createDataFrame(kept + more, "doc_id long, text string, lang string, n_chars int").repartition(3)
+    out = corpus_pipeline.without_near_copies(spark, docs, SF)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == kept
