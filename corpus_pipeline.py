@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame that is written
 and read again. All but the last keep the columns of documents. Nulls: a document with null text has no language and goes
-in the first stage; a null doc_id can't be joined to a decision and goes there too.
+in the first stage. The first two stages judge each row by its text, whatever its doc_id; rows with a null doc_id are no copies
+of others to near_dedup, which keeps them all.
 """
 
 from __future__ import annotations
@@ -16,24 +17,23 @@ from docfields.llm.common import fold, materialise, table
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is in doubt, or that have no letter."""
-    found = language_id.identify(docs, language_id.learn(docs.where(fold("doc_id", 3) != 1)))
-    return docs.join(found.where("not rejected").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    return language_id.confident(docs, language_id.learn(docs.where(fold("doc_id", 3) != 1)))
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity grammar predicts as toxic."""
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 4) != 2)
-    model = toxicity.learn(docs.where(fold("doc_id", 4) != 2), labels)
-    return docs.join(toxicity.score(docs, model).where("predicted = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return toxicity.without_toxic(docs, toxicity.learn(docs.where(fold("doc_id", 4) != 2), labels))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class, once: of rows that share this id, the last in the order of text,
-    then of the other columns (nulls first). Rows are reduced by id before they are dealt out, so no task gets all of an id."""
+    then of the other columns (nulls first). Rows are reduced by id before they are dealt out, so no task gets all of an id. Rows with a null id stay."""
     keep = near_dedup.classes(docs).where("doc_id = class_id").select("doc_id")
     row = F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
     once = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(row).alias("_row"))
-    return once.join(keep, "doc_id", "left_semi").select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+    kept = once.join(keep, "doc_id", "left_semi").select(*[F.col("doc_id") if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

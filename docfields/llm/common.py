@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,6 +65,21 @@ def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[
             yield tuple(part.column(i).to_pylist() for i in at)
 
 
+def rows_where(df: DataFrame, text_col: str, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
+    """The rows of df, with all columns, whose text (null as empty) passes; make() gives a task its test. No shuffle, no key."""
+    ship(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                yield part.filter(pa.array([passes(t or "") for t in part.column(at).to_pylist()], type=pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

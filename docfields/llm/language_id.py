@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
-from docfields.llm.common import batch_of, fold, rows_of, table
+from docfields.llm.common import batch_of, fold, rows_of, rows_where, table
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -95,6 +95,20 @@ class Classifier:
         return self.languages[k], float(1 / weights.sum()), float((second - total[k]) / total[k])
 
 
+def _rejected(found: tuple[str, float, float], margin: float) -> bool:
+    return found[0] == UNDETERMINED or found[2] < margin
+
+
+def confident(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = 0.01) -> DataFrame:
+    """The rows of df that identify doesn't reject, with all columns, whatever their id."""
+
+    def make():
+        classifier = Classifier(dictionaries)
+        return lambda text: not _rejected(classifier.classify(text), margin)
+
+    return rows_where(df, text_col, make)
+
+
 def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.01) -> DataFrame:
     """id, lang_pred, score, margin, rejected. No shuffle. Dictionaries have a fixed size for each language."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -107,7 +121,7 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_i
         classifier = Classifier(dictionaries)
         for keys, texts in rows_of(batches, "id", "text"):
             found = [classifier.classify(t) for t in texts]
-            yield batch_of(out, keys, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [f[0] == UNDETERMINED or f[2] < margin for f in found])
+            yield batch_of(out, keys, [f[0] for f in found], [f[1] for f in found], [f[2] for f in found], [_rejected(f, margin) for f in found])
 
     return df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, margin double, rejected boolean")
 

@@ -14,7 +14,7 @@ Jaccard similarity of the shingle sets (64-bit hashes) is at least `similarity`.
 exact copies are joined beforehand by a hash of the text, whatever their number.
 
 Null and empty texts, and texts without a word, have no shingle: equal ones of these form a class, null counting as empty.
-A doc_id names one document: rows that repeat it are in one class. Rows with a null id get a null class and take no part.
+A doc_id names one document: rows that repeat it are in one class. Rows with a null id take no part; op10 gives each a null class.
 Classes are named by their smallest id.
 """
 
@@ -254,7 +254,7 @@ def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: Data
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
-    """id, class_id (the class's smallest id), n_copies (ids with just this text), n_links (verified links of this text that
+    """A row for each id that isn't null: id, class_id (the class's smallest id), n_copies (ids with just this text), n_links (verified links of this text that
     joined it to others; links inside what is already joined are not looked for)."""
     raw = materialise(sign(docs, id_col, text_col), "signed")
     # One vertex for each distinct text, named by its smallest id; an id with several texts links them.
@@ -282,6 +282,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     return named
 
 
+def for_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """The rows of classes, and for each row with a null id one of nulls."""
+    found = classes(docs, id_col, text_col, similarity)
+    return found.union(docs.where(F.col(id_col).isNull()).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema]))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document: its class, and how many verified links and exact copies its text has."""
-    return classes(table(spark, sf_dir, "documents"))
+    return for_all(table(spark, sf_dir, "documents"))

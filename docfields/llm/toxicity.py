@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
-from docfields.llm.common import batch_of, fold, rows_of, sampled, table
+from docfields.llm.common import batch_of, fold, rows_of, rows_where, sampled, table
 
 # Symbols: other, insult, threat, target, negation, report; and what transducers make of insults and threats.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DIRECTED, NEGATED, REPORTED = "oitgnrdxq"
@@ -241,6 +241,16 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     return df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, clauses array<struct<start:int,end:int,score:double>>")
 
 
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of df that score doesn't predict as toxic, with all columns, whatever their id."""
+
+    def make():
+        scorer = Scorer(model.lexicon)
+        return lambda text: bool(model.score(np.array([scorer.features(text)]))[0] < threshold)
+
+    return rows_where(df, text_col, make)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = learn(docs.where(fold("doc_id", 4) != 2), labels.where(fold("doc_id", 4) != 2))

@@ -333,3 +333,27 @@ def test_near_dedup_stage_keeps_a_repeated_document_once(spark):
     docs = spark.createDataFrame(kept + more, "doc_id long, text string, lang string, n_chars int").repartition(3)
     out = corpus_pipeline.without_near_copies(spark, docs, SF)
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == kept
+
+
+def test_rows_without_an_id_pass_the_filters(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic = "You are an idiot. You are a worthless moron. You pathetic loser, you idiot."
+    by_id = docs.limit(200).withColumn("doc_id", docs.doc_id + 1_000_000)
+    nameless = by_id.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars")
+    odd = spark.createDataFrame([(None, None, "en", "s", 1), (None, "12 ##", "en", "s", 1)], docs.schema)
+    bad = spark.createDataFrame([(None, toxic, "en", "s", 1), (2_000_000, toxic, "en", "s", 1)], docs.schema)
+    texts_of = lambda df, where: sorted(r.text for r in df.where(where).collect())
+    all_rows = docs.union(by_id).union(nameless)
+    out = corpus_pipeline.by_language(spark, all_rows.union(odd), SF)
+    assert out.schema == docs.schema
+    assert texts_of(out, "doc_id IS NULL") == texts_of(out, "doc_id >= 1000000") and out.where("doc_id IS NULL").count() > 150
+    out = corpus_pipeline.without_toxic(spark, all_rows.union(bad), SF)
+    assert texts_of(out, "doc_id IS NULL") == texts_of(out, "doc_id >= 1000000") and out.where("doc_id IS NULL").count() > 150
+    assert toxic not in texts_of(out, "true")
+    few = docs.limit(20).union(nameless.limit(5))
+    assert corpus_pipeline.without_near_copies(spark, few, SF).where("doc_id IS NULL").count() == 5
+    few.write.parquet(str(tmp_path / "documents.parquet"))
+    out = rows(registry.QUERIES["op10_minhash_near_dedup"](spark, str(tmp_path)))
+    assert len(out) == 25 and [r["class_id"] for r in out if r["doc_id"] is None] == [None] * 5
