@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
@@ -38,7 +38,7 @@ SLOTS = BANDS * ROWS
 #: Signatures with rates of 1 of similar texts (0.8) agree in fewer slots than this once in about 10 million pairs.
 LEAST_EQUAL = round(SLOTS * 0.61)
 BLOCK = 512
-#: Ids in at most this number are broadcast (8 bytes each); beyond it, joins shuffle.
+#: Ids and texts in at most this number are broadcast (16 bytes each); beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -125,29 +125,35 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("key"), text.alias("text")).mapInArrow(run, "id long, key string, bands array<long>, slots array<int>")
 
 
+def _of(key: Column) -> Column:
+    """What tells an id's texts apart."""
+    return F.xxhash64(key).alias("of")
+
+
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, members array<long>): the shingle sets of the documents named in ids, one row each."""
-    out = pa.schema([("id", pa.int64()), ("members", pa.list_(pa.int64()))])
+    """(id, of, members array<long>): the shingle sets of the texts named in ids (id, of), one row each."""
+    out = pa.schema([("id", pa.int64()), ("of", pa.int64()), ("members", pa.list_(pa.int64()))])
 
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in rows_of(batches, "id", "text"):
-            yield batch_of(out, keys, [shingles(t)[0].view(np.int64) for t in texts])
+        for keys, of, texts in rows_of(batches, "id", "of", "text"):
+            yield batch_of(out, keys, of, [shingles(t)[0].view(np.int64) for t in texts])
 
     some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    found = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).join(some, "id", "left_semi").mapInArrow(run, "id long, members array<long>")
-    return materialise(found, "sets").dropDuplicates(["id"])
+    text = F.coalesce(text_col, F.lit(""))
+    found = docs.select(F.col(id_col).cast("long").alias("id"), _of(F.md5(text)), text.alias("text")).join(some, ["id", "of"], "left_semi").mapInArrow(run, "id long, of long, members array<long>")
+    return materialise(found, "sets").dropDuplicates(["id", "of"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    """The pairs (a, b), of pairs of texts (a, a_of, b, b_of), whose shingle sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("id"), F.col("a_of").alias("of")).union(pairs.select("b", "b_of")).distinct()
     sets = _sets(docs, ids, id_col, text_col)
-    left, right = (sets.select(F.col("id").alias(c), F.col("members").alias(f"{c}_members")) for c in "ab")
-    both = pairs.join(right, "b").join(left, "a")
+    left, right = (sets.select(F.col("id").alias(c), F.col("of").alias(f"{c}_of"), F.col("members").alias(f"{c}_members")) for c in "ab")
+    both = pairs.join(right, ["b", "b_of"]).join(left, ["a", "a_of"])
     shared = F.size(F.array_intersect("a_members", "b_members"))
-    return both.where(shared >= similarity * (F.size("a_members") + F.size("b_members") - shared) - 1e-9).select("a", "b")
+    return both.where(shared >= similarity * (F.size("a_members") + F.size("b_members") - shared) - 1e-9).select("a", "b").distinct()
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -207,21 +213,21 @@ def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: Data
     """Verified links across components inside buckets that hold several of them. Signatures say which documents may have
     such links; the shingle sets of these alone then meet, block by block. A task returns links that join components which
     its earlier links haven't joined, so the result is no longer than the documents that meet in it."""
-    placed = buckets.join(roots, "id", "left").select("bucket", "band", "id", "kind", F.coalesce("root", "id").alias("root"))
+    placed = buckets.join(roots, "id", "left").select("bucket", "band", "id", "of", "kind", F.coalesce("root", "id").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rows = placed.join(mixed, "bucket").join(signed.select("id", "kind", "slots"), ["id", "kind"])
-    rows = rows.select("bucket", "band", "id", "root", "slots", (F.col("root") != F.col("main")).alias("minor"))
+    rows = placed.join(mixed, "bucket").join(signed.select("id", "of", "kind", "slots"), ["id", "of", "kind"])
+    rows = rows.select("bucket", "band", "id", "of", "root", "slots", (F.col("root") != F.col("main")).alias("minor"))
 
-    def likely(bucket: int, mine: dict[str, np.ndarray], others: dict[str, np.ndarray]) -> set[tuple[int, int]]:
-        out: set[tuple[int, int]] = set()
+    def likely(bucket: int, mine: dict[str, np.ndarray], others: dict[str, np.ndarray]) -> set[tuple[int, int, int]]:
+        out: set[tuple[int, int, int]] = set()
         band = mine["band"][0]
-        for i, r, s in zip(mine["id"].tolist(), mine["root"].tolist(), mine["slots"], strict=True):
+        for i, t, r, s in zip(mine["id"].tolist(), mine["of"].tolist(), mine["root"].tolist(), mine["slots"], strict=True):
             hit = _alike(others["slots"], s, band)
             hit = hit[others["root"][hit] != r]
             if len(hit):
-                out.add((bucket, i))
-                out.update((bucket, x) for x in others["id"][hit].tolist())
+                out.add((bucket, i, t))
+                out.update((bucket, *x) for x in zip(others["id"][hit].tolist(), others["of"][hit].tolist(), strict=True))
         return out
 
     def exact(bucket: int, mine: dict[str, np.ndarray], others: dict[str, np.ndarray]) -> list[tuple[int, int]]:
@@ -247,9 +253,9 @@ def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: Data
         return out
 
     groups = max(8, buckets.count() // 1024)
-    hits = materialise(_meet(rows, likely, "bucket long, id long", ["id", "root", "slots", "band"], groups).distinct(), "hits")
-    sets = _sets(docs, hits.select("id").distinct(), id_col, text_col)
-    few = rows.join(hits, ["bucket", "id"], "left_semi").join(sets, "id")
+    hits = materialise(_meet(rows, likely, "bucket long, id long, of long", ["id", "of", "root", "slots", "band"], groups).distinct(), "hits")
+    sets = _sets(docs, hits.select("id", "of").distinct(), id_col, text_col)
+    few = rows.join(hits, ["bucket", "id", "of"], "left_semi").join(sets, ["id", "of"])
     return _meet(few, exact, "a long, b long", ["id", "root", "slots", "band", "members"], groups).distinct()
 
 
@@ -257,22 +263,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """A row for each id that isn't null: id, class_id (the class's smallest id), n_copies (ids with just this text), n_links (verified links of this text that
     joined it to others; links inside what is already joined are not looked for)."""
     raw = materialise(sign(docs, id_col, text_col), "signed")
-    # One vertex for each distinct text, named by its smallest id; an id with several texts links them.
+    # One vertex for the texts that have the same smallest id, which names it; an id with texts of several vertices links them.
     texts = materialise(raw.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n_copies"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
     kinds = texts.where(F.size("bands") > 0).withColumn("kind", F.explode(F.sequence(F.lit(0), (F.size("bands") / BANDS).cast("int") - 1)))
-    signed = kinds.select(F.col("rep").alias("id"), "kind", *(F.slice(c, F.col("kind") * n + 1, F.lit(n)).alias(c) for c, n in (("bands", BANDS), ("slots", SLOTS))))
-    own = raw.select("id", "key").join(texts.select("key", "rep", "n_copies"), "key").groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("n_copies").alias("n_copies"))
+    signed = kinds.select(F.col("rep").alias("id"), _of(F.col("key")), "kind", *(F.slice(c, F.col("kind") * n + 1, F.lit(n)).alias(c) for c, n in (("bands", BANDS), ("slots", SLOTS))))
+    reps = materialise(raw.select("id", "key").join(texts.select("key", "rep", "n_copies"), "key").groupBy("id", "rep").agg(F.max("n_copies").alias("n_copies")), "reps")
+    own = reps.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("n_copies").alias("n_copies"))
     own = materialise(own, "own")
-    several = own.where("other <> rep").select(F.col("rep").alias("a"), F.col("other").alias("b"))
+    several = own.where("other <> rep").select("id", F.col("rep").alias("a")).join(reps.select("id", F.col("rep").alias("b")), "id").where("a <> b").select("a", "b").distinct()
 
-    pairs_in = signed.select("id", "kind", F.posexplode("bands").alias("band", "bucket"))
-    leaders = pairs_in.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader <> last").drop("last")
+    pairs_in = signed.select("id", "of", "kind", F.posexplode("bands").alias("band", "bucket"))
+    leaders = pairs_in.groupBy("bucket").agg(F.min(F.struct("id", "of")).alias("leader"), F.max("id").alias("last")).where("leader.id <> last").drop("last")
     buckets = materialise(pairs_in.join(leaders, "bucket"), "buckets")
-    stars = materialise(buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    stars = materialise(buckets.where("id <> leader.id").select(F.col("leader.id").alias("a"), F.col("leader.of").alias("a_of"), F.col("id").alias("b"), F.col("of").alias("b_of")).distinct(), "stars")
     links = materialise(_verified(stars, docs, id_col, text_col, similarity).union(several), "links")
     roots = components(links)
 
-    found = materialise(_further(buckets.select("bucket", "band", "id", "kind"), signed, roots, docs, id_col, text_col, similarity), "more_links")
+    found = materialise(_further(buckets.select("bucket", "band", "id", "of", "kind"), signed, roots, docs, id_col, text_col, similarity), "more_links")
     all_links = links.union(found)
     if found.limit(1).count():
         roots = components(all_links)

@@ -357,3 +357,14 @@ def test_rows_without_an_id_pass_the_filters(spark, tmp_path):
     few.write.parquet(str(tmp_path / "documents.parquet"))
     out = rows(registry.QUERIES["op10_minhash_near_dedup"](spark, str(tmp_path)))
     assert len(out) == 25 and [r["class_id"] for r in out if r["doc_id"] is None] == [None] * 5
+
+
+def test_near_dedup_links_all_texts_of_an_id(spark):
+    word = lambda k: [f"t{k}_{j}" for j in range(40)]
+    text = lambda k, end="": " ".join(word(k)[: 40 - len(end)] + list(end))
+    docs = [(k, text(k)) for k in range(1, 6)] + [(9, text(k)) for k in range(1, 6)]  # id 9 has the texts of five others
+    docs += [(20, text(k)) for k in range(20, 26)] + [(k + 10, text(k, "z")) for k in range(20, 26)]  # near copies of each text of id 20
+    docs += [(50, text(50)), (51, text(51))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {k: 1 for k in (1, 2, 3, 4, 5, 9)} | {k: 20 for k in (20, *range(30, 36))} | {50: 50, 51: 51}
+    assert {r["doc_id"]: r["class_id"] for r in rows(near_dedup.classes(df))} == want
