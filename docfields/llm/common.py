@@ -6,14 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
 
-#: Rows turned into Python objects at once inside a task; bounds a task's memory to so many texts.
-SLICE = 256
+#: Rows, and bytes of text, that a task turns into Python objects at once; a longer text is taken alone.
+SLICE, SLICE_BYTES = 4096, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,13 +58,38 @@ def sampled(df: DataFrame, id_col: str, rows: int, total: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(grid)) < int(grid * rows / total)).limit(int(rows * 1.2) + 10)
 
 
-def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
-    """Lists of the named columns, SLICE rows at a time."""
+def parts_of(batches: Iterable[pa.RecordBatch], text_col: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE rows and SLICE_BYTES of text, one row at least. At the end of the task memory that
+    Arrow keeps for later goes back, since the worker may serve other stages."""
     for batch in batches:
-        at = [batch.schema.get_field_index(c) for c in columns]
-        for start in range(0, batch.num_rows, SLICE):
-            part = batch.slice(start, SLICE)
-            yield tuple(part.column(i).to_pylist() for i in at)
+        texts = batch.column(text_col)
+        length = pc.list_value_length if pa.types.is_list(texts.type) else pc.binary_length
+        ends = np.cumsum(pc.fill_null(length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start = 0
+        while start < batch.num_rows:
+            most = SLICE_BYTES + (ends[start - 1] if start else 0)
+            stop = min(start + SLICE, max(start + 1, int(np.searchsorted(ends, most, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
+    pa.default_memory_pool().release_unused()
+
+
+def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:
+    """Lists of the named columns, slice by slice; texts stand in the last one."""
+    for part in parts_of(batches, columns[-1]):
+        yield tuple(part.column(c).to_pylist() for c in columns)
+
+
+def words_of(texts: pa.Array, split: Callable[[pa.Array], pa.ListArray] = pc.ascii_split_whitespace) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(where each text's words begin and end, the number of each word, the distinct words by number)."""
+    lists = split(texts)
+    words, ends = lists.flatten(), lists.offsets.to_numpy()
+    real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)  # white space at an end leaves an empty word
+    if not real.all():
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        words = words.filter(pa.array(real))
+    coded = words.dictionary_encode()
+    return ends, coded.indices.to_numpy(), coded.dictionary
 
 
 def rows_where(df: DataFrame, text_col: str, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
@@ -72,32 +99,42 @@ def rows_where(df: DataFrame, text_col: str, make: Callable[[], Callable[[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                part = batch.slice(start, SLICE)
-                yield part.filter(pa.array([passes(t or "") for t in part.column(at).to_pylist()], type=pa.bool_()))
+        for part in parts_of(batches, at):
+            yield part.filter(pa.array([passes(t or "") for t in part.column(at).to_pylist()], type=pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
 def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 class Memory(dict):
-    """What `make` gives for the keys met of late; at most 2 * limit of them. Keys of over 64 characters are not kept."""
+    """What `make` gives for the keys met of late, in about `most_bytes` at most, if a key and what it stands for take `each` bytes
+    beside the key's characters. Keys of over 64 characters are not kept. Meant to live for one task: `clear` it at the end, since
+    Python workers go on to serve other stages."""
 
-    def __init__(self, make, limit: int) -> None:
+    def __init__(self, make: Callable, most_bytes: int, each: int = 200) -> None:
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.most, self.each, self.held, self.old = make, most_bytes // 2, each, 0, {}
+
+    def met(self, key):
+        """What the key stands for if it is remembered, else None."""
+        return self.get(key) or self.old.get(key)
 
     def __missing__(self, key):
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
         if len(key) <= 64:
-            if len(self) >= self.limit:
+            if self.held >= self.most:
                 self.old = dict(self)
-                self.clear()
+                super().clear()
+                self.held = 0
             self[key] = found
+            self.held += self.each + 4 * len(key)
         return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.old, self.held = {}, 0

@@ -13,66 +13,106 @@ documents longer than the capacity are cut.
 from __future__ import annotations
 
 import re
-import struct
+import string
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
-from docfields.llm.common import Memory, batch_of, materialise, rows_of, table
+from docfields.llm.common import batch_of, materialise, parts_of, table, words_of
 
+#: Distinct words that a task remembers from slice to slice, about 150 bytes each.
 REMEMBERED = 400_000
-#: Letters that have one lower case of one character, and marks that are tokens apart from the letters before them.
-LETTERS, ENDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+"), ".,!?"
-
-
-@lru_cache(maxsize=4)
-def _words(path: str) -> Memory:
-    """The ids, as little-endian unsigned 32-bit bytes, of a stretch without blanks. Tokenizers that drop white space and whose
-    tokens never span it give a text's ids stretch by stretch. Words of LETTERS go straight to the model, past a normalizer
-    and a splitter that would only lower their case, where the tokenizer is seen to do just that."""
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-    as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    spelt = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
-
-    def slow(w: str) -> list[int]:
-        return tokenizer.encode(w, add_special_tokens=False).ids
-
-    def fast(w: str) -> list[int]:
-        return [t.id for t in model.tokenize(w.translate(spelt))]
-
-    if tokenizer.pre_tokenizer is None or slow("a b \t\n\r c") != [i for w in "abc" for i in slow(w)]:
-        raise ValueError("the tokenizer must drop white space")
-    letters = [c for c in map(chr, range(0x41, 0x100)) if LETTERS.fullmatch(c)]
-    probes = [*letters, "".join(letters), *"the Straße naïveté ÜBERMÄSSIG".split()]
-    direct = all(slow(w) == fast(w.lower()) and all(slow(w + e) == slow(w) + slow(e) for e in (*ENDS, ENDS)) for w in probes)
-
-    def make(w: str) -> bytes:
-        stem = w.rstrip(ENDS)
-        plain = direct and LETTERS.fullmatch(stem) is not None
-        if plain and (low := stem.lower()) != w:
-            return words[low] + (words[w[len(stem) :]] if len(stem) < len(w) else b"")
-        ids = fast(w) if plain else slow(w)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    words = Memory(make, REMEMBERED)
-    return words
-
-
-def token_bytes(text: str, path: str, end: int) -> bytes:
-    """A document's ids and the end id, 4 bytes each."""
-    words = _words(path)
-    parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    return b"".join([words[w] for w in parts if w]) + int(end).to_bytes(4, "little")
+#: Letters that have one lower case of one character, and marks whose runs are apart from the letters before them.
+LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "".join(c for c in string.punctuation if c != "'")
+
+
+class Encoder:
+    """The ids of words. Tokenizers that drop white space and whose tokens never span it give a text's ids word by word. Words of
+    LETTERS go straight to the model in lower case, past a normalizer and a splitter that would do no more to them, and the
+    marks behind them apart, where the tokenizer is seen to do just that."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelt = str.maketrans({c: as_bytes.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x100))})
+        if self.tokenizer.pre_tokenizer is None or self.slow("a b \t\n\r\v\f c") != [i for w in "abc" for i in self.slow(w)]:
+            raise ValueError("the tokenizer must drop white space")
+        letters = [c for c in map(chr, range(0x41, 0x100)) if re.fullmatch(f"[{LETTERS}]", c)]
+        probes = [*letters, "".join(letters), *"the Straße naïveté ÜBERMÄSSIG".split()]
+        self.direct = all(self.slow(w) == self.fast(w.lower()) and all(self.slow(w + e) == self.slow(w) + self.slow(e) for e in (*MARKS, MARKS)) for w in probes)
+        self.clear()
+
+    def slow(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def fast(self, word: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.spelt))]
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.known = Ragged(np.empty(0, "<u4"), np.array([0, 0]))
+
+    def numbers(self, words: list[str], how: Callable[[str], list[int]]) -> np.ndarray:
+        """The run of `known` that holds each word's ids; words not met before are encoded."""
+        new = [w for w in words if w not in self.number]
+        if new:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new)), strict=True))
+            ids = list(map(how, new))
+            flat = np.fromiter(chain.from_iterable(ids), "<u4")
+            self.known = Ragged(np.concatenate([self.known.ids, flat]), np.concatenate([self.known.ends, self.known.ends[-1] + np.cumsum(list(map(len, ids)))]))
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array) -> Ragged:
+        """The ids of each text. Each distinct word of them is encoded once, and each stem once for all its marks and cases."""
+        if len(self.number) > REMEMBERED:
+            self.clear()
+        ends, number, distinct = words_of(texts)
+        found = pc.extract_regex(distinct, f"^(?P<stem>[{LETTERS}]+)(?P<marks>[{re.escape(MARKS)}]*)$")
+        plain = found.is_valid().to_numpy(zero_copy_only=False) & self.direct
+        stems, marks = (c.filter(pa.array(plain)).dictionary_encode() for c in (pc.utf8_lower(found.field("stem")), found.field("marks")))
+        parts = np.zeros((len(distinct), 2), np.int64)
+        for at, coded, how in ((0, stems, self.fast), (1, marks, self.slow)):
+            parts[plain, at] = self.numbers(coded.dictionary.to_pylist(), how)[coded.indices.to_numpy()]
+        parts[~plain, 0] = self.numbers(distinct.filter(pa.array(~plain)).to_pylist(), self.slow)
+        words = self.known.take(parts.ravel())
+        return Ragged(words.ids, words.ends[::2]).take(number).joined(ends)
+
+
+@dataclass(frozen=True)
+class Ragged:
+    """Runs of ids, one after the other: run k is ids[ends[k]:ends[k + 1]]."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+
+    def take(self, which: np.ndarray) -> Ragged:
+        """The runs of these numbers, in this order."""
+        first, size = self.ends[which], np.diff(self.ends)[which]
+        last = np.cumsum(size)
+        total = int(last[-1]) if len(last) else 0
+        return Ragged(self.ids[np.repeat(first - (last - size), size) + np.arange(total)], np.append(0, last))
+
+    def joined(self, ends: np.ndarray) -> Ragged:
+        """Runs made of the runs ends[k] to ends[k + 1]."""
+        return Ragged(self.ids, self.ends[ends])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end: int = 0, with_ids: bool = False) -> DataFrame:
@@ -85,14 +125,17 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity:
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in rows_of(batches, "id", "text"):
+        last = np.array([end], "<u4")
+        for part in parts_of(batches):
+            found = encoder(tokenizer).encode(part.column("text"))
             rows = []
-            for key, text in zip(keys, texts, strict=True):
-                raw = token_bytes(text, tokenizer, end)
-                for n, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    rows.append((key, n, at // 4, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if with_ids else [])))
+            for key, a, b in zip(part.column("id").to_pylist(), found.ends[:-1].tolist(), found.ends[1:].tolist(), strict=True):
+                whole = np.concatenate([found.ids[a:b], last])
+                for n, at in enumerate(range(0, len(whole), capacity)):
+                    piece = whole[at : at + capacity]
+                    rows.append((key, n, at, len(piece), zlib.crc32(piece), *([piece.astype(np.int32)] if with_ids else [])))
             yield batch_of(out, *([list(c) for c in zip(*rows, strict=True)] or [[] for _ in out]))
+        encoder(tokenizer).clear()
 
     return df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

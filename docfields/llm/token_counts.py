@@ -29,7 +29,7 @@ RULES = ("largest", "first", "split")
 Spans = list[tuple[int, int]]
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str):
     """The tokenizer and the length in bytes of each of its tokens; one of each per worker process."""
     import tiktoken
