@@ -7,10 +7,11 @@ merges, latest first, and asking at each step whether the two symbols at the bor
 was used up (``PrefixTable.side_by_side``). The ids are then read off backwards.
 
 Text falls apart at spaces and line breaks wherever no piece of the model spans such a place, so each distinct stretch is
-encoded once per worker (bounded memory) and its ids are reused. Pieces of spaces alone all have one score in common models;
+encoded once per task (bounded memory) and its ids are reused. Pieces of spaces alone all have one score in common models;
 their merges come last and go leftmost first, which ``PrefixTable.spaces`` follows.
 
-Null text counts as empty; an empty text has no ids but the end id. Models must be of type BPE with identity normalization.
+Null text counts as empty; an empty text has no ids but the end id. Texts of any length are encoded whole; rows repeated in full
+give equal rows, an empty table an empty one. Models must be of type BPE with identity normalization.
 """
 
 from __future__ import annotations
@@ -22,17 +23,18 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
-from docfields.llm.common import Memory, batch_of, rows_of, table
+from docfields.llm.common import Memory, batch_of, parts_of, rows_of, table, words_of
 
 SPACE = "▁"
 #: Spaces that aren't each followed by a word.
 RUN_OF_SPACES = re.compile(r"^ |  | \n|\n |^\n| $")
-#: Distinct stretches of text that a worker remembers.
-REMEMBERED = 600_000
+#: Bytes of distinct stretches of text, and pairs of tokens, that a task remembers (a pair takes about 100 bytes).
+REMEMBERED, PAIRS = 64 << 20, 300_000
 
 
 class PrefixTable:
@@ -75,7 +77,7 @@ class PrefixTable:
         self.gaps = {len(p): i for p, i in self.ids.items() if not p.strip(SPACE)}
         self.pairs: dict[int, bool] = {}
         self.decimal = [str(i) for i in range(len(self.pieces))]
-        self.memory = Memory(self._ids_and_text, REMEMBERED)
+        self.memory = Memory(self._ids_and_text, REMEMBERED, each=350)
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two symbols whose merge makes this piece, or None if merging its characters never gives it."""
@@ -114,6 +116,8 @@ class PrefixTable:
                     try:
                         fits = pairs[pair]
                     except KeyError:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
                         fits = pairs[pair] = self.side_by_side(last[before], token)
                     if not fits:
                         continue
@@ -150,8 +154,8 @@ class PrefixTable:
     def _ids_and_text(self, text: str) -> tuple[str, str]:
         """The ids of a stretch as decimal text, and what they decode to."""
         if self.chars.issuperset(text):
-            if text[-1] in ".," and len(text) > 2:  # one more step of the table from a prefix met before
-                ids_text, decoded = self.memory[text[:-1]]
+            if text[-1] in ".," and (met := self.memory.met(text[:-1])):  # one more step of the table from a prefix met before
+                ids_text, decoded = met
                 if self.side_by_side(int(ids_text[ids_text.rfind(" ") + 1 :]), self.ids[text[-1]]):
                     return f"{ids_text} {self.decimal[self.ids[text[-1]]]}", decoded + text[-1]
             ids = self.known(text)
@@ -200,6 +204,27 @@ class PrefixTable:
         decoded = "".join([d for _, d in parts])
         return " ".join([i for i, _ in parts if i]) + f" {self.end}", decoded[1:] if self.prefix and decoded.startswith(" ") else decoded
 
+    def encode(self, texts: pa.Array) -> list[tuple[str, str]]:
+        """What `encoded` gives for each text. Each distinct stretch is looked up once; texts with runs of spaces go one by one, and
+        so do those whose ids might outgrow an Arrow array of strings."""
+        size = pc.binary_length(texts)
+        plain = pc.and_not(pc.and_(pc.greater(size, 0), pc.less(size, 1 << 26)), pc.or_(pc.match_substring(texts, SPACE), pc.match_substring_regex(texts, RUN_OF_SPACES.pattern)))
+        plain = plain.to_numpy(zero_copy_only=False) & self.breaks
+        out = list(map(self.encoded, texts.filter(pa.array(~plain)).to_pylist()))
+        if plain.any():
+            cut = pc.replace_substring(pc.replace_substring(texts.filter(pa.array(plain)), " ", " " + SPACE), "\n", " \n ")
+            ends, number, distinct = words_of(pc.binary_join_element_wise(SPACE, cut, "") if self.prefix else cut, lambda x: pc.split_pattern(x, " "))
+            ids, decoded = zip(*[self.memory[w] for w in distinct.to_pylist()], strict=True)
+            whole = [pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(c, pa.string()).take(pa.array(number))), by).to_pylist() for c, by in ((ids, " "), (decoded, ""))]
+            found = iter([(f"{i} {self.end}", d[1:] if self.prefix and d.startswith(" ") else d) for i, d in zip(*whole, strict=True)])
+            rest = iter(out)
+            out = [next(found) if p else next(rest) for p in plain.tolist()]
+        return out
+
+    def forget(self) -> None:
+        self.memory.clear()
+        self.pairs.clear()
+
     def decoded(self, ids: list[int]) -> str:
         """What ids stand for, spaces of the first piece included; bytes that are no UTF-8 become U+FFFD."""
         surface, byte_of, out, raw = self.surface, self.byte_of, [], bytearray()
@@ -218,7 +243,7 @@ class PrefixTable:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=2)
 def prefix_table(path: str) -> PrefixTable:
     return PrefixTable(path)
 
@@ -236,13 +261,14 @@ def encode(df: DataFrame, id_col: str, text_col: str, model: str, digests: bool
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = prefix_table(model)
-        for keys, texts in rows_of(batches, "id", "text"):
-            done = [codec.encoded(t) for t in texts]
+        for part in parts_of(batches):
+            keys, done = part.column("id"), codec.encode(part.column("text"))
             counts = [i.count(" ") + 1 for i, _ in done]
             if digests:
                 yield batch_of(out, keys, counts, [hashlib.sha256(i.encode()).hexdigest() for i, _ in done], [hashlib.sha256(d.encode()).hexdigest() for _, d in done])
             else:
                 yield batch_of(out, keys, counts, [list(map(int, i.split(" "))) for i, _ in done], [d for _, d in done])
+        codec.forget()
 
     return df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, schema)
 
