@@ -25,21 +25,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
-from docfields.llm.common import Memory, batch_of, materialise, rows_of, table
+from docfields.llm.common import batch_of, materialise, parts_of, table, words_of
 
 WORDS = 5
 #: Bands and slots in a band: two texts of similarity 0.8 share a band of rates 1 with probability 1 - (1 - 0.8 ** 5) ** 25 > 0.9999.
 BANDS, ROWS = 25, 5
 SLOTS = BANDS * ROWS
-#: Signatures with rates of 1 of similar texts (0.8) agree in fewer slots than this once in about 10 million pairs.
+#: Slots are won independently, so signatures with rates of 1 of texts of similarity 0.8 agree in fewer slots than this once in
+#: about 4 million pairs (a binomial tail), more rarely than such texts share no band (one in 20,000); a test counts both.
 LEAST_EQUAL = round(SLOTS * 0.61)
 BLOCK = 512
 #: Ids and texts in at most this number are broadcast (16 bytes each); beyond it, joins shuffle.
 BROADCAST_ROWS = 1_000_000
+HOT_KEYS = 2000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -51,30 +54,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(word: str) -> int:
-    import xxhash
+Sets = list[tuple[np.ndarray, np.ndarray]]
 
-    return xxhash.xxh64_intdigest(word)
 
-
-_HASHES = Memory(_word_hash, 300_000)
-
-
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the distinct shingles, sorted, and how often each occurs."""
-    words = text.split()
-    if not words:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    h = np.array([_HASHES[w] for w in words], dtype=np.uint64)
-    n = max(1, len(h) - WORDS + 1)
-    out = np.full(n, len(words) if len(words) < WORDS else WORDS, dtype=np.uint64)
+def shingles(texts: pa.Array) -> Sets:
+    """For each text the hashes of its distinct shingles, sorted, and how often each occurs. Words are parted by Unicode white space."""
+    ends, number, distinct = words_of(texts, pc.utf8_split_whitespace)
+    h = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)[number]
+    size = np.diff(ends)
+    runs = np.full(len(h), WORDS, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(min(WORDS, len(h))):
-            out = _mix(out * _GOLD + h[k : k + n])
-    return np.unique(out, return_counts=True)
+            runs[: len(h) - k] = _mix(runs[: len(h) - k] * _GOLD + h[k:])
+    out = []
+    for a, n in zip(ends[:-1].tolist(), size.tolist(), strict=True):
+        if n >= WORDS:
+            out.append(np.unique(runs[a : a + n - WORDS + 1], return_counts=True))
+        else:
+            few = np.full(min(n, 1), n, dtype=np.uint64)
+            with np.errstate(over="ignore"):
+                for k in range(n):
+                    few = _mix(few * _GOLD + h[a + k])
+            out.append((few, np.ones(len(few), dtype=np.int64)))
+    return out
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+def signatures(sets: Sets) -> np.ndarray:
     """A row of SLOTS shingle hashes (their low 32 bits) for each weighted set; sets without shingles get zeros."""
     docs = len(sets)
     of = np.repeat(np.arange(docs), [len(s) for s, _ in sets])
@@ -90,17 +95,25 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             draw = _mix(element + arrival * _GOLD)
             clock = clock - np.log(((draw >> np.uint64(11)).astype(float) + 1) / 2.0**53) / rate
             slot = of * SLOTS + (_mix(draw) % np.uint64(SLOTS)).astype(np.int64)
-            order = np.lexsort((element, clock, slot))
-            head = order[np.r_[True, slot[order][1:] != slot[order][:-1]]]
-            better = head[clock[head] < earliest[slot[head]]]
-            earliest[slot[better]] = clock[better]
-            holder[slot[better]] = element[better].astype(np.uint32)
+            np.minimum.at(earliest, slot, clock)
+            won = clock == earliest[slot]  # elements of a text are in order, so the largest of equally early ones holds a slot
+            holder[slot[won]] = element[won].astype(np.uint32)
             latest = earliest.reshape(docs, SLOTS).max(axis=1)
             alive = clock <= latest[of]  # later arrivals of the others come later still
             of, element, rate, clock = of[alive], element[alive], rate[alive], clock[alive]
     return holder.reshape(docs, SLOTS)
 
 
+def _few(sets: Sets) -> Iterator[slice]:
+    """Stretches of the sets with about 2 ** 18 shingles each, so that arrays of a stretch stay small."""
+    ends = np.cumsum([len(s) for s, _ in sets])
+    start = 0
+    while start < len(sets):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + 2**18, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
 def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, key, bands array<long>, slots array<int>): the key is a hash of the whole text; texts without a word have no bands.
     Bands and slots of the signature with rates of 1 come first, then those of the weighted one if the text repeats a shingle."""
@@ -110,16 +123,18 @@ def sign(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * _GOLD
-        for ids, keys, texts in rows_of(batches, "id", "key", "text"):
-            sets = [shingles(t) for t in texts]
-            again = {k: len(sets) + n for n, k in enumerate(k for k, (_, c) in enumerate(sets) if (c > 1).any())}
-            slots = signatures([(s, np.ones_like(c)) for s, c in sets] + [sets[k] for k in again])
-            band = np.broadcast_to(base, (len(slots), BANDS)).copy()
-            with np.errstate(over="ignore"):
-                for k in range(ROWS):
-                    band = _mix(band * _GOLD + slots[:, k::ROWS].astype(np.uint64))
-            of = [[k, again[k]] if k in again else [k] if len(s) else [] for k, (s, _) in enumerate(sets)]
-            yield batch_of(out, ids, keys, *([x[k].ravel() for k in of] for x in (band.view(np.int64), slots.view(np.int32))))
+        for part in parts_of(batches):
+            whole = shingles(part.column("text"))
+            for few in _few(whole):
+                sets, rows = whole[few], part.slice(few.start, few.stop - few.start)
+                again = {k: len(sets) + n for n, k in enumerate(k for k, (_, c) in enumerate(sets) if (c > 1).any())}
+                slots = signatures([(s, np.ones_like(c)) for s, c in sets] + [sets[k] for k in again])
+                band = np.broadcast_to(base, (len(slots), BANDS)).copy()
+                with np.errstate(over="ignore"):
+                    for k in range(ROWS):
+                        band = _mix(band * _GOLD + slots[:, k::ROWS].astype(np.uint64))
+                of = [[k, again[k]] if k in again else [k] if len(s) else [] for k, (s, _) in enumerate(sets)]
+                yield batch_of(out, rows.column("id"), rows.column("key"), *([x[k].ravel() for k in of] for x in (band.view(np.int64), slots.view(np.int32))))
 
     text = F.coalesce(text_col, F.lit(""))
     return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("key"), text.alias("text")).mapInArrow(run, "id long, key string, bands array<long>, slots array<int>")
@@ -137,8 +152,8 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFr
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, of, texts in rows_of(batches, "id", "of", "text"):
-            yield batch_of(out, keys, of, [shingles(t)[0].view(np.int64) for t in texts])
+        for part in parts_of(batches):
+            yield batch_of(out, part.column("id"), part.column("of"), [s.view(np.int64) for s, _ in shingles(part.column("text"))])
 
     some = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     text = F.coalesce(text_col, F.lit(""))
@@ -156,12 +171,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, sim
     return both.where(shared >= similarity * (F.size("a_members") + F.size("b_members") - shared) - 1e-9).select("a", "b").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each linked id's component. Each round takes the smallest root among neighbours, then the
-    root's own root; a round is written to the shared folder, so lineage stays short."""
+    root's own root, until nothing changes; a round is written to the shared folder, so lineage stays short."""
     edges = materialise(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     roots = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(roots, edges["b"] == roots["id"]).groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
         nearer = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("mid"))
         up = roots.select(F.col("id").alias("mid"), F.col("root").alias("top"))
@@ -170,7 +185,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         roots = moved.select("id", "root")
         if not changed:
             return roots
-    raise RuntimeError(f"components didn't settle in {most_rounds} rounds")
 
 
 def _meet(rows: DataFrame, compare, schema: str, carried: list[str], groups: int) -> DataFrame:
@@ -259,15 +273,24 @@ def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: Data
     return _meet(few, exact, "a long, b long", ["id", "root", "slots", "band", "members"], groups).distinct()
 
 
+def _with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to facts, which has each key once and says in `count` how many rows have it. Keys of over 1 / HOT_KEYS of all
+    rows, of which there are less than HOT_KEYS, are broadcast, so that no task gets a hot key's rows; the others are shuffled."""
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col(count) * HOT_KEYS > total))
+    facts_of_rest = facts.where(F.col(count) * HOT_KEYS <= total)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(facts_of_rest, key)).drop(count)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """A row for each id that isn't null: id, class_id (the class's smallest id), n_copies (ids with just this text), n_links (verified links of this text that
     joined it to others; links inside what is already joined are not looked for)."""
     raw = materialise(sign(docs, id_col, text_col), "signed")
     # One vertex for the texts that have the same smallest id, which names it; an id with texts of several vertices links them.
-    texts = materialise(raw.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n_copies"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
+    texts = materialise(raw.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n_copies"), F.count("*").alias("n_rows"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
     kinds = texts.where(F.size("bands") > 0).withColumn("kind", F.explode(F.sequence(F.lit(0), (F.size("bands") / BANDS).cast("int") - 1)))
     signed = kinds.select(F.col("rep").alias("id"), _of(F.col("key")), "kind", *(F.slice(c, F.col("kind") * n + 1, F.lit(n)).alias(c) for c, n in (("bands", BANDS), ("slots", SLOTS))))
-    reps = materialise(raw.select("id", "key").join(texts.select("key", "rep", "n_copies"), "key").groupBy("id", "rep").agg(F.max("n_copies").alias("n_copies")), "reps")
+    reps = materialise(_with_facts(raw.select("id", "key"), texts.select("key", "rep", "n_copies", "n_rows"), "key", "n_rows").groupBy("id", "rep").agg(F.max("n_copies").alias("n_copies")), "reps")
     own = reps.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("n_copies").alias("n_copies"))
     own = materialise(own, "own")
     several = own.where("other <> rep").select("id", F.col("rep").alias("a")).join(reps.select("id", F.col("rep").alias("b")), "id").where("a <> b").select("a", "b").distinct()
@@ -284,9 +307,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     if found.limit(1).count():
         roots = components(all_links)
     degree = all_links.select(F.col("a").alias("rep")).union(all_links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_rep = own.select("rep").distinct().join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    named = own.select("id", "rep", "n_copies").join(by_rep, "rep").select(F.col("id").alias(id_col), F.coalesce("root", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return named
+    by_rep = materialise(own.groupBy("rep").agg(F.count("*").alias("n_ids")).join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left"), "classes")
+    named = _with_facts(own.select("id", "rep", "n_copies"), by_rep, "rep", "n_ids")
+    return named.select(F.col("id").alias(id_col), F.coalesce("root", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def for_all(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:

@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
@@ -71,9 +73,11 @@ def test_sentencepiece(spark, texts, odd, none):
     table = sentencepiece_codec.prefix_table(model)
     rng = random.Random(3)
     fuzz = ["".join(rng.choice(a) for _ in range(rng.randrange(50))) for a in ("aethion nd  the ▁.\n\t<s>é日😀\x00ANO09__ {}()", "  ab the\n", "thererandingtion") for _ in range(1500)] + [" " * n for n in range(80)]
-    for t in fuzz:
+    fuzz += ["." * 10_000, "," * 10_000, ".," * 5000, "a" + "." * 3000 + " b" + "," * 700 + " ." + ". " * 900, "." * 600 + "x", "x" + "." * 600]
+    fuzz += ["".join(rng.choice(".,.,.,ab ") for _ in range(rng.randrange(900))) for _ in range(300)]
+    for t, got in zip(fuzz, table.encode(pa.array(fuzz)), strict=True):
         ids = lib.encode(t, add_eos=True)
-        assert table.encoded(t) == (" ".join(map(str, ids)), lib.decode(ids)), t
+        assert got == table.encoded(t) == (" ".join(map(str, ids)), lib.decode(ids)), t
     for r in rows(registry.QUERIES["op2_sentencepiece"](spark, SF)):
         ids = lib.encode(texts[r["doc_id"]], add_eos=True)
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
@@ -170,9 +174,13 @@ def test_packing(spark, texts, odd, none):
             assert at <= 2048
         assert len(places) <= -(-sum(r["length"] for r in out) // 2048) * 1.05 + 1
     assert packing.pack_documents(none, path).count() == 0
-    for _ in range(2000):
-        t = "".join(rng.choice("aB.,!? \n'éÉßÿÜ×µªºİΣ日😀́2stT") for _ in range(rng.randrange(40)))
-        assert packing.token_bytes(t, path, 0) == b"".join(x.to_bytes(4, "little") for x in [*lib.encode(t, add_special_tokens=False).ids, 0])
+    fuzz = ["", " ", "x"]
+    for _ in range(6000):
+        t = "".join(rng.choice("aB\v\f\u00a0\u2003.,!? \n'éÉßÿÜ×µªºİΣ日😀́2stT") for _ in range(rng.randrange(40)))
+        fuzz.append(t)
+    found = packing.encoder(path).encode(pa.array(fuzz))
+    for t, a, b in zip(fuzz, found.ends, found.ends[1:]):
+        assert found.ids[a:b].tolist() == lib.encode(t, add_special_tokens=False).ids, t
     for _ in range(30):
         h = {rng.randrange(1, 33): rng.randrange(1, 40) for _ in range(8)}
         seen = defaultdict(list)
@@ -292,13 +300,27 @@ def test_signature_estimates_similarity():
     a = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
     w = a.split()
     b = " ".join(w[:300] + [f"q{k}" for k in range(100)])
-    sets = [near_dedup.shingles(t) for t in (a, b, "", "one two")]
+    sets = near_dedup.shingles(pa.array([a, b, "", "one two"]))
     s = near_dedup.signatures(sets)
     n = len(set(sets[0][0].tolist()) & set(sets[1][0].tolist()))
     true = n / (len(sets[0][0]) + len(sets[1][0]) - n)
     assert abs((s[0] == s[1]).mean() - true) < 0.15 and (s[0] == near_dedup.signatures(sets[:1])[0]).all()
 
 
+def test_similar_texts_share_a_band_and_enough_slots():
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 2**63, n).astype(np.uint64)
+    sets = []
+    for k in range(1500):
+        n = (4, 40, 400)[k % 3]  # 8 n shared of 10 n: similarity 0.8
+        both = draw(8 * n)
+        sets += [(np.sort(np.concatenate([both, draw(n)])), np.ones(9 * n)) for _ in range(2)]
+    s = near_dedup.signatures(sets)
+    same = s[0::2] == s[1::2]
+    bands = same.reshape(len(same), near_dedup.BANDS, near_dedup.ROWS).all(axis=2).any(axis=1)
+    assert (~bands).sum() <= 1 and (same.sum(axis=1) >= near_dedup.LEAST_EQUAL).all()
+
+
 def test_pipeline(spark, odd, texts):
     import corpus_pipeline
 
