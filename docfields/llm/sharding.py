@@ -1,127 +1,122 @@
 """Sharding by histogram sort, with DataFrame functions alone.
 
-Rows get a 64-bit sort key: 32 bits of a hash of the text, so equal texts are neighbours, then 32 bits of a hash of the id, so
-a group of copies of any size can be cut. The driver looks for the keys at which the rows, in the order of their keys, reach
-given numbers of bytes: each round counts bytes and rows exactly below evenly spread probes inside the cells that still hold
-a wanted boundary, and narrows these cells, until every boundary is as near as the tolerance asks, or its cell holds one key.
-Then rows go to their ranges in one exchange. A shard is a run of ranges; a row's slot in it is the rows of the shard's earlier
-ranges, which the counts tell, and its place in its own range.
-
-Law `bytes`: shards have nearly equal sizes. Null text has no bytes; null ids are hashed as such. Rows with equal text and equal id
-have one key and stay together. An empty table gives an empty result.
+Rows are ordered by two 63-bit keys: a hash of the text, so equal texts are neighbours, then a hash of the id and the row's place
+in the input, so that a group of copies of any size can be cut, even one of rows repeated in full. The keys are written to the
+shared folder first: a row has the same place in every pass, whatever executors are lost.
+
+The driver looks for the keys at which the rows, in this order, reach given numbers of bytes: each round counts bytes and rows
+exactly below evenly spread probes inside the cells that still hold a wanted boundary, and narrows these cells, until every
+boundary is as near as the tolerance asks, or its cell holds one key. Where one text's hash holds a boundary, the second key goes on
+inside it. Then the rows are exchanged once, dealt to groups of about RANGE_BYTES inside their shards, and numbered there.
+
+Law `bytes`: shards have nearly equal sizes. Null text has no bytes; null ids are hashed as such. An empty table gives an empty
+result. Columns of the input keep their names; a name that begins with `_` should not be one that is added.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docfields.llm.common import table, text_or_empty
-
-#: Keys are 0 <= key < 2 ** 62; a round splits each cell into 2 ** STEP.
-KEY_BITS, STEP = 62, 10
-#: A shard is sorted in ranges of about this many bytes, at most MOST_RANGES of them.
-RANGE_BYTES, MOST_RANGES = 256 << 20, 64
+from docfields.llm.common import materialise, table, text_or_empty
 
-
-def sort_key(text: Column, row_id: Column) -> Column:
-    """The text's hash above, the id's below; positive."""
-    high = F.shiftrightunsigned(F.xxhash64(text), 33)  # 31 bits
-    low = F.shiftrightunsigned(F.xxhash64(row_id), 33)
-    return F.shiftleft(high, 31).bitwiseOR(low)
+#: Keys are 0 <= key < 2 ** KEY_BITS.
+KEY_BITS = 63
+#: Most cells that the driver gathers in a round, over all boundaries that are open (one cell for each of them at least).
+MOST_CELLS = 1 << 16
+#: Rows of a shard are numbered in groups of about this many bytes.
+RANGE_BYTES = 256 << 20
 
 
 @dataclass(frozen=True)
 class Boundary:
-    """Rows with a key below `key` hold so many bytes and rows."""
+    """Rows before (text key, row key) hold so many bytes and rows."""
 
-    key: int
+    key: tuple[int, int]
     bytes: int
     rows: int
 
 
-def boundaries(keyed: DataFrame, targets: list[tuple[int, float]], total_bytes: int, total_rows: int) -> list[Boundary]:
-    """For each (wanted bytes, tolerance) the boundary nearest to it that the keys allow, or one within the tolerance. keyed has
-    `key` and `size`. The driver sees 2 ** STEP cells for each boundary that is still open."""
-    # cell: (shift, index) covers the keys index << shift to (index + 1) << shift, with what lies below and inside it.
-    open_cells = {(KEY_BITS, 0): ((0, 0), (total_bytes, total_rows), list(range(len(targets))))}
-    best: dict[int, Boundary] = {}
-
-    def offer(t: int, b: Boundary) -> bool:
-        if t not in best or abs(b.bytes - targets[t][0]) < abs(best[t].bytes - targets[t][0]):
-            best[t] = b
-        return abs(best[t].bytes - targets[t][0]) <= targets[t][1]
-
-    while open_cells:
-        shift = next(iter(open_cells))[0]
-        fine = max(0, shift - STEP)
-        cell, sub = F.shiftright("key", shift), F.shiftright("key", fine)
-        inside = keyed if shift == KEY_BITS else keyed.where(cell.isin([i for _, i in open_cells]))
-        counted = inside.groupBy(sub.alias("cell")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
-        by_cell: dict[int, list] = {}
-        for r in sorted(counted):
-            by_cell.setdefault(r.cell >> (shift - fine), []).append(r)
-        narrower: dict[tuple[int, int], tuple] = {}
-        for (_, index), ((size, rows), _, wanted) in open_cells.items():
-            place = [Boundary(index << shift, size, rows)]
-            for r in by_cell.get(index, []):
-                place.append(Boundary((r.cell + 1) << fine, place[-1].bytes + r["size"], place[-1].rows + r.n))
-            for t in wanted:
-                near = min(range(len(place)), key=lambda k: abs(place[k].bytes - targets[t][0]))
-                if offer(t, place[near]) or not fine:
+def _narrowed(keyed: DataFrame, key: str, within: str | None, cells: dict, place: Callable[[int | None, int], tuple[int, int]], targets: list[tuple[float, float]], best: dict[int, Boundary]) -> dict:
+    """Narrows cells {(value of `within`, index): (bytes below, rows below, targets)} of one width round by round. Fills `best`;
+    returns what single keys with several rows still hold, as {key: (bytes below, rows below, targets)}."""
+    shift, left = KEY_BITS, {}
+    while cells:
+        step = max(1, min(12, (MOST_CELLS // len(cells)).bit_length() - 1))
+        fine = max(0, shift - step)
+        group = F.col(within) if within else F.lit(None).cast("long")
+        inside = keyed.select(group.alias("within"), F.shiftright(key, fine).alias("cell"), F.shiftright(key, shift).alias("above"), "size")
+        if shift < KEY_BITS or within:
+            wanted = keyed.sparkSession.createDataFrame(list(cells), "w long, a long")
+            inside = inside.join(F.broadcast(wanted), F.col("within").eqNullSafe(F.col("w")) & (F.col("above") == F.col("a")), "left_semi")
+        by_cell: dict[tuple, list] = {}
+        for r in inside.groupBy("within", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
+            by_cell.setdefault((r.within, r.cell >> (shift - fine)), []).append(r)
+        narrower: dict[tuple, tuple] = {}
+        for (w, index), (size, rows, wanted_here) in cells.items():
+            parts = sorted(by_cell.get((w, index), []), key=lambda r: r.cell)
+            found = [Boundary(place(w, index << shift), size, rows)]
+            for r in parts:
+                found.append(Boundary(place(w, (r.cell + 1) << fine), found[-1].bytes + r["size"], found[-1].rows + r.n))
+            for t in wanted_here:
+                near = min(found, key=lambda b: abs(b.bytes - targets[t][0]))
+                if t not in best or abs(near.bytes - targets[t][0]) < abs(best[t].bytes - targets[t][0]):
+                    best[t] = near
+                if abs(best[t].bytes - targets[t][0]) <= targets[t][1]:
                     continue
-                for low, high, r in zip(place, place[1:], by_cell.get(index, []), strict=False):
+                for low, high, r in zip(found, found[1:], parts, strict=False):
                     if low.bytes < targets[t][0] < high.bytes and r.n > 1:
-                        narrower.setdefault((fine, r.cell), ((low.bytes, low.rows), (r["size"], r.n), []))[2].append(t)
-        open_cells = narrower
+                        where, what = (narrower, (w, r.cell)) if fine else (left, r.cell)
+                        where.setdefault(what, (low.bytes, low.rows, []))[2].append(t)
+        cells, shift = narrower, fine
+    return left
+
+
+def boundaries(keyed: DataFrame, targets: list[tuple[float, float]]) -> list[Boundary]:
+    """For each (wanted bytes, tolerance) the boundary nearest to it that rows allow, or one within the tolerance. keyed has
+    `text_key`, `row_key` and `size`. The driver sees at most MOST_CELLS cells a round."""
+    best: dict[int, Boundary] = {}
+    everything = {(None, 0): (0, 0, list(range(len(targets))))} if targets else {}
+    heavy = _narrowed(keyed, "text_key", None, everything, lambda _, k: (k, 0), targets, best)
+    if heavy:
+        some = keyed.join(F.broadcast(keyed.sparkSession.createDataFrame([(k,) for k in heavy], "text_key long")), "text_key", "left_semi")
+        _narrowed(some, "row_key", "text_key", {(k, 0): v for k, v in heavy.items()}, lambda w, k: (w, k), targets, best)
     return [best[t] for t in range(len(targets))]
 
 
-def _position(key: Column, sorted_keys: list[int]) -> Column:
-    """How many of the keys are at most `key`: a binary search in steps of falling powers of two."""
-    bits = max(1, len(sorted_keys).bit_length())
-    padded = F.array(*[F.lit(k).cast("long") for k in [*sorted_keys, *[2**63 - 1] * (2**bits - len(sorted_keys))]])
+def _position(key: Column, cuts: list[Boundary]) -> Column:
+    """How many of the cuts, which are in order, are at most `key`: a binary search in steps of falling powers of two."""
+    bits = max(1, len(cuts).bit_length())
+    top = (1 << 63) - 1
+    padded = F.array(*[F.struct(*[F.lit(min(k, top)).cast("long") for k in c]) for c in [*(b.key for b in cuts), *[(top, top)] * (2**bits - len(cuts))]])
     steps = F.array(*[F.lit(2**b) for b in range(bits - 1, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(padded, at + step - 1) <= key, at + step).otherwise(at))
 
 
-def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001) -> DataFrame:
-    """df's columns with _size, _shard and _slot. Boundaries of shards are within `tolerance` of a mean shard, or as near as whole
-    rows allow; the ranges inside a shard are cut more loosely."""
-    rows = df.withColumns({"_size": F.octet_length(text_or_empty(text_col)).cast("long") + 16, "_key": sort_key(text_or_empty(text_col), F.col(id_col))})
-    keyed = rows.select(F.col("_key").alias("key"), F.col("_size").alias("size")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        total = keyed.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()
-        if not total.n:
-            return rows.withColumns({"_shard": F.lit(0), "_slot": F.lit(0).cast("long")}).drop("_key")
-        each = min(MOST_RANGES, max(1, -(-total["size"] // shards // RANGE_BYTES)))
-        mean = total["size"] / shards
-        targets = [(round(mean * k / each), mean * (tolerance if k % each == 0 else 0.1 / each)) for k in range(1, shards * each)]
-        cut = boundaries(keyed, targets, total["size"], total.n)
-    finally:
-        keyed.unpersist()
-    # Looser boundaries never cross those of shards, but two may coincide where a row is larger than a range.
-    first_rows, low = [0], 0
-    for b in cut:
-        low = max(low, b.rows)
-        first_rows.append(low)
-    keys, high = [], 0
-    for b in cut:
-        high = max(high, b.key)
-        keys.append(high)
-    start = [first_rows[k] - first_rows[k - k % each] for k in range(shards * each)]
-    ranged = rows.withColumn("_range", _position(F.col("_key"), keys))
-    order = Window.partitionBy("_range").orderBy("_key", F.col(id_col), "_size")
-    begins = F.array(*[F.lit(s).cast("long") for s in start])
-    return ranged.withColumns({"_shard": F.floor(F.col("_range") / each).cast("int"), "_slot": F.get(begins, F.col("_range")) + F.row_number().over(order) - 1}).drop("_key", "_range")
+def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of df (all, if None) with _size, _shard and _slot. Boundaries of shards are within `tolerance` of a mean
+    shard, or as near as whole rows allow. The kept columns are written once, with the keys."""
+    half = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 1)
+    text = text_or_empty(text_col)
+    added = [(F.octet_length(text).cast("long") + 16).alias("_size"), half(text).alias("_text_key"), half(F.col(id_col), F.monotonically_increasing_id()).alias("_row_key")]
+    rows = materialise(df.select(*(keep or df.columns), *added), "keyed")
+    total = rows.agg(F.sum("_size")).first()[0] or 0
+    mean = total / shards
+    cuts = boundaries(rows.select(F.col("_text_key").alias("text_key"), F.col("_row_key").alias("row_key"), F.col("_size").alias("size")), [(mean * k, mean * tolerance) for k in range(1, shards)]) if total else []
+    cuts.sort(key=lambda b: b.key)
+    groups = max(1, -(-int(mean) // RANGE_BYTES))
+    dealt = rows.withColumns({"_shard": _position(F.struct("_text_key", "_row_key"), cuts), "_group": F.pmod("_row_key", F.lit(groups))})
+    counts = dealt.groupBy("_shard", "_group").agg(F.count("*").alias("_n"))
+    begin = counts.withColumn("_begin", F.sum("_n").over(Window.partitionBy("_shard").orderBy("_group")) - F.col("_n")).drop("_n")  # a row for each RANGE_BYTES of the input
+    order = Window.partitionBy("_shard", "_group").orderBy("_text_key", "_row_key")
+    placed = dealt.withColumn("_slot", F.row_number().over(order) - 1).join(begin, ["_shard", "_group"])
+    return placed.withColumn("_slot", (F.col("_slot") + F.col("_begin")).cast("long")).drop("_text_key", "_row_key", "_group", "_begin").select(*(keep or df.columns), "_size", "_shard", "_slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    crc = F.crc32(text_or_empty().cast("binary")).cast("long")
-    slim = docs.withColumn("text_crc32", crc)
-    out = shard(slim, 40)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(text_or_empty().cast("binary")).cast("long").alias("text_crc32"))
+    out = shard(docs, 40, keep=["doc_id", "text_crc32"])
     return out.select("doc_id", F.col("_size").alias("size"), "text_crc32", F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

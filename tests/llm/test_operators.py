@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -246,7 +247,28 @@ def test_sharding(spark, texts, odd, none):
     assert len(got) == len(ODD) and {r["_shard"] for r in got} <= {0, 1, 2}
     assert sharding.shard(none, 3).count() == 0
     copies = spark.range(3000).selectExpr("id AS doc_id", "'the same text for all of these rows' AS text")
-    assert all(abs(r["count"] - 300) <= 1 for r in rows(sharding.shard(copies, 10).groupBy("_shard").count()))
+    same = spark.range(1000).selectExpr("7L AS doc_id", "'one row over and over' AS text")
+    nameless = same.selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "1 AS _range", "2 AS size", "3 AS cell")
+    for df, n in ((copies, 300), (same, 100), (nameless, 100)):
+        out = sharding.shard(df.repartition(4), 10)
+        assert [abs(r["count"] - n) <= 1 for r in rows(out.groupBy("_shard").count())] == [True] * 10
+        assert all(r.n == r.top + 1 == r.slots for r in out.groupBy("_shard").agg(F.count("*").alias("n"), F.max("_slot").alias("top"), F.count_distinct("_slot").alias("slots")).collect())
+
+
+def test_boundaries_equal_those_of_a_sorted_list(spark):
+    rng = random.Random(9)
+    keys = [(rng.randrange(2**63) if rng.random() < 0.6 else 12345, rng.randrange(2**63), rng.randrange(1, 400)) for _ in range(3000)]
+    df = spark.createDataFrame(keys, "text_key long, row_key long, size long")
+    total = sum(k[2] for k in keys)
+    targets = [(total * k / 16, 0.0) for k in range(1, 16)]
+    got = sharding.boundaries(df, targets)
+    ends, at = [(0, 0)], 0
+    for k, (*_, size) in enumerate(sorted(keys)):
+        at += size
+        ends.append((at, k + 1))
+    for (want, _), b in zip(targets, got, strict=True):
+        assert abs(b.bytes - want) == min(abs(e - want) for e, _ in ends) and (b.bytes, b.rows) in ends
+        assert b.rows == sum(k[:2] < b.key for k in keys)
 
 
 def brute(docs):
