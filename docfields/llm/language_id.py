@@ -1,19 +1,19 @@
 """Language identification by compression.
 
 For each language a raw-content zstandard dictionary is cut from a bounded sample of labelled documents. A text, lower-cased and
-reduced to letters and single spaces, is compressed with each dictionary in chunks of a few kilobytes, whole text, and the
-language with the smallest total wins; ties go to the language first in the alphabet. Texts of up to `FINE` bytes get a
-slower, closer search for matches, since in them a few bytes decide. A text is rejected if the second
-smallest total is nearer than `margin` of the smallest. Null texts and texts without a letter are `und`, score 0, rejected.
-
-Learning takes at most about `docs_per_language` rows of a language, chosen by a hash of the id, and of their whole texts as
-many as `dictionary_bytes` hold. Rows with a null language teach nothing.
+reduced to letters (Unicode category L) and single spaces, is compressed with each dictionary in chunks of a few kilobytes, whole
+text, and the language with the smallest total wins; ties go to the language first in the alphabet. A text is rejected if the
+second smallest total is nearer than `margin` of the smallest. Null texts and texts without a letter are `und`, score 0, rejected.
+Rows repeated in full, and equal texts, are judged alike; an empty table gives an empty result.
+
+Learning takes about `docs_per_language` distinct texts of a language, chosen by a hash of the text, and of each a passage of
+`passage` characters that begins at a place which the hash chooses; so what the driver gathers is bounded by these two
+and `max_languages` (the most frequent languages are learned). Rows with a null language teach nothing.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,63 +26,51 @@ from docfields.llm.common import batch_of, fold, rows_of, rows_where, table
 
 UNDETERMINED = "und"
 NOT_LETTERS = re.compile(r"[\W\d_]+")
-CHUNK, FINE = 4096, 1200
-#: (level, bytes of the dictionary) of long and of short texts.
-LONG, SHORT = (6, 256 * 1024), (12, 96 * 1024)
+CHUNK, LEVEL = 4096, 6
 
 
 def letters(text: str) -> str:
-    return NOT_LETTERS.sub(" ", text).strip().lower()
+    found = NOT_LETTERS.sub(" ", text)
+    if not found.replace(" ", "").isalpha():  # word characters that are neither digits nor letters, such as fractions
+        found = " ".join("".join(c if c.isalpha() else " " for c in found).split())
+    return found.strip().lower()
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 400, dictionary_bytes: int = 256 * 1024) -> dict[str, bytes]:
-    """Raw dictionary content of each language. Two passes: counts of each language, then the sampled rows alone."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r.n for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 300, passage: int = 320, max_languages: int = 200) -> dict[str, bytes]:
+    """Raw dictionary content of each language. Two passes: counts of each language's distinct texts, then the sample alone."""
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(max_languages).collect()
     if not counts:
         return {}
     grid = 1 << 30
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, int(grid * min(1.0, docs_per_language / n))).otherwise(share)
-    some = known.where(F.pmod(F.xxhash64(id_col, F.lit("language")), F.lit(grid)) < share)
-    rows = some.select(lang_col, id_col, text_col).limit(2 * docs_per_language * len(counts)).collect()
-    found = {lang: {letters(r[2]) for r in rows if r[0] == lang} for lang in sorted(counts)}
-    return {lang: _filled([t.encode() for t in texts if t], dictionary_bytes) for lang, texts in found.items()}
-
-
-def _filled(texts: list[bytes], most: int) -> bytes:
-    """As many whole texts as `most` bytes hold, the shortest first, so that many fit; these stand at the end, which the
-    dictionaries of short texts are cut from. If not even one fits, the end of the shortest; a space for none."""
-    texts = sorted(texts, key=lambda t: (len(t), t))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    fit = int(np.searchsorted(ends, most, side="right"))
-    return b" ".join(texts[:fit][::-1] or [t[-most:] for t in texts[:1]]) or b" "
+    shares = docs.sparkSession.createDataFrame([(r.lang, int(grid * min(1.0, 1.2 * docs_per_language / r.n))) for r in counts], "lang string, share long")
+    at = F.pmod("h", F.greatest(F.lit(1), F.length("text") - passage)).cast("int") + 1
+    some = known.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("h", F.lit("language")), F.lit(grid)) < F.col("share"))
+    once = some.groupBy("lang", "h").agg(F.first(F.substr("text", at, F.lit(passage))).alias("passage"))
+    chosen = once.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "passage"))), 1, docs_per_language).alias("found")).collect()
+    return {r.lang: " ".join(t for t in (letters(p.passage) for p in r.found) if t).encode() or b" " for r in sorted(chosen, key=lambda r: r.lang)}
 
 
-def _compressor(dictionary: bytes, level: int, most: int):
+def compressor(dictionary: bytes):
     import zstandard
 
-    content = zstandard.ZstdCompressionDict(dictionary[-most:].ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    content.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(level=level, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
+    content = zstandard.ZstdCompressionDict(dictionary.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]) -> None:
         self.languages = sorted(dictionaries)
-        self.long, self.short = ([_compressor(dictionaries[lang], *how) for lang in self.languages] for how in (LONG, SHORT))
+        self.compressors = [compressor(dictionaries[lang]) for lang in self.languages]
 
     def sizes(self, text: str) -> np.ndarray | None:
         """Compressed bytes by language, or None for a text without letters."""
         raw = letters(text).encode()
         if not raw:
             return None
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(raw), CHUNK):
-            part = raw[at : at + CHUNK]
-            total += [len(c.compress(part)) for c in (self.short if len(raw) <= FINE else self.long)]
-        return total
+        parts = [raw[at : at + CHUNK] for at in range(0, len(raw), CHUNK)]
+        return np.array([sum(len(c.compress(p)) for p in parts) for c in self.compressors], dtype=float)
 
     def classify(self, text: str) -> tuple[str, float, float]:
         """Language, score and margin: the score is the smallest size's weight among all, the margin how far the second is."""
@@ -99,7 +87,7 @@ def _rejected(found: tuple[str, float, float], margin: float) -> bool:
     return found[0] == UNDETERMINED or found[2] < margin
 
 
-def confident(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = 0.01) -> DataFrame:
+def confident(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = 0.005) -> DataFrame:
     """The rows of df that identify doesn't reject, with all columns, whatever their id."""
 
     def make():
@@ -109,7 +97,7 @@ def confident(df: DataFrame, dictionaries: dict[str, bytes], text_col: str = "te
     return rows_where(df, text_col, make)
 
 
-def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.01) -> DataFrame:
+def identify(df: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", margin: float = 0.005) -> DataFrame:
     """id, lang_pred, score, margin, rejected. No shuffle. Dictionaries have a fixed size for each language."""
     kind = df.schema[id_col].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

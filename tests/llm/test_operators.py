@@ -204,6 +204,32 @@ def test_language(spark, odd, none):
     got = {r["doc_id"]: r for r in rows(language_id.identify(odd, dictionaries))}
     assert all(got[i]["lang_pred"] == "und" and got[i]["rejected"] and got[i]["score"] == 0 for i in (1, 2, 3, 8)) and got[6]["lang_pred"] == "en"
     assert language_id.identify(none, language_id.learn(none)).count() == 0
+    assert [language_id.letters(t) for t in ("½ ② ² Ⅷ ٣", "Ⅷ Ab_c½d9É", "日本 ǅ!")] == ["", "ab c d é", "日本 ǆ"]
+
+
+def test_language_sizes_equal_a_plain_loop(spark, texts):
+    import unicodedata
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    dictionaries = language_id.learn(docs, docs_per_language=50, passage=200)
+    assert len(dictionaries) == 4 and all(0 < len(d) <= 50 * 900 for d in dictionaries.values())
+    assert dictionaries == language_id.learn(docs.repartition(3).union(docs), docs_per_language=50, passage=200)
+    got = {r["doc_id"]: r for r in rows(language_id.identify(docs, dictionaries, margin=0.02))}
+    for i, text in list(texts.items())[:80]:
+        kept = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text or "")
+        raw = " ".join(kept.split()).lower().encode()
+        size = {}
+        for lang, content in dictionaries.items():
+            how = zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = sum(len(how.compress(raw[k : k + 4096])) for k in range(0, len(raw), 4096))
+        best, second = sorted((n, lang) for lang, n in size.items())[:2]
+        margin = (second[0] - best[0]) / best[0]
+        want = ("und", 0.0, True) if not raw else (best[1], margin, margin < 0.02)
+        assert (got[i]["lang_pred"], round(got[i]["margin"], 9), got[i]["rejected"]) == (want[0], round(want[1], 9), want[2])
+        if raw:
+            assert abs(got[i]["score"] - 1 / sum(2.718281828459045 ** (-40 * (n - best[0]) / best[0]) for n in size.values())) < 1e-9
 
 
 def test_quality(spark, texts, odd, none):
