@@ -259,6 +259,27 @@ def test_quality(spark, texts, odd, none):
     assert quality_rules.judge(none, quality_rules.learn(none, none.selectExpr("doc_id", "1 AS quality"))).count() == 0
 
 
+def test_forest_paths_equal_a_plain_walk():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(0, 1, (300, 2)), [[9.0, 9.0], [-7.0, 8.0]]])
+    forest = quality_rules.grow(x, trees=40, rows=64)
+    expected = lambda n: 0 if n < 2 else 1 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def path(t, row, node=0, depth=0):
+        f = forest.feature[t][node]
+        if f < 0:
+            return depth, forest.depth[t][node]
+        return path(t, row, forest.child[t][node] + (row[f] >= forest.place[t][node]), depth + 1)
+
+    for row, score in zip(x, forest.score(x), strict=True):
+        walks = [path(t, row) for t in range(40)]
+        assert all(d <= full for d, full in walks)  # a leaf adds what its rows would have needed
+        assert abs(score - 2 ** (-sum(full for _, full in walks) / 40 / expected(64))) < 1e-12
+    assert set(np.argsort(-forest.score(x))[:2]) == {300, 301}
+    lonely = quality_rules.grow(np.array([[1.0, 1.0], [1.0, 1.0]]))
+    assert (lonely.feature == -1).all() and lonely.score(np.array([[1.0, 1.0]])).tolist() == [0.5]
+
+
 def test_sharding(spark, texts, odd, none):
     out = rows(registry.QUERIES["op9_sharding"](spark, SF))
     size = {i: len(t.encode()) + 16 for i, t in texts.items()}
