@@ -123,10 +123,30 @@ def test_topk(spark):
     for q in range(0, 400, 7):
         best = sorted(((-sum(a * b for a, b in zip(whole[q], v, strict=True)), i) for i, v in whole.items() if i != q))[:5]
         assert got[q] == [(-s, i) for s, i in best]
+    assert all(0 < r["evaluated"] <= 400 for r in rows(exact_topk.search(df.where("id % 7 = 0"), df)))
     assert exact_topk.search(df.where("id = 7"), df.where("id < 3")).count() == 3
     assert exact_topk.search(df.where("false"), df).count() == 0 and exact_topk.search(df, df.where("false")).count() == 0
 
 
+def test_topk_of_awkward_rows(spark):
+    """Empty, ragged and huge vectors, repeated and null ids, ties, and columns that the search has itself."""
+    rng = random.Random(6)
+    vectors = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)]
+    vectors += [(60, []), (61, [0.5]), (62, [1.0] * 7), (7, [0.9, 0.9, 0.9, 0.9]), (7, [0.9, 0.9, 0.9, 0.9]), (None, [1.0] * 4), (14, [0.25] * 4)]
+    huge = [(100 + i, [rng.choice((1e8, -1e8, 3e7)) * rng.random() for _ in range(4)]) for i in range(30)] + [(200, [1e300, 0.0, 0.0, 0.0])]
+    for some in (vectors, vectors + huge):
+        df = exact_topk.integer_vectors(spark.createDataFrame([(i, v, 1, 2) for i, v in some], "vec_id long, embedding array<double>, rank int, evaluated int"), "vec_id", "embedding", 256)
+        whole = [(i, [max(-(2**63), min(2**63 - 1, int(256 * x // 1))) for x in v]) for i, v in some if i is not None]
+        got = defaultdict(list)
+        for r in sorted(rows(exact_topk.search(df.where("id % 7 = 0"), df, query_block=4, candidate_block=16)), key=lambda r: (r["query_id"], r["rank"])):
+            got[r["query_id"]].append((r["score"], r["vec_id"]))
+        want = defaultdict(list)
+        for q, v in whole:
+            if q % 7 == 0:
+                want[q] += sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w)))), i) for i, w in whole if i != q)[:5]
+        assert got == {q: [(-s, i) for s, i in sorted(w)[:5]] for q, w in want.items()}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
