@@ -1,17 +1,20 @@
 """Toxicity scores from a weighted finite-state grammar over clauses.
 
 Words are mapped to symbols (insult, threat, target, negation, report, other) by a lexicon: seed words, listed below, and
-words that labelled rows show to be far more frequent in toxic texts. A clause's symbols then run through the composition of
-three deterministic transducers, which rewrite an insult or threat that stands
+words that labelled rows show to be far more frequent in toxic texts, which count as insults if they are no seeds. A clause's symbols
+run through deterministic transducers: first one, from the right, rewrites an insult or threat that stands shortly before a
+target ("idiot, you") as directed; then the composition of three more, from the left, rewrites those that stand
 
-* near a target ("you ...") as directed,
+* shortly after a target ("you ...") as directed,
 * shortly after a negation as negated,
 * after a reporting verb in the same clause as reported.
 
-The rewritten symbols and the words' weights give the clause its score; a document's features are the sum, the maximum and the
-density of its clauses' scores, and a logistic model fitted on labelled rows maps them to 0..1. Only the text enters a score.
+The rewritten symbols and the words' weights give the clause its score; a document's features are logarithms of the sum, the
+maximum and the density of its clauses' scores, and a logistic model fitted on labelled rows maps them to 0..1. Only the text
+enters a score. Clause positions are characters of the text itself.
 
-Null and empty texts have no clause and get the score of a text without matches. Ties and repeated rows score alike.
+Null and empty texts have no clause and get the score of a text without matches. Texts of any length are read whole; ties and
+repeated rows score alike; an empty table gives an empty result.
 The fit uses at most `max_labelled` labelled rows, chosen by a hash of the id, each distinct text once.
 """
 
@@ -91,6 +94,11 @@ def _within(trigger: str, width: int, rewrite: dict[str, str]) -> Transducer:
     return Transducer(arcs)
 
 
+def before_target() -> Transducer:
+    """To be run from the right: an insult or threat at most 2 places before a target."""
+    return _within(TARGET, 2, {INSULT: DIRECTED, THREAT: DIRECTED})
+
+
 def grammar() -> Transducer:
     directed = _within(TARGET, 4, {INSULT: DIRECTED, THREAT: DIRECTED})
     negated = _within(NEGATION, 2, {INSULT: NEGATED, THREAT: NEGATED, DIRECTED: NEGATED})
@@ -109,26 +117,34 @@ class Lexicon:
         weights = {w: 1.0 for w, s in symbols.items() if s in (INSULT, THREAT)}
         for w, weight in learned.items():
             if symbols.get(w, INSULT) in (INSULT, THREAT):
-                symbols[w], weights[w] = INSULT, max(1.0, weight)
+                symbols[w], weights[w] = symbols.get(w, INSULT), max(1.0, weight)
         return Lexicon(weights, symbols)
 
 
 class Scorer:
-    """Features of a text: log of 1 + the clauses' sum, their maximum, and their sum for 100 words. Reads each text once with an
+    """Features of a text: log of 1 + the clauses' sum, 1 + their maximum, and 1 + their sum for 100 words. Reads each text once with an
     automaton of the lexicon; only clauses in which it finds a word are taken apart."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         import ahocorasick
 
-        self.lexicon, self.grammar = lexicon, grammar()
+        self.lexicon, self.behind, self.grammar = lexicon, before_target(), grammar()
         self.words = ahocorasick.Automaton()
         for w in lexicon.weights:
             self.words.add_word(w, len(w))
         self.words.make_automaton()
 
+    def score(self, clause: str) -> float:
+        words = WORD.findall(clause)
+        symbols = [self.lexicon.symbols.get(w, OTHER) for w in words]
+        written = self.grammar.run(self.behind.run(symbols[::-1])[::-1])
+        return sum(FACTOR[o] * self.lexicon.weights.get(w, 0.0) for w, o in zip(words, written, strict=True) if o in FACTOR)
+
     def clauses(self, text: str) -> list[tuple[int, int, float]]:
         """(first character, end, score) of each clause with a score."""
         low = text.lower()
+        if len(low) != len(text):  # a few capitals have a lower case of two characters
+            low = "".join([w if len(w := c.lower()) == 1 else c for c in text])
         hits = [at + 1 - n for at, n in self.words.iter(low)]
         if not hits:
             return []
@@ -140,9 +156,7 @@ class Scorer:
             while hit >= right:
                 left = right
                 right = next((m.start() for m in ends if m.start() > left), len(low))
-            words = WORD.findall(low[left:right])
-            written = self.grammar.run([self.lexicon.symbols.get(w, OTHER) for w in words])
-            score = sum(FACTOR[o] * self.lexicon.weights.get(w, 0.0) for w, o in zip(words, written, strict=True) if o in FACTOR)
+            score = self.score(low[left:right])
             if score:
                 out.append((left, right, score))
             left = right  # one score for each clause
@@ -153,7 +167,7 @@ class Scorer:
         if not scores:
             return 0.0, 0.0, 0.0
         total = sum(scores)
-        return math.log1p(total), min(3.0, max(scores)), min(5.0, 100 * total / (1 + text.count(" ")))
+        return math.log1p(total), math.log1p(max(scores)), math.log1p(100 * total / (1 + text.count(" ")))
 
 
 @dataclass(frozen=True)
@@ -179,8 +193,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = 20_000, max_words: int = 500, least_gain: float = 30.0) -> Model:
-    """Lexicon and logistic model from labelled rows. A word is learned if its log-likelihood ratio between toxic and other
-    texts is at least `least_gain` (about one false word in 10 million) and toxic texts have it 8 times as often. What the
+    """Lexicon and logistic model from labelled rows. A word is learned if its log-likelihood ratio between clauses of toxic texts and
+    others is at least `least_gain` (about one false word in 10 million) and the former have it 8 times as often. What the
     driver gathers is bounded: `max_words` words, and three numbers for each of `max_labelled` rows."""
     marked = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     some = sampled(marked, id_col, max_labelled, marked.count())
@@ -192,7 +206,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
         if not n1 or not n0:
             return Model(Lexicon.of({}), -3.0, (3.0, 1.0, 1.0))
-        words = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}']+"))).alias("word")).where("word <> ''")
+        # A clause counts once, however many copies of a passage hold it, and as toxic only if all texts that hold it are.
+        clauses = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[.!?;\n]+"))).alias("clause"))
+        clauses = clauses.groupBy("clause").agg(F.min("toxic").alias("toxic")).persist()
+        sizes = {int(r.toxic): r.n for r in clauses.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
+        words = clauses.select("toxic", F.explode(F.array_distinct(F.split("clause", r"[^\p{L}']+"))).alias("word")).where("word <> ''")
         counts = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where("a >= 5")
         a, b = F.col("a").cast("double"), F.col("b").cast("double")
         share = (a + b) / (n1 + n0)
@@ -202,6 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         learned = {r.word: min(2.0, math.log(r.ratio) / math.log(30)) for r in best.collect()}
         lexicon = Lexicon.of(learned)
         seen = _features(rows.select("toxic", "text"), lexicon, "toxic").collect()
+        clauses.unpersist()
     finally:
         rows.unpersist()
     x, y = np.array([r[1:4] for r in seen], dtype=float), np.array([r[0] for r in seen], dtype=float)

@@ -100,16 +100,49 @@ def test_toxicity(spark, odd, none):
     assert one("you are not an idiot.") < one("an idiot") and one("a classy idiotic plan") == 0
     assert scorer.clauses("fine here. you idiot! fine")[0][:2] == (9, 20)
     out = {r["doc_id"]: r for r in rows(registry.QUERIES["op3_toxicity"](spark, "/root/testdata/sf0.1"))}
-    marks = duckdb.sql("SELECT doc_id, toxic, regexp_matches(lower(text), '\\b(idiot|moron|scum|loser|clown|trash|stupid|pathetic|worthless|disgusting)\\b') FROM '/root/testdata/sf0.1/labels.parquet' JOIN '/root/testdata/sf0.1/documents.parquet' USING (doc_id)").fetchall()
-    held = [(t, word, out[i]["predicted"]) for i, t, word in marks if zlib.crc32(str(i).encode()) % 4 == 2]
-    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _, _ in marks)
-    assert sum(p for t, w, p in held if t and w) >= 0.95 * sum(1 for t, w, _ in held if t and w)
-    assert sum(p for t, _, p in held if not t) <= 0.01 * len(held)
+    marks = duckdb.sql("SELECT doc_id, max(toxic) FROM '/root/testdata/sf0.1/labels.parquet' JOIN '/root/testdata/sf0.1/documents.parquet' USING (doc_id) WHERE toxic IS NOT NULL GROUP BY ALL").fetchall()
+    held = [(t, out[i]["predicted"]) for i, t in marks if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(out[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, _ in marks)
+    # About 14 % of the rows labelled toxic hold no word of abuse at all (junk and plain prose, labelled at random).
+    assert sum(p for t, p in held if t) >= 0.83 * sum(t for t, _ in held) and sum(t for t, _ in held) > 20
+    assert sum(p for t, p in held if not t) <= 0.005 * len(held)
     got = rows(toxicity.score(odd, model))
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got}) == 1
     assert toxicity.score(none, toxicity.learn(none, none.selectExpr("doc_id", "1 AS toxic"))).count() == 0
 
 
+def test_composed_transducers_equal_one_after_the_other():
+    T = toxicity
+    seen = (T.OTHER, T.INSULT, T.THREAT, T.TARGET, T.NEGATION, T.REPORT, T.DIRECTED)
+    rng = random.Random(11)
+
+    def plain(symbols, trigger, width, rewrite):
+        return [rewrite.get(s, s) if s != trigger and trigger in symbols[max(0, k - width) : k] else s for k, s in enumerate(symbols)]
+
+    for _ in range(3000):
+        s = [rng.choice(seen) for _ in range(rng.randrange(14))]
+        want = plain(s, T.TARGET, 4, {T.INSULT: T.DIRECTED, T.THREAT: T.DIRECTED})
+        want = plain(want, T.NEGATION, 2, {x: T.NEGATED for x in (T.INSULT, T.THREAT, T.DIRECTED)})
+        want = [T.REPORTED if x in (T.INSULT, T.THREAT, T.DIRECTED) and T.REPORT in want[:k] else x for k, x in enumerate(want)]
+        assert T.grammar().run(s) == want
+        back = plain(s[::-1], T.TARGET, 2, {T.INSULT: T.DIRECTED, T.THREAT: T.DIRECTED})
+        assert T.before_target().run(s[::-1]) == back
+
+
+def test_clauses_equal_a_plain_split():
+    lexicon = toxicity.Lexicon.of({"grubby": 1.7, "kill": 1.2})
+    assert lexicon.symbols["kill"] == toxicity.THREAT and lexicon.symbols["grubby"] == toxicity.INSULT
+    scorer = toxicity.Scorer(lexicon)
+    assert scorer.score("idiot, you") > scorer.score("an idiot") and scorer.clauses("İİ. an idiot")[0][:2] == (2, 12)
+    rng = random.Random(12)
+    bits = "you idiot idiots an not never said kill grubby they . , ! ?! ; \n ... İ e.g. clown's MORON a.b trash.".split(" ")
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) + rng.choice((" ", " ", "")) for _ in range(rng.randrange(30)))
+        cuts = [0, *(m.start() for m in toxicity.CLAUSE_END.finditer(text)), len(text)]
+        want = [(a, b, scorer.score("".join(c.lower() if len(c.lower()) == 1 else c for c in text[a:b]))) for a, b in zip(cuts, cuts[1:])]
+        assert scorer.clauses(text) == [c for c in want if c[2]], text
+
+
 def test_topk(spark):
     rng = random.Random(1)
     vectors = [(i, [rng.uniform(-1, 1) for _ in range(6)] if i % 3 else [0.5, 0.25, 0.0, 0.0, 0.0, -0.5], 1) for i in range(400)]
