@@ -145,6 +145,11 @@ def _of(key: Column) -> Column:
     return F.xxhash64(key).alias("of")
 
 
+def _part_of(column: str, n: int) -> Column:
+    """The n values of this row's kind of signature."""
+    return F.slice(column, F.col("kind") * n + 1, F.lit(n)).alias(column)
+
+
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, of, members array<long>): the shingle sets of the texts named in ids (id, of), one row each."""
     out = pa.schema([("id", pa.int64()), ("of", pa.int64()), ("members", pa.list_(pa.int64()))])
@@ -223,14 +228,18 @@ def _alike(slots: np.ndarray, mine: np.ndarray, band: int) -> np.ndarray:
     return some[first == band]
 
 
-def _further(buckets: DataFrame, signed: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+def _further(buckets: DataFrame, raw: DataFrame, roots: DataFrame, docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """Verified links across components inside buckets that hold several of them. Signatures say which documents may have
     such links; the shingle sets of these alone then meet, block by block. A task returns links that join components which
     its earlier links haven't joined, so the result is no longer than the documents that meet in it."""
     placed = buckets.join(roots, "id", "left").select("bucket", "band", "id", "of", "kind", F.coalesce("root", "id").alias("root"))
     sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    rows = placed.join(mixed, "bucket").join(signed.select("id", "of", "kind", "slots"), ["id", "of", "kind"])
+    rows = materialise(placed.join(mixed, "bucket"), "mixed")
+    need = materialise(rows.select("id", "of").distinct(), "need")
+    some = F.broadcast(need) if need.count() <= BROADCAST_ROWS else need
+    slots = raw.select("id", _of(F.col("key")), "slots").join(some, ["id", "of"], "left_semi").groupBy("id", "of").agg(F.first("slots").alias("slots"))
+    rows = rows.join(slots, ["id", "of"]).withColumn("slots", _part_of("slots", SLOTS))
     rows = rows.select("bucket", "band", "id", "of", "root", "slots", (F.col("root") != F.col("main")).alias("minor"))
 
     def likely(bucket: int, mine: dict[str, np.ndarray], others: dict[str, np.ndarray]) -> set[tuple[int, int, int]]:
@@ -287,9 +296,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     joined it to others; links inside what is already joined are not looked for)."""
     raw = materialise(sign(docs, id_col, text_col), "signed")
     # One vertex for the texts that have the same smallest id, which names it; an id with texts of several vertices links them.
-    texts = materialise(raw.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n_copies"), F.count("*").alias("n_rows"), F.first("bands").alias("bands"), F.first("slots").alias("slots")), "texts")
+    texts = materialise(raw.groupBy("key").agg(F.min("id").alias("rep"), F.count_distinct("id").alias("n_copies"), F.count("*").alias("n_rows"), F.first("bands").alias("bands")), "texts")
     kinds = texts.where(F.size("bands") > 0).withColumn("kind", F.explode(F.sequence(F.lit(0), (F.size("bands") / BANDS).cast("int") - 1)))
-    signed = kinds.select(F.col("rep").alias("id"), _of(F.col("key")), "kind", *(F.slice(c, F.col("kind") * n + 1, F.lit(n)).alias(c) for c, n in (("bands", BANDS), ("slots", SLOTS))))
+    signed = kinds.select(F.col("rep").alias("id"), _of(F.col("key")), "kind", _part_of("bands", BANDS))
     reps = materialise(_with_facts(raw.select("id", "key"), texts.select("key", "rep", "n_copies", "n_rows"), "key", "n_rows").groupBy("id", "rep").agg(F.max("n_copies").alias("n_copies")), "reps")
     own = reps.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("other"), F.max("n_copies").alias("n_copies"))
     own = materialise(own, "own")
@@ -302,7 +311,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     links = materialise(_verified(stars, docs, id_col, text_col, similarity).union(several), "links")
     roots = components(links)
 
-    found = materialise(_further(buckets.select("bucket", "band", "id", "of", "kind"), signed, roots, docs, id_col, text_col, similarity), "more_links")
+    found = materialise(_further(buckets.select("bucket", "band", "id", "of", "kind"), raw, roots, docs, id_col, text_col, similarity), "more_links")
     all_links = links.union(found)
     if found.limit(1).count():
         roots = components(all_links)
