@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 HIGH, MEDIUM = 0.85, 0.60
 
 
+#: All characters that count as white space.
+BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)^\s+", ""), r"(?U)\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def normalise(c: Column) -> Column:
@@ -29,6 +33,11 @@ def confidence_level(c: Column) -> Column:
     return F.when(c >= HIGH, "high").when(c >= MEDIUM, "medium").otherwise("low")
 
 
+def confidence_icon(c: Column) -> Column:
+    """A green, yellow or red circle."""
+    return F.when(c >= HIGH, "🟢").when(c >= MEDIUM, "🟡").otherwise("🔴")
+
+
 def ratio_percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """part of whole in percent, half to even; 0 for an empty whole."""
     return F.when(whole > 0, F.bround(part / whole * 100, digits)).otherwise(0.0)

@@ -52,6 +52,17 @@ def to_nested(frame: DataFrame, with_metadata: bool = True, with_confidence: boo
     return frame.groupBy("extraction_id").agg(*heads, F.count("*").alias("total_fields"), listed.alias("fields"))
 
 
+def bulk_export(frame: DataFrame, exported_at: str) -> DataFrame:
+    """Lines of one JSON export of many extractions: (place 0) the header with format, date, and totals; (place 1) an object for
+    each extraction with its file name, form type and fields. Written in the order of place and extraction_id."""
+    fields = F.transform(F.sort_array(F.collect_list(F.struct("sort_order", F.struct(F.col("field_key").alias("key"), F.col("field_value").alias("value"), F.col("field_type").alias("type"), F.coalesce("confidence", F.lit(0.0)).alias("confidence")).alias("f")))), lambda x: x["f"])
+    each = frame.groupBy("extraction_id").agg(F.struct(F.any_value("original_filename").alias("filename"), F.any_value("document_form_type").alias("form_type")).alias("document"), fields.alias("fields"))
+    lines = each.select(F.lit(1).alias("place"), "extraction_id", F.to_json(F.struct("extraction_id", "document", "fields"), {"ignoreNullFields": "false"}).alias("line"))
+    totals = frame.agg(F.count_distinct("extraction_id").alias("total_extractions"), F.count("*").alias("total_fields"))
+    head = totals.select(F.lit(0).alias("place"), F.lit(None).cast("long").alias("extraction_id"), F.to_json(F.struct(F.lit("json").alias("format"), F.lit(exported_at).alias("export_date"), "total_extractions", "total_fields")).alias("line"))
+    return head.unionByName(lines)
+
+
 def document_info(documents: DataFrame, stats: DataFrame) -> DataFrame:
     """The 13 label and value rows of each extraction; stats has extraction_id, document_id, version, total_fields, edited_fields,
     confidence_avg, and exported_at as text."""

@@ -71,7 +71,9 @@ def html_div(c: Column) -> Column:
 
 
 def document_rollup(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.sum("processing_time_ms").alias("total_ms"), F.bool_and("success").alias("success")).withColumn("error", F.when(~F.col("success"), "Some pages failed"))
+    """Pages, time and success of each document and, if pages have `layout_boxes`, the boxes of all its pages in their order."""
+    boxes = [F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("page_number", F.coalesce("layout_boxes", F.array()).alias("b")))), lambda x: x["b"])).alias("layout_boxes")] if "layout_boxes" in pages.columns else []
+    return pages.groupBy("document_id").agg(F.count("*").alias("pages"), F.sum("processing_time_ms").alias("total_ms"), F.bool_and("success").alias("success"), *boxes).withColumn("error", F.when(~F.col("success"), "Some pages failed"))
 
 
 def page_maps(pages: DataFrame) -> DataFrame:

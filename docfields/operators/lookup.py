@@ -22,8 +22,10 @@ def active(documents: DataFrame) -> DataFrame:
     return documents.where(~F.col("is_deleted"))
 
 
-def by_status(documents: DataFrame, status: str) -> DataFrame:
-    return active(documents).where(F.col("status") == status)
+def by_status(documents: DataFrame, status: str, limit: int | None = 100) -> DataFrame:
+    """The newest documents of a status; all of them if limit is None."""
+    found = active(documents).where(F.col("status") == status)
+    return found if limit is None else page(found, limit=limit)
 
 
 def search(documents: DataFrame, query: str | None = None, status: str | None = None, form_type: str | None = None, date_from: datetime | None = None, date_to: datetime | None = None) -> DataFrame:
@@ -61,9 +63,13 @@ def document_detail(documents: DataFrame, extractions: DataFrame) -> DataFrame:
     return active(documents).join(s, "id", "left").withColumn("n_extractions", F.coalesce("n_extractions", F.lit(0)))
 
 
-def finalized(extractions: DataFrame, documents: DataFrame) -> DataFrame:
+def finalized(extractions: DataFrame, documents: DataFrame, skip: int = 0, limit: int | None = 100) -> DataFrame:
+    """Finalised extractions with their document's file name, a page of the last finalised; all of them if limit is None."""
+    done = extractions.where("is_finalized")
+    if limit is not None:
+        done = page(done, "finalized_at", skip=skip, limit=limit)
     d = documents.select(F.col("id").alias("document_id"), "original_filename")
-    return extractions.where("is_finalized").join(d, "document_id")
+    return done.join(d, "document_id").orderBy(F.desc("finalized_at"), "id")
 
 
 def recent_edits(edits: DataFrame, fields: DataFrame, k: int = 50) -> DataFrame:

@@ -29,6 +29,14 @@ SHAPE = """
 """
 
 
+# Fixed texts: the parts of prompts.
+CUSTOM, EXPECTED, TEMPLATE = "Additional Instructions:\n", "Expected fields to look for: ", "Template Instructions:\n"
+TEXT = "DOCUMENT TEXT (OCR OUTPUT):"
+TASK = ("\nExtract all key-value pairs from the document above.", "Return the results as a JSON object with 'form_type', 'language', and 'fields' array.")
+WARNING = "⚠️ IMPORTANT: YOUR PREVIOUS RESPONSE HAD AN ERROR"
+AGAIN = "Please correct your response and ensure you return VALID JSON with this EXACT structure:"
+
+
 def build_prompts(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """docs: document_id, text, custom_prompt, template_name -> prompt. Parts that are null or empty are left out. Templates are
     joined by name; Spark broadcasts them if they are small."""
@@ -42,24 +50,23 @@ def build_prompts(docs: DataFrame, templates: DataFrame | None = None) -> DataFr
         instructions = F.col("extraction_prompt")
     prompt = F.concat_ws(
         "\n",
-        part("Additional Instructions:\n", F.col("custom_prompt")),
-        part("Expected fields to look for: ", keys),
-        part("Template Instructions:\n", instructions),
+        part(CUSTOM, F.col("custom_prompt")),
+        part(EXPECTED, keys),
+        part(TEMPLATE, instructions),
         F.lit(RULE),
-        F.lit("DOCUMENT TEXT (OCR OUTPUT):"),
+        F.lit(TEXT),
         F.lit(RULE),
         F.coalesce("text", F.lit("")),
         F.lit(RULE),
-        F.lit("\nExtract all key-value pairs from the document above."),
-        F.lit("Return the results as a JSON object with 'form_type', 'language', and 'fields' array."),
+        *map(F.lit, TASK),
     )
     return rows.select("document_id", prompt.alias("prompt"))
 
 
 def build_retry_prompts(failed: DataFrame) -> DataFrame:
     """failed: document_id, error, prompt -> the prompt again behind the error and the wanted shape."""
-    head = [F.lit(RULE), F.lit("⚠️ IMPORTANT: YOUR PREVIOUS RESPONSE HAD AN ERROR"), F.lit(RULE), F.concat(F.lit("Error: "), F.coalesce("error", F.lit("None"))), F.lit("")]
-    wanted = [F.lit("Please correct your response and ensure you return VALID JSON with this EXACT structure:"), F.lit(SHAPE), F.lit(RULE), F.lit("")]
+    head = [F.lit(RULE), F.lit(WARNING), F.lit(RULE), F.concat(F.lit("Error: "), F.coalesce("error", F.lit("None"))), F.lit("")]
+    wanted = [F.lit(AGAIN), F.lit(SHAPE), F.lit(RULE), F.lit("")]
     return failed.select("document_id", F.concat_ws("\n", *head, *wanted, F.col("prompt")).alias("prompt"))
 
 
@@ -70,13 +77,12 @@ def token_estimate(c: Column) -> Column:
 def parse_responses(df: DataFrame, column: str = "response") -> DataFrame:
     """df with success, error, form_type, language and fields. Errors in this order: empty, invalid JSON, no object, no `fields`."""
     raw = F.col(column)
-    tree = F.try_parse_json(raw)
-    kind = F.expr(f"schema_of_variant(try_parse_json(`{column}`))")
-    parsed = F.from_json(raw, RESPONSE)
+    once = df.withColumns({"_tree": F.try_parse_json(raw), "_parsed": F.from_json(raw, RESPONSE)})
+    tree, parsed, kind = F.col("_tree"), F.col("_parsed"), F.schema_of_variant("_tree")
     has = F.try_variant_get(tree, "$.fields", "variant").isNotNull()
     error = F.when(blank(raw), "Empty response").when(tree.isNull(), "Invalid JSON").when(~kind.startswith("OBJECT"), "Response is not a JSON object").when(~has, "Response missing 'fields' array")
     ok = error.isNull()
-    return df.withColumns({"success": ok, "error": error, "form_type": F.when(ok, F.coalesce(parsed["form_type"], F.lit("Unknown"))), "language": F.when(ok, F.coalesce(parsed["language"], F.lit("en"))), "fields": F.when(ok, F.coalesce(parsed["fields"], F.array().cast(parsed_fields_type())))})
+    return once.withColumns({"success": ok, "error": error, "form_type": F.when(ok, F.coalesce(parsed["form_type"], F.lit("Unknown"))), "language": F.when(ok, F.coalesce(parsed["language"], F.lit("en"))), "fields": F.when(ok, F.coalesce(parsed["fields"], F.array().cast(parsed_fields_type())))}).drop("_tree", "_parsed")
 
 
 def parsed_fields_type() -> str:

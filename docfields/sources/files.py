@@ -13,8 +13,8 @@ MAX_MB = 20
 
 
 def extension(name: Column) -> Column:
-    """The lower-cased text behind the last dot, empty without one."""
-    return F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    """The lower-cased text behind the last dot of a path's last part, empty without one or if nothing stands before it."""
+    return F.lower(F.regexp_extract(name, r"[^/]\.([^./]*)/*$", 1))
 
 
 def check_upload(name: Column, size: Column, max_mb: int = MAX_MB) -> Column:
@@ -32,15 +32,16 @@ def mime_type(name: Column) -> Column:
 
 
 def sanitize(name: Column) -> Column:
-    """Unsafe characters of the stem become `_`, the stem is cut at 100; `file` stands for an empty one."""
-    stem = F.substring(F.regexp_replace(F.regexp_replace(name, r"(?<=.)\.[^.]*$", ""), r"[^a-zA-Z0-9._-]", "_"), 1, 100)
+    """The last part of a path: unsafe characters of its stem become `_`, the stem is cut at 100; `file` stands for an empty one."""
+    last = F.substring_index(F.regexp_replace(name, "/+$", ""), "/", -1)
+    stem = F.substring(F.regexp_replace(F.regexp_replace(last, r"(?<=.)\.[^.]*$", ""), r"[^a-zA-Z0-9._-]", "_"), 1, 100)
     return F.concat(F.when(stem == "", "file").otherwise(stem), F.lit("."), extension(name))
 
 
 def stored_name(name: Column, uploaded_at: Column, row_id: Column, prefix: str = "doc") -> Column:
     """{prefix}_{time}_{8 hex digits}.{extension}; the digits come from the id, so reruns agree."""
-    safe = "".join(c for c in prefix if c.isalnum() or c in "_-")[:20]
-    return F.concat_ws("_", F.lit(safe), F.date_format(uploaded_at, "yyyyMMdd_HHmmss"), F.concat(F.substring(F.md5(row_id.cast("string")), 1, 8), F.lit("."), extension(name)))
+    safe = F.substring(F.regexp_replace(F.lit(prefix), r"(?U)[^\p{Alpha}\p{N}_-]", ""), 1, 20)
+    return F.concat_ws("_", safe, F.date_format(uploaded_at, "yyyyMMdd_HHmmss"), F.concat(F.substring(F.md5(row_id.cast("string")), 1, 8), F.lit("."), extension(name)))
 
 
 def content_hash(content: Column, algorithm: str = "md5") -> Column:

@@ -17,14 +17,22 @@ def daily_step_status(logs: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def current_values(edits: DataFrame, fields: DataFrame, path: str) -> DataStreamWriter:
-    """Writes a snapshot of the fields for each micro-batch under path/batch=N: the fields of the last snapshot with the batch's
-    edits applied. A batch that is tried again overwrites its own folder, and edits are taken once by id."""
-    state = {"last": fields}
+    """Writes a snapshot of the fields for each micro-batch under path/batch=N: the newest earlier snapshot (`fields`, if there is
+    none) with the batch's edits applied. All state is in the folder, so a restart goes on where the last batch ended; a batch
+    that is tried again overwrites its own snapshot. Ids of edits that were taken are kept under path/taken/batch=N, and an edit
+    whose id was taken by this or an earlier batch is left out."""
 
     def apply(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "batch=*/_SUCCESS"))
+        earlier = [n for n in (int(f.getPath().getParent().getName().split("=")[1]) for f in found or []) if n < number]
         once = batch.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("created_at"))).where("_n = 1").drop("_n")
-        new, _ = apply_edits(state["last"], once)
+        if earlier:
+            once = once.join(spark.read.parquet(*[f"{path}/taken/batch={n}" for n in earlier]), "id", "left_anti")
+        last = spark.read.parquet(f"{path}/batch={max(earlier)}") if earlier else fields
+        once.select("id").write.mode("overwrite").parquet(f"{path}/taken/batch={number}")
+        new, _ = apply_edits(last, once)
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        state["last"] = batch.sparkSession.read.parquet(f"{path}/batch={number}")
 
     return edits.writeStream.foreachBatch(apply)

@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from docfields.operators import edits, layout, matching
+from docfields.operators import edits, exports, layout, matching
 from docfields.sources import files
 from docfields.streaming import jobs
 
@@ -142,3 +142,36 @@ def test_stream_of_edits_ends_with_the_batch_values(spark, tmp_path):
     columns = ["id", "field_value", "is_edited", "original_value"]
     changed = sorted(map(tuple, want.select(columns).collect()), key=str)
     assert set(changed) <= set(map(tuple, last.select(columns).collect()))
+
+
+def test_stream_of_edits_goes_on_after_a_restart(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    fields = spark.createDataFrame([(k, 1, "0", False, None) for k in range(3)], "id long, extraction_id long, field_value string, is_edited boolean, original_value string")
+    schema = "id long, field_id long, extraction_id long, new_value string, created_at timestamp, edit_type string"
+    edit = lambda k, field, value: (k, field, 1, value, start + timedelta(minutes=k), "manual")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "edits"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "edits"))
+        query = jobs.current_values(stream, fields, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+
+    run([edit(1, 0, "first"), edit(2, 1, "second")])
+    run([edit(3, 1, "third"), edit(1, 0, "first again")])  # edit 1 was taken before
+    last = {r.id: (r.field_value, r.is_edited, r.original_value) for r in spark.read.parquet(str(tmp_path / "out" / "batch=1")).collect()}
+    assert last == {0: ("first", True, "0"), 1: ("third", True, "0"), 2: ("0", False, None)}
+
+
+def test_names_of_paths(spark):
+    names = ["dir/x.pdf", "a b/c/d e.PNG", ".hidden", "dir.v2/plain", "x.tar.gz"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(files.sanitize(df.n)).collect()] == ["x.pdf", "d_e.png", ".hidden.", "plain.", "x.tar.gz"]
+
+
+def test_rollup_gathers_the_boxes_of_all_pages_and_exports_are_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([(1, 2, 5, True, ["c"]), (1, 1, 5, True, ["a", "b"]), (2, 1, 5, False, None)], "document_id long, page_number int, processing_time_ms long, success boolean, layout_boxes array<string>")
+    assert {r.document_id: r.layout_boxes for r in layout.document_rollup(pages).collect()} == {1: ["a", "b", "c"], 2: []}
+    for fmt in ("csv", "json"):
+        exports.write_export(pages.select("document_id", "page_number"), str(tmp_path / fmt), fmt, by="document_id")
+        back = spark.read.option("header", True).option("inferSchema", True).format(fmt).load(str(tmp_path / fmt))
+        assert sorted((r.document_id, r.page_number) for r in back.collect()) == [(1, 1), (1, 2), (2, 1)]
