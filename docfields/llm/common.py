@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from docfields.functions.ship import ship
 
 #: Rows, and bytes of text, that a task turns into Python objects at once; a longer text is taken alone.
-SLICE, SLICE_BYTES = 4096, 8 << 20
+SLICE, SLICE_BYTES = 4096, 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +60,7 @@ def sampled(df: DataFrame, id_col: str, rows: int, total: int) -> DataFrame:
 
 
 def parts_of(batches: Iterable[pa.RecordBatch], text_col: str | int = "text") -> Iterator[pa.RecordBatch]:
-    """The batches in slices of at most SLICE rows and SLICE_BYTES of text, one row at least. At the end of the task memory that
-    Arrow keeps for later goes back, since the worker may serve other stages."""
+    """The batches in slices of at most SLICE rows and SLICE_BYTES of text, one row at least."""
     for batch in batches:
         texts = batch.column(text_col)
         length = pc.list_value_length if pa.types.is_list(texts.type) else pc.binary_length
@@ -71,7 +71,14 @@ def parts_of(batches: Iterable[pa.RecordBatch], text_col: str | int = "text") ->
             stop = min(start + SLICE, max(start + 1, int(np.searchsorted(ends, most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    _give_back()
+
+
+def _give_back() -> None:
+    """At the end of a task, returns memory that Arrow and the C library keep for later: the worker may go on to other stages."""
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], *columns: str) -> Iterator[tuple[list, ...]]:

@@ -31,7 +31,7 @@ from docfields.functions.ship import ship
 from docfields.llm.common import batch_of, materialise, parts_of, table, words_of
 
 #: Distinct words that a task remembers from slice to slice, about 150 bytes each.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Letters that have one lower case of one character, and marks whose runs are apart from the letters before them.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", "".join(c for c in string.punctuation if c != "'")
 
