@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -49,9 +50,11 @@ def _narrowed(keyed: DataFrame, key: str, within: str | None, cells: dict, place
         fine = max(0, shift - step)
         group = F.col(within) if within else F.lit(None).cast("long")
         inside = keyed.select(group.alias("within"), F.shiftright(key, fine).alias("cell"), F.shiftright(key, shift).alias("above"), "size")
-        if shift < KEY_BITS or within:
-            wanted = keyed.sparkSession.createDataFrame(list(cells), "w long, a long")
-            inside = inside.join(F.broadcast(wanted), F.col("within").eqNullSafe(F.col("w")) & (F.col("above") == F.col("a")), "left_semi")
+        if within:
+            here = [(F.col("within") == w) & (F.col("above") == index) for w, index in cells]
+            inside = inside.where(reduce(Column.__or__, here))
+        elif shift < KEY_BITS:
+            inside = inside.where(F.col("above").isin([index for _, index in cells]))
         by_cell: dict[tuple, list] = {}
         for r in inside.groupBy("within", "cell").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect():
             by_cell.setdefault((r.within, r.cell >> (shift - fine)), []).append(r)
@@ -82,7 +85,7 @@ def boundaries(keyed: DataFrame, targets: list[tuple[float, float]]) -> list[Bou
     everything = {(None, 0): (0, 0, list(range(len(targets))))} if targets else {}
     heavy = _narrowed(keyed, "text_key", None, everything, lambda _, k: (k, 0), targets, best)
     if heavy:
-        some = keyed.join(F.broadcast(keyed.sparkSession.createDataFrame([(k,) for k in heavy], "text_key long")), "text_key", "left_semi")
+        some = keyed.where(F.col("text_key").isin(list(heavy)))
         _narrowed(some, "row_key", "text_key", {(k, 0): v for k, v in heavy.items()}, lambda w, k: (w, k), targets, best)
     return [best[t] for t in range(len(targets))]
 
