@@ -17,10 +17,21 @@ from docfields.functions.ship import ship
 
 #: Rows, and bytes of text, that a task turns into Python objects at once; a longer text is taken alone.
 SLICE, SLICE_BYTES = 4096, 2 << 20
+#: Rows that Spark sends to a Python task at once, in place of its default of 10,000, which is 100 MB of texts of 10 KB in the
+#: executor and again in the worker. Any other setting of the session stays.
+BATCH_ROWS, BATCH_DEFAULT = "1000", "10000"
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with the package shipped and Arrow batches fit for texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == BATCH_DEFAULT:
+        spark.conf.set(key, BATCH_ROWS)
+    return ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession) -> str:
@@ -36,7 +47,7 @@ def scratch(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and a lost executor costs nothing."""
-    spark = ship(df.sparkSession)
+    spark = tuned(df.sparkSession)
     path = f"{scratch(spark)}/docfields-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -101,7 +112,7 @@ def words_of(texts: pa.Array, split: Callable[[pa.Array], pa.ListArray] = pc.asc
 
 def rows_where(df: DataFrame, text_col: str, make: Callable[[], Callable[[str], bool]]) -> DataFrame:
     """The rows of df, with all columns, whose text (null as empty) passes; make() gives a task its test. No shuffle, no key."""
-    ship(df.sparkSession)
+    tuned(df.sparkSession)
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
