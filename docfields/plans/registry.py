@@ -319,6 +319,24 @@ def _match(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["match_text"] = _match
 
 
+def _fields_with_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fields of each document: its first line with the fifth letter lost and, as value, the line's first word without its
+    first letter; its first word as key and the line's first and third words as value."""
+    first = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    word = lambda n: F.coalesce(F.get(F.split("first", " "), F.lit(n)), F.lit(""))
+    kinds = F.array(
+        F.struct(F.concat(F.substring("first", 1, 4), F.expr("substring(first, 6)")).alias("field_key"), F.expr("substring(split_part(first, ' ', 1), 2)").alias("field_value")),
+        F.struct(word(0).alias("field_key"), F.concat_ws(" ", word(0), word(2)).alias("field_value")),
+    )
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("extraction_id"), first.alias("first"))
+    fields = docs.select("extraction_id", F.posexplode(kinds).alias("id", "f")).select("extraction_id", "id", "f.*")
+    found = matching.match_fields(fields, _boxes(spark, sf_dir))
+    return found.select("extraction_id", "id", *[F.col(f"{p}_bbox.{c}").alias(f"{p}_{c}") for p in ("key", "value") for c in ("matched_text", "confidence", "page")])
+
+
+QUERIES["match_fields"] = _fields_with_boxes
+
+
 def _reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _boxes(spark, sf_dir).where("type = 'word'")
     corners = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.get("polygon", 2 * k), F.get("polygon", 2 * k + 1)))
