@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docfields.llm.balanced_packing import op13_balanced_packing
 from docfields.llm.exact_topk import OP4_SQL, op4_exact_topk
 from docfields.llm.language_id import op7_language_id
 from docfields.llm.near_dedup import op10_minhash_near_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_sharding,
         op10_minhash_near_dedup,
+        op13_balanced_packing,
     )
 }
 ORACLES = {"op4_exact_topk": OP4_SQL, "op5_warc_fixity": OP5_SQL}
