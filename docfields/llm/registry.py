@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docfields.llm.balanced_packing import op13_balanced_packing
 from docfields.llm.exact_topk import OP4_SQL, op4_exact_topk
+from docfields.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from docfields.llm.language_id import op7_language_id
 from docfields.llm.near_dedup import op10_minhash_near_dedup
 from docfields.llm.packing import op6_best_fit_packing
@@ -31,7 +32,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_sharding,
         op10_minhash_near_dedup,
+        op11_hard_negatives,
         op13_balanced_packing,
     )
 }
-ORACLES = {"op4_exact_topk": OP4_SQL, "op5_warc_fixity": OP5_SQL}
+ORACLES = {"op4_exact_topk": OP4_SQL, "op5_warc_fixity": OP5_SQL, "op11_hard_negatives": OP11_SQL}
