@@ -12,6 +12,7 @@ from docfields.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from docfields.llm.language_id import op7_language_id
 from docfields.llm.near_dedup import op10_minhash_near_dedup
 from docfields.llm.packing import op6_best_fit_packing
+from docfields.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from docfields.llm.quality_rules import op8_quality_rules
 from docfields.llm.sentencepiece_codec import op2_sentencepiece
 from docfields.llm.sharding import op9_sharding
@@ -33,7 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_sharding,
         op10_minhash_near_dedup,
         op11_hard_negatives,
+        op12_prefix_trie,
         op13_balanced_packing,
     )
 }
-ORACLES = {"op4_exact_topk": OP4_SQL, "op5_warc_fixity": OP5_SQL, "op11_hard_negatives": OP11_SQL}
+ORACLES = {"op4_exact_topk": OP4_SQL, "op5_warc_fixity": OP5_SQL, "op11_hard_negatives": OP11_SQL, "op12_prefix_trie": OP12_SQL}
