@@ -35,10 +35,12 @@ from pyspark.sql import functions as F
 
 from docfields.functions.ship import ship
 from docfields.llm.common import materialise, parts_of, table
-from docfields.llm.packing import LETTERS, REMEMBERED, Encoder, Ragged
+from docfields.llm.packing import LETTERS, Encoder, Ragged
 
 #: Cost of a token beside the others of its piece, for layers of width d: 24 d^2 of weights to 4 d for each token attended to.
 LINEAR, QUADRATIC = 6 * 1024, 1
+#: Distinct words that a task remembers from slice to slice, about 150 bytes each.
+REMEMBERED = 400_000
 FIRST, LINE = "\x01", "\x02"
 #: Marks that stay one token group behind a word; an apostrophe may begin a group of its own.
 MARKS = "".join(c for c in string.punctuation if c != "'")
@@ -66,6 +68,7 @@ class ByteEncoder(Encoder):
         letters = [c for c in map(chr, range(0x41, 0x100)) if re.fullmatch(f"[{LETTERS}]", c)]
         probes = [s + w for w in [*letters, "".join(letters), "0123", *"the Straße naïveté ÜBERMÄSSIG".split()] for s in ("", " ")]
         self.direct = all(self.slow(w) == self.fast(w) and all(self.slow(w + e) == self.slow(w) + self.slow(e) for e in (*MARKS, MARKS)) for w in probes)
+        self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.clear()
 
     def fast(self, word: str) -> list[int]:
@@ -136,13 +139,14 @@ PIECES = "start long, length int, doc_tokens long, ids_crc32 long, ids binary, t
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int, end: int = 0) -> DataFrame:
-    """id, start, length, doc_tokens, ids_crc32 and the ids (unsigned, little-endian, of 32 bits) of each piece; `task` made it and
-    gave it the number `nth` among its pieces of that length."""
+    """id, start, length, doc_tokens, ids_crc32 and the ids (little-endian, of 16 bits if the vocabulary allows, else 32) of each piece;
+    `task` made it and gave it the number `nth` among its pieces of that length."""
     kind = df.schema[id_col].dataType.simpleString()
     ship()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, met, last = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), np.array([end], "<u4")
+        width = "<u4" if end >= 1 << 16 else encoder(tokenizer).width
         for part in parts_of(batches):
             found = encoder(tokenizer).encode(part.column("text"))
             rows, taken = [], []
@@ -150,7 +154,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity:
                 whole = np.concatenate([found.ids[a:b], last])
                 for at in range(0, len(whole), capacity):
                     piece = whole[at : at + capacity]
-                    rows.append((at, len(piece), len(whole), zlib.crc32(piece), piece.tobytes(), task, int(met[len(piece)])))
+                    rows.append((at, len(piece), len(whole), zlib.crc32(piece), piece.astype(width).tobytes(), task, int(met[len(piece)])))
                     met[len(piece)] += 1
                     taken.append(k)
             columns = list(zip(*rows, strict=True)) or [()] * 7
@@ -260,7 +264,9 @@ def pack(found: DataFrame, id_col: str, capacity: int, linear: int = LINEAR, qua
             at, size = steps.at[step], steps.size[step]
             sums, ids = crc[piece], batch.column("ids")
             for k in np.flatnonzero(size != length[piece]).tolist():
-                sums[k] = zlib.crc32(memoryview(ids[int(piece[k])].as_buffer())[4 * int(at[k]) : 4 * int(at[k] + size[k])])
+                whole = ids[int(piece[k])].as_buffer()
+                kept = np.frombuffer(whole, "<u2" if whole.size == 2 * length[piece[k]] else "<u4")
+                sums[k] = zlib.crc32(kept[at[k] : at[k] + size[k]].astype("<u4"))
             row = pa.array(piece)
             arrays = [batch.column(id_col).take(row), pa.array(start[piece] + at), pa.array(size), pa.array(sums), batch.column("doc_tokens").take(row), pa.array(steps.first[step] + rank[piece] - steps.low[step]), pa.array(steps.offset[step])]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
