@@ -19,13 +19,13 @@ BOX = "type string, content string, confidence double, polygon array<double>, pa
 
 def _boxes(rows: DataFrame, kind: str, rank: int, order: list[Column], given: dict[str, Column]) -> DataFrame:
     columns = [given.get(n, F.lit(None)).cast(t).alias(n) for n, t in (x.split(" ", 1) for x in BOX.split(", ") if not x.startswith("type "))]
-    return rows.select("document_id", F.lit(kind).alias("type"), F.struct(F.lit(rank).alias("kind"), *[o.cast("int").alias(f"o{k}") for k, o in enumerate(order)]).alias("ordinal"), *columns)
+    return rows.select("document_id", F.lit(kind).alias("type"), F.struct(given["page_number"].cast("int").alias("page"), F.lit(rank).alias("kind"), *[o.cast("int").alias(f"o{k}") for k, o in enumerate(order)]).alias("ordinal"), *columns)
 
 
 def flatten_boxes(analyses: DataFrame) -> DataFrame:
     """Words, lines, selection marks, tables, cells and paragraphs of each page as boxes, with `odd_polygon` where the polygon
     has an odd length. Tables and cells give a box for each of their regions on the page; paragraphs one for the first, their
-    content cut to 100 characters and `...`. `ordinal` orders a page's boxes."""
+    content cut to 100 characters and `...`. `ordinal` orders a document's boxes, by page, kind and place."""
     p, zero = F.col("page_number"), F.lit(0)
     here = lambda regions: F.filter(regions, lambda r: r["page_number"] == p)
 
@@ -77,10 +77,13 @@ def document_rollup(pages: DataFrame) -> DataFrame:
 
 
 def page_maps(pages: DataFrame) -> DataFrame:
-    """Dimensions and image paths of each document by page number as text."""
+    """Dimensions and image paths of each document by page number as text. Of a page that is stored more than once the greatest
+    row counts (dimensions, then path); pages without a number have no entry."""
     key = F.col("page_number").cast("string")
     dims = F.struct(F.col("page_width_inches").alias("width_inches"), F.col("page_height_inches").alias("height_inches"), F.col("image_width").alias("image_width_px"), F.col("image_height").alias("image_height_px"))
-    return pages.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct(key, dims))).alias("page_dimensions"), F.map_from_entries(F.collect_list(F.struct(key, F.col("image_path")))).alias("image_paths"))
+    once = pages.where("page_number IS NOT NULL").groupBy("document_id", key.alias("key")).agg(F.max(F.struct(dims.alias("dims"), "image_path")).alias("p"))
+    maps = once.groupBy("document_id").agg(*[F.map_from_entries(F.collect_list(F.struct("key", f"p.{c}"))).alias(n) for c, n in (("dims", "page_dimensions"), ("image_path", "image_paths"))])
+    return pages.select("document_id").distinct().join(maps, "document_id", "left")
 
 
 def page_of(maps: DataFrame, page: int) -> DataFrame:

@@ -1,11 +1,19 @@
 """Linking field texts to their boxes on the page.
 
 Boxes: extraction_id, ordinal, type (line or word), content, page_number, polygon. Targets: extraction_id, target_id, target and,
-where matching is by page, page_number. Cheap stages come first (equal lines by an equi-join) and only targets that they leave
-go on to the similarity stages, whose ratio is the one helper that Spark's functions lack."""
+where matching is by page, page_number. `ordinal` may be of any type that has an order; boxes that share one are taken in the order
+of page and text.
+
+Matching is filter and verify. Repeated texts count once: of a document's boxes with the same normalised text only the first can be
+found, and a text is looked up once, however many fields have it. Equal lines are an equi-join. A text and a line meet if one holds
+the other, or if their lengths and letters allow the ratio that is asked for. Words meet through an inverted index on their
+rarest letters: if two words have so much in common, the first few of their letters, rarest first, share one. Letters are compared as
+sets of bits before the ratio itself, the one helper that Spark's functions lack, sees the pairs that are left."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,9 +22,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from docfields.functions.ship import ship
+from docfields.functions.store import stored
 from docfields.functions.text import normalise, strip
 
 LINE, WORD, UNION_SHARE, BOOST = 0.85, 0.9, 0.95, 0.9
+#: Letters from rare to frequent; digits and all other characters are two more classes behind them.
+LETTERS = "zqxjkvbpygfwmucldrhsnioate"
+#: From this length on the ratio leaves out frequent characters, so that a text may hold another and have a ratio below their share.
+JUNK_FROM = 200
 
 
 @F.pandas_udf(DoubleType())
@@ -25,9 +38,46 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def _may_reach(a: Column, b: Column, least: float) -> Column:
-    """Whether the lengths allow a ratio of at least `least`."""
-    return 2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b))
+def letter_counts(c: Column) -> Column:
+    """How many characters of each class a text has."""
+    left = lambda without: F.length(c) - F.length(without)
+    known = [left(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS] + [left(F.translate(c, "0123456789", ""))]
+    return F.array(*known, F.length(F.translate(c, LETTERS + "0123456789", "")))
+
+
+def letter_bits(counts: Column) -> Column:
+    """A bit for each class that a text has, and one for each that it has twice. Two texts differ in at least as many
+    characters as bits."""
+    n = len(LETTERS) + 2
+    bits = [F.when(F.get(counts, F.lit(k)) > m, F.lit(1 << (k + n * m)).cast("long")).otherwise(F.lit(0).cast("long")) for m in (0, 1) for k in range(n)]
+    out = bits[0]
+    for b in bits[1:]:
+        out = out.bitwiseOR(b)
+    return out
+
+
+def rare_classes(counts: Column, length: Column, least: float) -> Column:
+    """The classes of a text's first letters, rarest first, that it must share one of with any text of a ratio of `least`: it has at
+    least length * least / (2 - least) characters in common with such a text."""
+    must = F.ceil(length * (least / (2 - least)) - 1e-9)
+    start = F.struct(F.lit(0).cast("int").alias("at"), F.lit(0).cast("int").alias("before"), F.array().cast("array<int>").alias("found"))
+
+    def step(acc: Column, n: Column) -> Column:
+        hit = (n > 0) & (acc["before"] < length - must + 1)
+        return F.struct((acc["at"] + 1).alias("at"), (acc["before"] + n).alias("before"), F.when(hit, F.array_append(acc["found"], acc["at"])).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(counts, start, step, lambda acc: acc["found"])
+
+
+def length_band(length: Column) -> Column:
+    """Texts with a ratio of LINE or more are in the same or in neighbouring bands."""
+    return F.floor(F.log(length.cast("double")) / math.log((2 - LINE) / LINE)).cast("int")
+
+
+def may_reach(la: Column, lb: Column, bits_a: Column, bits_b: Column, least: Column | float) -> Column:
+    """Whether lengths and letters allow a ratio of at least `least`."""
+    both = la + lb
+    return (2 * F.least(la, lb) >= least * both) & (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= (F.lit(1.0) - least) * both + 1e-9)
 
 
 def union_polygon(polygons: Column) -> Column:
@@ -38,105 +88,167 @@ def union_polygon(polygons: Column) -> Column:
     return F.when(F.size(every) >= 2, F.array(x0, y0, x1, y0, x1, y1, x0, y1)).otherwise(F.array().cast("array<double>"))
 
 
-def _pairs(targets: DataFrame, boxes: DataFrame, kind: str, by_page: bool) -> DataFrame:
-    """Targets with each box of a kind of their extraction (and page). Within one document; boxes of a document are few."""
-    b = boxes.where(F.col("type") == kind).select("extraction_id", "ordinal", "content", "polygon", F.col("page_number").alias("page"), normalise(F.col("content")).alias("b"))
-    on = ["extraction_id"]
-    if by_page:
-        b, on = b.withColumn("page_number", F.col("page")), ["extraction_id", "page_number"]
-    return targets.join(b, on)
+_MATCH = ("polygon", "matched_text", "confidence", "page")
 
 
-_MATCH = ("polygon", "matched_text", "confidence", "page")
+def _keys(by_page: bool) -> list[str]:
+    return ["extraction_id", "page_number"] if by_page else ["extraction_id"]
+
+
+def first_boxes(boxes: DataFrame, kind: str, by_page: bool = False, norm: Callable[[Column], Column] = normalise, blank: bool = False) -> DataFrame:
+    """The distinct texts `b` of a document's (or page's) lines or words, each with its first box as (ordinal, page, content, polygon)."""
+    box = F.struct("ordinal", F.col("page_number").alias("page"), "content", "polygon")
+    b = boxes.where(F.col("type") == kind).select(*_keys(by_page), norm(F.col("content")).alias("b"), box.alias("box"))
+    return b.where(F.lit(blank) | (F.col("b") != "")).groupBy(*_keys(by_page), "b").agg(F.min("box").alias("box"))
+
+
+def _found(confidence: Column) -> list[Column]:
+    return [F.col("box.polygon").alias("polygon"), F.col("box.content").alias("matched_text"), confidence.alias("confidence"), F.col("box.page").alias("page")]
+
+
+def _texts(targets: DataFrame, by_page: bool) -> DataFrame:
+    return targets.where("t <> ''").select(*_keys(by_page), "t").distinct()
+
+
+def _of_targets(targets: DataFrame, found: DataFrame, by_page: bool) -> DataFrame:
+    return targets.select("extraction_id", "target_id", "t", *_keys(by_page)[1:]).join(found, [*_keys(by_page), "t"]).select("extraction_id", "target_id", *_MATCH)
 
 
-def _first(pairs: DataFrame, confidence: Column) -> DataFrame:
-    got = F.struct(F.col("polygon"), F.col("content").alias("matched_text"), confidence.alias("confidence"), F.col("page"))
-    return pairs.groupBy("extraction_id", "target_id").agg(F.min_by(got, "ordinal").alias("m")).select("extraction_id", "target_id", "m.*")
+def _equal_lines(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFrame:
+    return texts.join(first_boxes(boxes, "line", by_page).withColumnRenamed("b", "t"), [*_keys(by_page), "t"]).select(*_keys(by_page), "t", *_found(F.lit(1.0)))
 
 
 def match_equal_lines(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
-    b = boxes.where(F.col("type") == "line").select("extraction_id", "ordinal", "content", "polygon", F.col("page_number").alias("page"), normalise(F.col("content")).alias("t"))
-    on = ["extraction_id", "t"]
-    if by_page:
-        b, on = b.withColumn("page_number", F.col("page")), [*on, "page_number"]
-    return _first(targets.where("t <> ''").join(b, on), F.lit(1.0))
+    return _of_targets(targets, _equal_lines(_texts(targets, by_page), boxes, by_page), by_page)
 
 
-def match_similar_lines(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def _bits(df: DataFrame, name: str) -> DataFrame:
+    """Adds the length and the letters' bits of a text as n_<name> and bits_<name>."""
+    return df.withColumn("counts", letter_counts(F.col(name))).withColumns({f"n_{name}": F.length(name), f"bits_{name}": letter_bits(F.col("counts"))}).drop("counts")
+
+
+def _similar_lines(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFrame:
     """The line that a scan in order ends with: one that holds the target, or is held by it, is taken if its ratio beats the best
-    so far, which then becomes at least 0.9; another if its ratio is at least 0.85 and beats the best."""
+    so far, which then becomes at least 0.9; another if its ratio is at least 0.85 and beats the best. So of lines with a ratio
+    below 0.85 only the first can count, and only if one text holds the other: the best is then still nothing."""
     ship()
-    p = _pairs(targets.where("t <> ''"), boxes, "line", by_page)
+    on = [*_keys(by_page), "t"]
+    lines = first_boxes(boxes, "line", by_page)
+    n, m, both = F.length("t"), F.length("b"), F.length("t") + F.length("b")
     held = F.col("b").contains(F.col("t")) | F.col("t").contains(F.col("b"))
-    some = p.withColumn("held", held).where(F.col("held") | _may_reach(F.col("t"), F.col("b"), LINE))
-    ratios = some.select("t", "b").distinct().withColumn("r", fuzzy_ratio("t", "b"))
-    scored = some.join(ratios, ["t", "b"]).where("r > 0 AND (held OR r >= 0.85)")
-    got = F.struct("ordinal", "held", "r", "polygon", F.col("content").alias("matched_text"), "page")
-    lists = scored.groupBy("extraction_id", "target_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "held", "r"))).alias("scan"), F.map_from_entries(F.collect_list(F.struct("ordinal", got))).alias("by"))
-    start = F.struct(F.lit(None).cast("int").alias("at"), F.lit(0.0).alias("best"))
+    asked = F.struct("box.ordinal", "box.page").alias("place")
+    some = _bits(texts, "t").join(_bits(lines.select(*_keys(by_page), "b", asked), "b"), _keys(by_page)).withColumn("held", held)
+    some = some.where(F.col("held") | may_reach(F.col("n_t"), F.col("n_b"), F.col("bits_t"), F.col("bits_b"), LINE)).select(*on, "b", "place", "held")
+    # A text that holds another has it as its longest match, so the ratio is known unless frequent characters are left out.
+    known = F.col("held") & (m < JUNK_FROM)
+    asked = some.where(~known).select("t", "b").distinct().withColumn("r", fuzzy_ratio("t", "b")).where("r > 0")
+    rated = some.where(known).withColumn("r", 2.0 * F.least(n, m) / both).unionByName(some.where(~known).join(asked, ["t", "b"]).select(*some.columns, "r"))
+    one = F.struct("place", "b", "held", "r")
+    lists = rated.where(F.col("held") | (F.col("r") >= LINE)).groupBy(*on).agg(F.collect_list(F.when(F.col("r") >= LINE, one)).alias("near"), F.min(F.when(F.col("r") < LINE, one)).alias("far"))
+    scan = F.array_sort(F.array_compact(F.concat("near", F.array("far"))))
+    start = F.struct(F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("best"))
 
     def step(acc: Column, e: Column) -> Column:
         best = F.when(e["held"], F.greatest(e["r"], F.lit(BOOST))).otherwise(e["r"])
-        return F.when(e["r"] > acc["best"], F.struct(e["ordinal"].cast("int").alias("at"), best.alias("best"))).otherwise(acc)
+        return F.when(e["r"] > acc["best"], F.struct(e["b"].alias("b"), best.alias("best"))).otherwise(acc)
 
-    found = lists.withColumn("f", F.aggregate("scan", start, step)).where("f.at IS NOT NULL").withColumn("m", F.col("by")[F.col("f.at")])
-    return found.select("extraction_id", "target_id", F.col("m.polygon").alias("polygon"), F.col("m.matched_text").alias("matched_text"), F.col("f.best").alias("confidence"), F.col("m.page").alias("page"))
+    ends = lists.select(*on, F.aggregate(scan, start, step).alias("end")).select(*on, F.col("end.b").alias("b"), F.col("end.best").alias("best"))
+    return ends.join(lines, [*_keys(by_page), "b"]).select(*on, *_found(F.col("best")))
 
 
-def _scored_words(pairs: DataFrame, least: float) -> DataFrame:
-    some = pairs.where((F.col("b") == F.col("w")) | _may_reach(F.col("b"), F.col("w"), least))
-    ratios = some.where("b <> w").select("b", "w").distinct().withColumn("r", fuzzy_ratio("b", "w"))
-    return some.join(ratios, ["b", "w"], "left").withColumn("r", F.when(F.col("b") == F.col("w"), 1.0).otherwise(F.col("r"))).where(F.col("r") >= least)
+def match_similar_lines(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+    return _of_targets(targets, _similar_lines(_texts(targets, by_page), boxes, by_page), by_page)
 
 
-def match_single_words(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
-    """The first word that equals the target or is similar enough, whichever comes first."""
+def _indexed(df: DataFrame, name: str, least: float, spread: tuple[int, ...]) -> DataFrame:
+    """A row for each rare class of a text and each band of lengths that `spread` takes beside its own, as (class, band)."""
+    rows = df.withColumn("counts", letter_counts(F.col(name))).withColumns({f"n_{name}": F.length(name), f"bits_{name}": letter_bits(F.col("counts"))})
+    rows = rows.withColumn("class", F.explode(rare_classes(F.col("counts"), F.col(f"n_{name}"), least))).drop("counts")
+    return rows.withColumn("band", F.explode(F.array(*[length_band(F.col(f"n_{name}")) + k for k in spread])))
+
+
+def similar_words(asked: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, w, least, box, r): for each word asked for (keys, w, least) the first of `words` (keys, b, box) that equals it or has a
+    ratio of `least`, which must be LINE or more."""
     ship()
-    p = _pairs(targets.where("t <> '' AND NOT contains(t, ' ')"), boxes, "word", by_page).withColumn("w", F.col("t"))
-    return _first(_scored_words(p, LINE), F.col("r"))
+    left = _indexed(asked, "w", LINE, (-1, 0, 1))
+    right = _indexed(words.select(*keys, "b", F.struct("box.ordinal", "box.page").alias("place")), "b", LINE, (0,))
+    pairs = left.join(right, [*keys, "class", "band"]).where(may_reach(F.col("n_w"), F.col("n_b"), F.col("bits_w"), F.col("bits_b"), F.col("least"))).select(*keys, "w", "least", "b", "place")
+    ratios = pairs.where("b <> w").groupBy("b", "w").agg(F.min("least").alias("_least")).withColumn("r", fuzzy_ratio("b", "w")).where("r >= _least").drop("_least")
+    rated = pairs.where("b = w").withColumn("r", F.lit(1.0)).unionByName(pairs.where("b <> w").join(ratios, ["b", "w"]).where("r >= least").select(*pairs.columns, "r"))
+    first = rated.groupBy(*keys, "w", "least").agg(F.min(F.struct("place", "b", "r")).alias("m")).select(*keys, "w", "least", "m.b", "m.r")
+    return first.join(words, [*keys, "b"]).select(*keys, "w", "least", "box", "r")
+
+
+def _by_words(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFrame:
+    """A single word: the first that equals it or is similar enough. Several: for each of two or more letters the first similar box;
+    a match if these are at least half of all the target's words."""
+    keys = _keys(by_page)
+    parts = texts.withColumn("ws", F.split("t", " ")).withColumn("n", F.size("ws")).select(*keys, "t", "n", F.posexplode("ws").alias("k", "w"))
+    parts = parts.where("n = 1 OR length(w) >= 2").withColumn("least", F.when(F.col("n") == 1, LINE).otherwise(WORD))
+    found = similar_words(parts.select(*keys, "w", "least").distinct(), first_boxes(boxes, "word", by_page), keys)
+    ms = parts.join(found, [*keys, "w", "least"]).groupBy(*keys, "t", "n").agg(F.sort_array(F.collect_list(F.struct("k", "box", "r"))).alias("ms"))
+    share, first = F.size("ms") / F.col("n"), F.col("ms")[0]
+    several = ms.where((F.col("n") > 1) & (share >= 0.5)).select(*keys, "t", union_polygon(F.transform("ms", lambda x: x["box"]["polygon"])).alias("polygon"), F.array_join(F.transform("ms", lambda x: x["box"]["content"]), " ").alias("matched_text"), F.least(share, F.lit(UNION_SHARE)).alias("confidence"), first["box"]["page"].alias("page"))
+    return ms.where("n = 1").select(*keys, "t", first["box"].alias("box"), first["r"].alias("r")).select(*keys, "t", *_found(F.col("r"))).unionByName(several)
+
+
+def _rest(texts: DataFrame, found: DataFrame, by_page: bool) -> DataFrame:
+    return texts.join(found, [*_keys(by_page), "t"], "left_anti")
+
+
+def match_single_words(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+    return _of_targets(targets, _by_words(_texts(targets, by_page).where("NOT contains(t, ' ')"), boxes, by_page), by_page)
 
 
 def match_word_unions(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
-    """For each word of two or more letters the first similar box; a match if these are at least half of all the target's words."""
-    ship()
-    t = targets.where("contains(t, ' ')").withColumn("n", F.size(F.split("t", " ")))
-    words = t.select("*", F.posexplode(F.split("t", " ")).alias("k", "w")).where(F.length("w") >= 2)
-    p = _scored_words(_pairs(words, boxes, "word", by_page), WORD)
-    each = p.groupBy("extraction_id", "target_id", "n", "k").agg(F.min_by(F.struct("content", "polygon", "page"), "ordinal").alias("m"))
-    got = each.groupBy("extraction_id", "target_id", "n").agg(F.sort_array(F.collect_list(F.struct("k", "m"))).alias("ms"))
-    share = F.size("ms") / F.col("n")
-    return got.where(share >= 0.5).select("extraction_id", "target_id", union_polygon(F.transform("ms", lambda x: x["m"]["polygon"])).alias("polygon"), F.array_join(F.transform("ms", lambda x: x["m"]["content"]), " ").alias("matched_text"), F.least(share, F.lit(UNION_SHARE)).alias("confidence"), F.col("ms")[0]["m"]["page"].alias("page"))
+    return _of_targets(targets, _by_words(_texts(targets, by_page).where("contains(t, ' ')"), boxes, by_page), by_page)
+
+
+def match_texts(texts: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+    """The match of each normalised text `t` of a document (or page), in stages: equal line, similar line, then the word or the union of
+    words. What a stage leaves is written once and goes on."""
+    found, rest = [], texts
+    for stage in (_equal_lines, _similar_lines, _by_words):
+        found.append(stored(stage(rest, boxes, by_page), "found"))
+        if stage is not _by_words:
+            rest = stored(_rest(rest, found[-1], by_page), "rest")
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def match_text(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
-    """The match of each target, in stages: equal line, similar line, then the word or the union of words. Blank targets and
-    targets without a match have no row."""
+    """The match of each target. Blank targets and targets without a match have no row; targets that share an id have a row each."""
     t = targets.withColumn("t", normalise(F.col("target"))).where("t <> ''")
-    out = match_equal_lines(t, boxes, by_page)
-    left = t.join(out, ["extraction_id", "target_id"], "left_anti")
-    similar = match_similar_lines(left, boxes, by_page)
-    left = left.join(similar, ["extraction_id", "target_id"], "left_anti")
-    return out.unionByName(similar).unionByName(match_single_words(left, boxes, by_page)).unionByName(match_word_unions(left, boxes, by_page))
+    return _of_targets(t, match_texts(_texts(t, by_page), boxes, by_page), by_page)
 
 
 def match_fields(fields: DataFrame, boxes: DataFrame) -> DataFrame:
-    """fields with key_bbox and value_bbox: keys and values are targets of one run."""
-    both = fields.select("extraction_id", "id", F.explode(F.create_map(F.lit("key"), F.col("field_key"), F.lit("value"), F.col("field_value"))).alias("part", "target"))
-    found = match_text(both.select("extraction_id", F.struct("id", "part").alias("target_id"), "target"), boxes)
-    box = F.struct(*_MATCH)
-    wide = found.groupBy("extraction_id", F.col("target_id.id").alias("id")).agg(*[F.first(F.when(F.col("target_id.part") == p, box), ignorenulls=True).alias(f"{p}_bbox") for p in ("key", "value")])
-    return fields.drop("key_bbox", "value_bbox").join(wide, ["extraction_id", "id"], "left")
+    """fields (extraction_id, field_key, field_value, ...) with key_bbox and value_bbox: keys and values are texts of one run. Fields
+    are told apart by nothing but their texts, so ids may repeat or be null."""
+    both = fields.select("extraction_id", F.explode(F.array("field_key", "field_value")).alias("t")).select("extraction_id", normalise(F.col("t")).alias("t"))
+    found = match_texts(_texts(both, False), boxes).select("extraction_id", "t", F.struct(*_MATCH).alias("m"))
+    out = fields.drop("key_bbox", "value_bbox")
+    for part in ("key", "value"):
+        named = found.select("extraction_id", F.col("t").alias(f"_{part}"), F.col("m").alias(f"{part}_bbox"))
+        out = out.withColumn(f"_{part}", normalise(F.col(f"field_{part}"))).join(named, ["extraction_id", f"_{part}"], "left").drop(f"_{part}")
+    return out.select(*[c for c in fields.columns if c not in ("key_bbox", "value_bbox")], "key_bbox", "value_bbox")
+
+
+def _plain(c: Column) -> Column:
+    return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
 def match_contains(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
-    """The viewer's plain match: the first line that holds the target or is held by it, else the first equal word."""
-    plain = lambda c: F.lower(strip(F.coalesce(c, F.lit(""))))
-    t = targets.where(F.coalesce("target", F.lit("")) != "").withColumn("t", plain(F.col("target")))
-    lines = _pairs(t, boxes, "line", by_page).withColumn("b", plain(F.col("content")))
-    by_line = _first(lines.where(F.col("b").contains(F.col("t")) | F.col("t").contains(F.col("b"))), F.lit(1.0))
-    words = _pairs(t.join(by_line, ["extraction_id", "target_id"], "left_anti"), boxes, "word", by_page)
-    return by_line.unionByName(_first(words.where(plain(F.col("content")) == F.col("t")), F.lit(1.0)))
+    """The viewer's plain match: the first line that holds the target or is held by it (as a blank line is by any), else the first
+    equal word."""
+    keys = _keys(by_page)
+    t = targets.where(F.coalesce("target", F.lit("")) != "").withColumn("t", _plain(F.col("target")))
+    texts = t.select(*keys, "t").distinct()
+    held = F.col("b").contains(F.col("t")) | F.col("t").contains(F.col("b"))
+    by_line = texts.join(first_boxes(boxes, "line", by_page, _plain, True), keys).where(held).groupBy(*keys, "t").agg(F.min("box").alias("box"))
+    by_line = stored(by_line, "found")
+    by_word = _rest(texts, by_line, by_page).join(first_boxes(boxes, "word", by_page, _plain).withColumnRenamed("b", "t"), [*keys, "t"])
+    return _of_targets(t, by_line.unionByName(by_word).select(*keys, "t", *_found(F.lit(1.0))), by_page)
 
 
 def page_boxes(boxes: DataFrame, page: int) -> DataFrame:
