@@ -161,7 +161,7 @@ def time_forward(runs: DataFrame, most: int = 200_000) -> DataFrame:
     return runs.sortWithinPartitions(*order).select(*[c.split()[0] for c in RUN.split(", ")]).mapInArrow(run, TOTAL)
 
 
-def totals(nodes: DataFrame, paths: DataFrame, top: int = 50_000, least: int = 1024) -> DataFrame:
+def totals(nodes: DataFrame, paths: DataFrame, top: int = 50_000, least: int = 64) -> DataFrame:
     """rep, n, top, bottom (depths of the first and last node), children, leaves, below (saved below the last node) and parent_rep of
     each run. `nodes` and `paths` (members) are tables that can be read again."""
     size = nodes.agg(F.sum("n")).first()[0] or 0
@@ -228,7 +228,7 @@ def end_hashes(paths: DataFrame) -> DataFrame:
     return joined.repartition(*KEY).sortWithinPartitions(*order).mapInArrow(hashes, f"{longs}, ends_sha256 string")
 
 
-def trie(turns: DataFrame, top: int = 50_000, least: int = 1024) -> DataFrame:
+def trie(turns: DataFrame, top: int = 50_000, least: int = 64) -> DataFrame:
     """The nodes of `turns` (conv, depth, x1, x2, words; depth 0 for the root): conv_id, depth, parent_conv_id, n_convs, n_children,
     n_leaves, saved_tokens, ends_sha256."""
     paths = materialise(members(turns), "members")
