@@ -24,3 +24,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/docfields-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, exchange: bool = True) -> DataFrame:
+    """A table of `buckets` buckets by a key, sorted by it within each. Joins and groups that have the key among their columns need no
+    exchange of such tables. Without `exchange`, rows must come from a plan that is dealt by the same key and number already;
+    then each task writes one bucket."""
+    spark, tag = df.sparkSession, uuid.uuid4().hex
+    dealt = df.repartition(buckets, key) if exchange else df
+    table = f"docfields_{tag}_{name}"
+    dealt.write.bucketBy(buckets, key).sortBy(key).option("path", f"{shared_folder(spark)}/docfields-{tag}/{name}").format("parquet").saveAsTable(table)
+    return spark.table(table)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,10 +24,10 @@ def _boxes(rows: DataFrame, kind: str, rank: int, order: list[Column], given: di
     return rows.select("document_id", F.lit(kind).alias("type"), F.struct(given["page_number"].cast("int").alias("page"), F.lit(rank).alias("kind"), *[o.cast("int").alias(f"o{k}") for k, o in enumerate(order)]).alias("ordinal"), *columns)
 
 
-def flatten_boxes(analyses: DataFrame) -> DataFrame:
+def flatten_boxes(analyses: DataFrame, kinds: tuple[str, ...] = ("word", "line", "selection_mark", "table", "table_cell", "paragraph")) -> DataFrame:
     """Words, lines, selection marks, tables, cells and paragraphs of each page as boxes, with `odd_polygon` where the polygon
     has an odd length. Tables and cells give a box for each of their regions on the page; paragraphs one for the first, their
-    content cut to 100 characters and `...`. `ordinal` orders a document's boxes, by page, kind and place."""
+    content cut to 100 characters and `...`. `ordinal` orders a document's boxes, by page, kind and place. `kinds` says which to make."""
     p, zero = F.col("page_number"), F.lit(0)
     here = lambda regions: F.filter(regions, lambda r: r["page_number"] == p)
 
@@ -44,7 +46,8 @@ def flatten_boxes(analyses: DataFrame) -> DataFrame:
     cells = _boxes(cell_rows, "table_cell", 4, [at, F.col("c_at"), F.col("k")], {"content": c["content"], "polygon": F.col("r")["polygon"], "page_number": p, "table_index": at, "row_index": c["row_index"], "column_index": c["column_index"]})
     content = F.when(F.length(x["content"]) > 100, F.concat(F.substring(x["content"], 1, 100), F.lit("..."))).otherwise(x["content"])
     paragraphs = _boxes(each("paragraphs").where(F.size(here(x["regions"])) > 0), "paragraph", 5, [at, zero, zero], {"content": content, "polygon": F.get(here(x["regions"]), F.lit(0))["polygon"], "page_number": p, "role": F.coalesce(x["role"], F.lit("text"))})
-    out = words.unionByName(lines).unionByName(marks).unionByName(boxes).unionByName(cells).unionByName(paragraphs)
+    made = {"word": words, "line": lines, "selection_mark": marks, "table": boxes, "table_cell": cells, "paragraph": paragraphs}
+    out = reduce(DataFrame.unionByName, [made[k] for k in kinds])
     return out.withColumn("odd_polygon", F.coalesce(F.size("polygon") % 2 == 1, F.lit(False)))
 
 

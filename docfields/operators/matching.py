@@ -1,20 +1,22 @@
 """Linking field texts to their boxes on the page.
 
-Boxes: extraction_id, ordinal, type (line or word), content, page_number, polygon. Targets: extraction_id, target_id, target and,
+Boxes: extraction_id, ordinal, type (line or word), content, page_number, polygon, in one table or in a dict with a table for each
+type. Targets: extraction_id, target_id, target and,
 where matching is by page, page_number. `ordinal` may be of any type that has an order; boxes that share one are taken in the order
 of page and text.
 
 Matching is filter and verify. Repeated texts count once: of a document's boxes with the same normalised text only the first can be
 found, and a text is looked up once, however many fields have it. Equal lines are an equi-join. A text and a line meet if one holds
 the other, or if their lengths and letters allow the ratio that is asked for. Words meet through an inverted index on their
-rarest letters: if two words have so much in common, the first few of their letters, rarest first, share one. Letters are compared as
-sets of bits before the ratio itself, the one helper that Spark's functions lack, sees the pairs that are left."""
+rarest letters: if two words have so much in common, the first few of their letters, rarest first, share one. Letters are compared
+before the ratio itself, the one helper that Spark's functions lack, sees the pairs that are left."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +28,9 @@ from docfields.functions.store import stored
 from docfields.functions.text import normalise, strip
 
 LINE, WORD, UNION_SHARE, BOOST = 0.85, 0.9, 0.95, 0.9
+Boxes = DataFrame | dict[str, DataFrame]
+#: Writes a table and reads it back.
+Keep = Callable[[DataFrame, str], DataFrame]
 #: Letters from rare to frequent; digits and all other characters are two more classes behind them.
 LETTERS = "zqxjkvbpygfwmucldrhsnioate"
 #: From this length on the ratio leaves out frequent characters, so that a text may hold another and have a ratio below their share.
@@ -38,35 +43,30 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def letter_counts(c: Column) -> Column:
-    """How many characters of each class a text has."""
-    left = lambda without: F.length(c) - F.length(without)
-    known = [left(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS] + [left(F.translate(c, "0123456789", ""))]
-    return F.array(*known, F.length(F.translate(c, LETTERS + "0123456789", "")))
+def letter_bits(c: Column) -> Column:
+    """A bit for each class of characters that a text has, the rarest lowest. Two texts differ in at least as many characters as bits."""
+    known = [F.contains(c, F.lit(x)) for x in LETTERS] + [F.translate(c, "0123456789", "") != c, F.translate(c, LETTERS + "0123456789", "") != ""]
+    return reduce(Column.bitwiseOR, [F.when(has, F.lit(1 << k)).otherwise(0) for k, has in enumerate(known)])
 
 
-def letter_bits(counts: Column) -> Column:
-    """A bit for each class that a text has, and one for each that it has twice. Two texts differ in at least as many
-    characters as bits."""
-    n = len(LETTERS) + 2
-    bits = [F.when(F.get(counts, F.lit(k)) > m, F.lit(1 << (k + n * m)).cast("long")).otherwise(F.lit(0).cast("long")) for m in (0, 1) for k in range(n)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+def letter_distance(a: Column, b: Column) -> Column:
+    """The least number of characters that two texts differ in, whatever their order: of each class, how many more one of them has."""
+    digits, rest = "0123456789", LETTERS + "0123456789"
+    of = lambda c: [F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in LETTERS] + [F.length(c) - F.length(F.translate(c, digits, "")), F.length(F.translate(c, rest, ""))]
+    return reduce(Column.__add__, [F.abs(x - y) for x, y in zip(of(a), of(b), strict=True)])
 
 
-def rare_classes(counts: Column, length: Column, least: float) -> Column:
-    """The classes of a text's first letters, rarest first, that it must share one of with any text of a ratio of `least`: it has at
-    least length * least / (2 - least) characters in common with such a text."""
-    must = F.ceil(length * (least / (2 - least)) - 1e-9)
-    start = F.struct(F.lit(0).cast("int").alias("at"), F.lit(0).cast("int").alias("before"), F.array().cast("array<int>").alias("found"))
+def rare_letters(bits: Column, length: Column, least: float) -> Column:
+    """The lowest bits of a text, of which any text with a ratio of `least` has one among its own: it has at least length * least /
+    (2 - least) characters in common with such a text, so not all of as many characters as it may lack and one more, rarest first."""
+    needed = F.least(length - F.ceil(length * (least / (2 - least)) - 1e-9) + 1, F.lit(len(LETTERS) + 2))
+    start = F.struct(bits.alias("left"), F.array().cast("array<int>").alias("found"))
 
-    def step(acc: Column, n: Column) -> Column:
-        hit = (n > 0) & (acc["before"] < length - must + 1)
-        return F.struct((acc["at"] + 1).alias("at"), (acc["before"] + n).alias("before"), F.when(hit, F.array_append(acc["found"], acc["at"])).otherwise(acc["found"]).alias("found"))
+    def step(acc: Column, _: Column) -> Column:
+        one = acc["left"].bitwiseAND(-acc["left"])
+        return F.struct(acc["left"].bitwiseXOR(one).alias("left"), F.when(one != 0, F.array_append(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
-    return F.aggregate(counts, start, step, lambda acc: acc["found"])
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), needed.cast("long")), start, step, lambda acc: acc["found"])
 
 
 def length_band(length: Column) -> Column:
@@ -74,10 +74,14 @@ def length_band(length: Column) -> Column:
     return F.floor(F.log(length.cast("double")) / math.log((2 - LINE) / LINE)).cast("int")
 
 
-def may_reach(la: Column, lb: Column, bits_a: Column, bits_b: Column, least: Column | float) -> Column:
-    """Whether lengths and letters allow a ratio of at least `least`."""
-    both = la + lb
-    return (2 * F.least(la, lb) >= least * both) & (F.bit_count(bits_a.bitwiseXOR(bits_b)) <= (F.lit(1.0) - least) * both + 1e-9)
+def may_reach(la: Column, lb: Column, least: Column | float) -> Column:
+    """Whether the lengths allow a ratio of at least `least`."""
+    return 2 * F.least(la, lb) >= least * (la + lb)
+
+
+def may_differ(la: Column, lb: Column, least: Column | float) -> Column:
+    """How many characters two texts of a ratio of at least `least` may differ in."""
+    return (F.lit(1.0) - least) * (la + lb) + 1e-9
 
 
 def union_polygon(polygons: Column) -> Column:
@@ -95,11 +99,16 @@ def _keys(by_page: bool) -> list[str]:
     return ["extraction_id", "page_number"] if by_page else ["extraction_id"]
 
 
-def first_boxes(boxes: DataFrame, kind: str, by_page: bool = False, norm: Callable[[Column], Column] = normalise, blank: bool = False) -> DataFrame:
-    """The distinct texts `b` of a document's (or page's) lines or words, each with its first box as (ordinal, page, content, polygon)."""
+def _normal(boxes: Boxes, kind: str, by_page: bool, norm: Callable[[Column], Column] = normalise, blank: bool = False) -> DataFrame:
+    """The normalised text `b` of each line or word, with its box as (ordinal, page, content, polygon)."""
     box = F.struct("ordinal", F.col("page_number").alias("page"), "content", "polygon")
-    b = boxes.where(F.col("type") == kind).select(*_keys(by_page), norm(F.col("content")).alias("b"), box.alias("box"))
-    return b.where(F.lit(blank) | (F.col("b") != "")).groupBy(*_keys(by_page), "b").agg(F.min("box").alias("box"))
+    b = (boxes[kind] if isinstance(boxes, dict) else boxes.where(F.col("type") == kind)).select(*_keys(by_page), norm(F.col("content")).alias("b"), box.alias("box"))
+    return b.where(F.lit(blank) | (F.col("b") != ""))
+
+
+def first_boxes(boxes: Boxes, kind: str, by_page: bool = False, norm: Callable[[Column], Column] = normalise, blank: bool = False) -> DataFrame:
+    """The distinct texts `b` of a document's (or page's) lines or words, each with its first box."""
+    return _normal(boxes, kind, by_page, norm, blank).groupBy(*_keys(by_page), "b").agg(F.min("box").alias("box"))
 
 
 def _found(confidence: Column) -> list[Column]:
@@ -114,20 +123,25 @@ def _of_targets(targets: DataFrame, found: DataFrame, by_page: bool) -> DataFram
     return targets.select("extraction_id", "target_id", "t", *_keys(by_page)[1:]).join(found, [*_keys(by_page), "t"]).select("extraction_id", "target_id", *_MATCH)
 
 
-def _equal_lines(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFrame:
+def _equal_lines(texts: DataFrame, boxes: Boxes, by_page: bool, keep: Keep | None = None) -> DataFrame:
     return texts.join(first_boxes(boxes, "line", by_page).withColumnRenamed("b", "t"), [*_keys(by_page), "t"]).select(*_keys(by_page), "t", *_found(F.lit(1.0)))
 
 
-def match_equal_lines(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def match_equal_lines(targets: DataFrame, boxes: Boxes, by_page: bool = False) -> DataFrame:
     return _of_targets(targets, _equal_lines(_texts(targets, by_page), boxes, by_page), by_page)
 
 
-def _bits(df: DataFrame, name: str) -> DataFrame:
-    """Adds the length and the letters' bits of a text as n_<name> and bits_<name>."""
-    return df.withColumn("counts", letter_counts(F.col(name))).withColumns({f"n_{name}": F.length(name), f"bits_{name}": letter_bits(F.col("counts"))}).drop("counts")
+def _rated(pairs: DataFrame, a: str, b: str, known: Column, ratio: Column, keep: Keep | None) -> DataFrame:
+    """pairs with the ratio `r` of each: `ratio` where it is known. Other pairs, if several documents have them, are rated once, unless
+    rows must stay in their document: `keep` then writes them, since a plan forgets behind a helper how its rows are dealt."""
+    if keep:
+        return keep(pairs.withColumn("r", F.when(known, ratio).otherwise(fuzzy_ratio(F.when(~known, F.col(a)), F.col(b)))), "rated")
+    rest = pairs.where(~known)
+    asked = rest.select(a, b).distinct().withColumn("r", fuzzy_ratio(a, b))
+    return pairs.where(known).withColumn("r", ratio).unionByName(rest.join(asked, [a, b]))
 
 
-def _similar_lines(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFrame:
+def _similar_lines(texts: DataFrame, boxes: Boxes, by_page: bool, keep: Keep | None = None) -> DataFrame:
     """The line that a scan in order ends with: one that holds the target, or is held by it, is taken if its ratio beats the best
     so far, which then becomes at least 0.9; another if its ratio is at least 0.85 and beats the best. So of lines with a ratio
     below 0.85 only the first can count, and only if one text holds the other: the best is then still nothing."""
@@ -136,15 +150,14 @@ def _similar_lines(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFra
     lines = first_boxes(boxes, "line", by_page)
     n, m, both = F.length("t"), F.length("b"), F.length("t") + F.length("b")
     held = F.col("b").contains(F.col("t")) | F.col("t").contains(F.col("b"))
-    asked = F.struct("box.ordinal", "box.page").alias("place")
-    some = _bits(texts, "t").join(_bits(lines.select(*_keys(by_page), "b", asked), "b"), _keys(by_page)).withColumn("held", held)
-    some = some.where(F.col("held") | may_reach(F.col("n_t"), F.col("n_b"), F.col("bits_t"), F.col("bits_b"), LINE)).select(*on, "b", "place", "held")
+    place = F.struct("box.ordinal", "box.page").alias("place")
+    some = texts.join(lines.select(*_keys(by_page), "b", place), _keys(by_page)).where(held | (may_reach(n, m, LINE) & (letter_distance(F.col("t"), F.col("b")) <= may_differ(n, m, LINE))))
+    some = some.select(*on, "b", "place", held.alias("held"))
     # A text that holds another has it as its longest match, so the ratio is known unless frequent characters are left out.
     known = F.col("held") & (m < JUNK_FROM)
-    asked = some.where(~known).select("t", "b").distinct().withColumn("r", fuzzy_ratio("t", "b")).where("r > 0")
-    rated = some.where(known).withColumn("r", 2.0 * F.least(n, m) / both).unionByName(some.where(~known).join(asked, ["t", "b"]).select(*some.columns, "r"))
+    rated = _rated(some, "t", "b", known, 2.0 * F.least(n, m) / both, keep)
     one = F.struct("place", "b", "held", "r")
-    lists = rated.where(F.col("held") | (F.col("r") >= LINE)).groupBy(*on).agg(F.collect_list(F.when(F.col("r") >= LINE, one)).alias("near"), F.min(F.when(F.col("r") < LINE, one)).alias("far"))
+    lists = rated.where((F.col("held") & (F.col("r") > 0)) | (F.col("r") >= LINE)).groupBy(*on).agg(F.collect_list(F.when(F.col("r") >= LINE, one)).alias("near"), F.min(F.when(F.col("r") < LINE, one)).alias("far"))
     scan = F.array_sort(F.array_compact(F.concat("near", F.array("far"))))
     start = F.struct(F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("best"))
 
@@ -156,77 +169,83 @@ def _similar_lines(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFra
     return ends.join(lines, [*_keys(by_page), "b"]).select(*on, *_found(F.col("best")))
 
 
-def match_similar_lines(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def match_similar_lines(targets: DataFrame, boxes: Boxes, by_page: bool = False) -> DataFrame:
     return _of_targets(targets, _similar_lines(_texts(targets, by_page), boxes, by_page), by_page)
 
 
-def _indexed(df: DataFrame, name: str, least: float, spread: tuple[int, ...]) -> DataFrame:
-    """A row for each rare class of a text and each band of lengths that `spread` takes beside its own, as (class, band)."""
-    rows = df.withColumn("counts", letter_counts(F.col(name))).withColumns({f"n_{name}": F.length(name), f"bits_{name}": letter_bits(F.col("counts"))})
-    rows = rows.withColumn("class", F.explode(rare_classes(F.col("counts"), F.col(f"n_{name}"), least))).drop("counts")
-    return rows.withColumn("band", F.explode(F.array(*[length_band(F.col(f"n_{name}")) + k for k in spread])))
+def _indexed(df: DataFrame, name: str, spread: tuple[int, ...]) -> DataFrame:
+    """A row for each rare letter of a text and each band of lengths that `spread` takes beside its own, as (letter, band)."""
+    c = F.col(name)
+    rows = df.withColumns({f"bits_{name}": letter_bits(c), f"n_{name}": F.length(c)})
+    rows = rows.withColumn("letter", F.explode(rare_letters(F.col(f"bits_{name}"), F.col(f"n_{name}"), LINE)))
+    band = length_band(F.col(f"n_{name}"))
+    return rows.withColumn("band", F.explode(F.array(*[band + k for k in spread])) if len(spread) > 1 else band)
 
 
-def similar_words(asked: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, w, least, box, r): for each word asked for (keys, w, least) the first of `words` (keys, b, box) that equals it or has a
-    ratio of `least`, which must be LINE or more."""
+def similar_words(asked: DataFrame, boxes: Boxes, by_page: bool = False, keep: Keep | None = None) -> DataFrame:
+    """(keys, w, least, box, r): for each word asked for (keys, w, least) the first word box that equals it or has a ratio of `least`, which
+    must be LINE or more. Only words that are near enough are looked up among the boxes again, for their first places."""
     ship()
-    left = _indexed(asked, "w", LINE, (-1, 0, 1))
-    right = _indexed(words.select(*keys, "b", F.struct("box.ordinal", "box.page").alias("place")), "b", LINE, (0,))
-    pairs = left.join(right, [*keys, "class", "band"]).where(may_reach(F.col("n_w"), F.col("n_b"), F.col("bits_w"), F.col("bits_b"), F.col("least"))).select(*keys, "w", "least", "b", "place")
-    ratios = pairs.where("b <> w").groupBy("b", "w").agg(F.min("least").alias("_least")).withColumn("r", fuzzy_ratio("b", "w")).where("r >= _least").drop("_least")
-    rated = pairs.where("b = w").withColumn("r", F.lit(1.0)).unionByName(pairs.where("b <> w").join(ratios, ["b", "w"]).where("r >= least").select(*pairs.columns, "r"))
-    first = rated.groupBy(*keys, "w", "least").agg(F.min(F.struct("place", "b", "r")).alias("m")).select(*keys, "w", "least", "m.b", "m.r")
-    return first.join(words, [*keys, "b"]).select(*keys, "w", "least", "box", "r")
+    keys = _keys(by_page)
+    words = _normal(boxes, "word", by_page)
+    pairs = _indexed(asked, "w", (-1, 0, 1)).join(_indexed(words.select(*keys, "b"), "b", (0,)), [*keys, "letter", "band"])
+    n, m, least = F.col("n_w"), F.col("n_b"), F.col("least")
+    pairs = pairs.where(may_reach(n, m, least) & (F.bit_count(F.col("bits_w").bitwiseXOR(F.col("bits_b"))) <= may_differ(n, m, least))).select(*keys, "w", "least", "b").distinct()
+    near = (keep or stored)(_rated(pairs, "b", "w", F.col("b") == F.col("w"), F.lit(1.0), keep).where("r >= least"), "near")
+    places = words.join(near.select(*keys, "b").distinct(), [*keys, "b"]).groupBy(*keys, "b").agg(F.min("box").alias("box"))
+    first = F.min(F.struct("box.ordinal", "box.page", "b", "r", "box")).alias("m")
+    return near.join(places, [*keys, "b"]).groupBy(*keys, "w", "least").agg(first).select(*keys, "w", "least", "m.box", "m.r")
 
 
-def _by_words(texts: DataFrame, boxes: DataFrame, by_page: bool) -> DataFrame:
+def _by_words(texts: DataFrame, boxes: Boxes, by_page: bool, keep: Keep | None = None) -> DataFrame:
     """A single word: the first that equals it or is similar enough. Several: for each of two or more letters the first similar box;
     a match if these are at least half of all the target's words."""
     keys = _keys(by_page)
     parts = texts.withColumn("ws", F.split("t", " ")).withColumn("n", F.size("ws")).select(*keys, "t", "n", F.posexplode("ws").alias("k", "w"))
     parts = parts.where("n = 1 OR length(w) >= 2").withColumn("least", F.when(F.col("n") == 1, LINE).otherwise(WORD))
-    found = similar_words(parts.select(*keys, "w", "least").distinct(), first_boxes(boxes, "word", by_page), keys)
+    found = similar_words(parts.select(*keys, "w", "least").distinct(), boxes, by_page, keep)
     ms = parts.join(found, [*keys, "w", "least"]).groupBy(*keys, "t", "n").agg(F.sort_array(F.collect_list(F.struct("k", "box", "r"))).alias("ms"))
-    share, first = F.size("ms") / F.col("n"), F.col("ms")[0]
-    several = ms.where((F.col("n") > 1) & (share >= 0.5)).select(*keys, "t", union_polygon(F.transform("ms", lambda x: x["box"]["polygon"])).alias("polygon"), F.array_join(F.transform("ms", lambda x: x["box"]["content"]), " ").alias("matched_text"), F.least(share, F.lit(UNION_SHARE)).alias("confidence"), first["box"]["page"].alias("page"))
-    return ms.where("n = 1").select(*keys, "t", first["box"].alias("box"), first["r"].alias("r")).select(*keys, "t", *_found(F.col("r"))).unionByName(several)
+    share, one, first = F.size("ms") / F.col("n"), F.col("n") == 1, F.col("ms")[0]
+    several = union_polygon(F.transform("ms", lambda x: x["box"]["polygon"]))
+    return ms.where(share >= 0.5).select(*keys, "t", F.when(one, first["box"]["polygon"]).otherwise(several).alias("polygon"), F.array_join(F.transform("ms", lambda x: x["box"]["content"]), " ").alias("matched_text"), F.when(one, first["r"]).otherwise(F.least(share, F.lit(UNION_SHARE))).alias("confidence"), first["box"]["page"].alias("page"))
 
 
 def _rest(texts: DataFrame, found: DataFrame, by_page: bool) -> DataFrame:
     return texts.join(found, [*_keys(by_page), "t"], "left_anti")
 
 
-def match_single_words(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def match_single_words(targets: DataFrame, boxes: Boxes, by_page: bool = False) -> DataFrame:
     return _of_targets(targets, _by_words(_texts(targets, by_page).where("NOT contains(t, ' ')"), boxes, by_page), by_page)
 
 
-def match_word_unions(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def match_word_unions(targets: DataFrame, boxes: Boxes, by_page: bool = False) -> DataFrame:
     return _of_targets(targets, _by_words(_texts(targets, by_page).where("contains(t, ' ')"), boxes, by_page), by_page)
 
 
-def match_texts(texts: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def match_texts(texts: DataFrame, boxes: Boxes, by_page: bool = False, keep: Keep | None = None) -> DataFrame:
     """The match of each normalised text `t` of a document (or page), in stages: equal line, similar line, then the word or the union of
-    words. What a stage leaves is written once and goes on."""
+    words. What a stage leaves is written once and goes on. `keep` writes it in place of a plain table; then inputs are dealt by document,
+    and no row leaves its document."""
     found, rest = [], texts
     for stage in (_equal_lines, _similar_lines, _by_words):
-        found.append(stored(stage(rest, boxes, by_page), "found"))
+        found.append((keep or stored)(stage(rest, boxes, by_page, keep), "found"))
         if stage is not _by_words:
-            rest = stored(_rest(rest, found[-1], by_page), "rest")
-    return found[0].unionByName(found[1]).unionByName(found[2])
+            rest = (keep or stored)(_rest(rest, found[-1], by_page), "rest")
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return keep(every, "matches") if keep else every
 
 
-def match_text(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def match_text(targets: DataFrame, boxes: Boxes, by_page: bool = False) -> DataFrame:
     """The match of each target. Blank targets and targets without a match have no row; targets that share an id have a row each."""
     t = targets.withColumn("t", normalise(F.col("target"))).where("t <> ''")
     return _of_targets(t, match_texts(_texts(t, by_page), boxes, by_page), by_page)
 
 
-def match_fields(fields: DataFrame, boxes: DataFrame) -> DataFrame:
+def match_fields(fields: DataFrame, boxes: Boxes, keep: Keep | None = None) -> DataFrame:
     """fields (extraction_id, field_key, field_value, ...) with key_bbox and value_bbox: keys and values are texts of one run. Fields
     are told apart by nothing but their texts, so ids may repeat or be null."""
     both = fields.select("extraction_id", F.explode(F.array("field_key", "field_value")).alias("t")).select("extraction_id", normalise(F.col("t")).alias("t"))
-    found = match_texts(_texts(both, False), boxes).select("extraction_id", "t", F.struct(*_MATCH).alias("m"))
+    found = match_texts(_texts(both, False), boxes, keep=keep).select("extraction_id", "t", F.struct(*_MATCH).alias("m"))
     out = fields.drop("key_bbox", "value_bbox")
     for part in ("key", "value"):
         named = found.select("extraction_id", F.col("t").alias(f"_{part}"), F.col("m").alias(f"{part}_bbox"))
@@ -238,7 +257,7 @@ def _plain(c: Column) -> Column:
     return F.lower(strip(F.coalesce(c, F.lit(""))))
 
 
-def match_contains(targets: DataFrame, boxes: DataFrame, by_page: bool = False) -> DataFrame:
+def match_contains(targets: DataFrame, boxes: Boxes, by_page: bool = False) -> DataFrame:
     """The viewer's plain match: the first line that holds the target or is held by it (as a blank line is by any), else the first
     equal word."""
     keys = _keys(by_page)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import text, validators
-from docfields.operators import edits, exports, layout, lookup, matching, responses, stats, versions
+from docfields.operators import edits, exports, extraction, layout, lookup, matching, responses, stats, versions
 from docfields.sources import files, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,6 +337,41 @@ def _fields_with_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["match_fields"] = _fields_with_boxes
 
 
+def _responses_to_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A response for each document: its first four lines as keys, between blanks, and the line after each as value, with types in turn
+    and a confidence that lacks at times. Each seventh document's response has no object."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("document_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    k = F.posexplode(F.slice("lines", 1, 4)).alias("k", "line")
+    n = F.col("document_id") + F.col("k")
+    kind = F.element_at(F.array(*[F.lit(t) for t in fixtures.TYPES]), (n % 12 + 1).cast("int"))
+    field = F.struct(F.concat(F.lit("  "), "line", F.lit(" ")).alias("field_key"), F.coalesce(F.get("lines", F.col("k") + 1), F.lit("")).alias("field_value"), kind.alias("field_type"), F.when(n % 5 > 0, (5 + n % 5) / 10).alias("confidence"))
+    listed = docs.select("document_id", "lines", k).groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", field.alias("f")))), lambda x: x["f"]).alias("fields"))
+    return listed.select("document_id", F.when(F.col("document_id") % 7 == 3, "[1]").otherwise(F.to_json(F.struct("fields"))).alias("response"))
+
+
+def _located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layouts and responses of all documents to validated fields with their boxes, and what their extraction adds up to."""
+    run = extraction.extract(_analyses(spark, sf_dir), _responses_to_documents(spark, sf_dir), fixtures.load(spark, sf_dir, "extractions").select("document_id", "version"))
+    totals = run["extractions"].select("document_id", "total_fields", "invalid_fields", "located_fields", F.round("confidence_avg", 6).alias("confidence_avg"))
+    boxes = [F.col(f"{p}_bbox.{c}").alias(f"{p}_{c}") for p in ("key", "value") for c in ("matched_text", "confidence", "page")]
+    return run["fields"].select("document_id", "version", "sort_order", "is_valid", "message", "severity", "corrected_value", "needs_review", *boxes).join(totals, "document_id")
+
+
+QUERIES["located_fields"] = _located
+ORACLES["located_fields"] = _LINES + rf""", t_fields AS (SELECT d.doc_id * 10 + d.line AS id, d.doc_id AS extraction_id, d.line AS sort_order, '  ' || d.content || ' ' AS field_key, coalesce(v.content, '') AS field_value,
+    [{", ".join(repr(t) for t in fixtures.TYPES)}][1 + (d.doc_id + d.line) % 12] AS field_type, CASE WHEN (d.doc_id + d.line) % 5 > 0 THEN CAST(5 + (d.doc_id + d.line) % 5 AS DOUBLE) / 10 ELSE 0.85 END AS confidence
+    FROM docs d LEFT JOIN docs v ON v.doc_id = d.doc_id AND v.line = d.line + 1 WHERE d.line < 4 AND d.doc_id % 7 <> 3), {_V},
+  n AS (SELECT doc_id, min(line) AS line, min_by(content, line) AS content, regexp_replace(regexp_replace(regexp_replace(lower(content), '^\s+', ''), '\s+$', ''), '\s+', ' ', 'g') AS t FROM docs GROUP BY doc_id, t HAVING t <> ''),
+  last AS (SELECT document_id, max(version) AS version FROM {fixtures.duck("extractions")} GROUP BY document_id),
+  b AS (SELECT f.id, f.extraction_id, f.confidence, f.sort_order, k.content AS key_matched_text, CASE WHEN k.t IS NOT NULL THEN CAST(1 AS DOUBLE) END AS key_confidence, CAST(1 + k.line // 40 AS INTEGER) AS key_page,
+    v.content AS value_matched_text, CASE WHEN v.t IS NOT NULL THEN CAST(1 AS DOUBLE) END AS value_confidence, CAST(1 + v.line // 40 AS INTEGER) AS value_page FROM t_fields f
+    LEFT JOIN n k ON k.doc_id = f.extraction_id AND k.t = regexp_replace(regexp_replace(regexp_replace(lower(f.field_key), '^\s+', ''), '\s+$', ''), '\s+', ' ', 'g')
+    LEFT JOIN n v ON v.doc_id = f.extraction_id AND v.t = regexp_replace(regexp_replace(regexp_replace(lower(f.field_value), '^\s+', ''), '\s+$', ''), '\s+', ' ', 'g'))
+  SELECT b.extraction_id AS document_id, CAST(coalesce(last.version, 0) + 1 AS INTEGER) AS version, CAST(b.sort_order AS INTEGER) AS sort_order, x.is_valid, x.message, x.severity, x.corrected_value, x.needs_review,
+    b.key_matched_text, b.key_confidence, b.key_page, b.value_matched_text, b.value_confidence, b.value_page, count(*) OVER w AS total_fields, count(*) FILTER (WHERE NOT x.is_valid) OVER w AS invalid_fields, count(b.value_page) OVER w AS located_fields, round(avg(b.confidence) OVER w, 6) AS confidence_avg
+  FROM b JOIN t_found x ON x.id = b.id LEFT JOIN last ON last.document_id = b.extraction_id WINDOW w AS (PARTITION BY b.extraction_id)"""
+
+
 def _reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _boxes(spark, sf_dir).where("type = 'word'")
     corners = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: F.array(F.get("polygon", 2 * k), F.get("polygon", 2 * k + 1)))
