@@ -47,7 +47,9 @@ SEEDS = {
 #: What a rewritten symbol's weight is multiplied by.
 FACTOR = {INSULT: 1.0, THREAT: 0.4, DIRECTED: 1.5, NEGATED: 0.5, REPORTED: 0.6}
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
-CLAUSE_END = re.compile(r"[.!?;\n]+(?:\s|$)|\n")
+#: A run of marks before white space, looked at from its first mark alone, or a line break. Learning and scoring both cut here.
+CLAUSE = r"(?<![.!?;\n])[.!?;\n]+(?:\s|$)|\n"
+CLAUSE_END = re.compile(CLAUSE)
 
 
 class Transducer:
@@ -207,7 +209,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if not n1 or not n0:
             return Model(Lexicon.of({}), -3.0, (3.0, 1.0, 1.0))
         # A clause counts once, however many copies of a passage hold it, and as toxic only if all texts that hold it are.
-        clauses = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[.!?;\n]+"))).alias("clause"))
+        clauses = rows.select("toxic", F.explode(F.array_distinct(F.split(F.lower("text"), f"(?U){CLAUSE}"))).alias("clause"))
         clauses = clauses.groupBy("clause").agg(F.min("toxic").alias("toxic")).persist()
         sizes = {int(r.toxic): r.n for r in clauses.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
