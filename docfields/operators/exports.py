@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,14 @@ def export_frame(documents: DataFrame, extractions: DataFrame, fields: DataFrame
     return f.join(e, "extraction_id").join(d, "document_id")
 
 
-def to_flat(frame: DataFrame, with_confidence: bool = True, with_document: bool = False) -> DataFrame:
-    """CSV rows: Field Name, Value, Type and, if wanted, Confidence, Is Edited; `with_document` puts the file name first."""
+def to_flat(frame: DataFrame, with_confidence: bool = True, with_document: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV rows: Field Name, Value, Type and, if wanted, Confidence, Is Edited; `with_document` puts the file name first. `columns`, if
+    given, says which of all these to show, in which order."""
     edited = F.when(F.coalesce("is_edited", F.lit(False)), "Yes").otherwise("No")
     out = [F.col("field_key").alias("Field Name"), F.coalesce("field_value", F.lit("")).alias("Value"), F.col("field_type").alias("Type")]
     out += [_pct(F.col("confidence")).alias("Confidence"), edited.alias("Is Edited")] if with_confidence else []
-    return frame.select("extraction_id", "sort_order", *[F.col("original_filename").alias("Document")] * with_document, *out)
+    shown = frame.select("extraction_id", "sort_order", *[F.col("original_filename").alias("Document")] * (with_document or columns is not None), *out)
+    return shown if columns is None else shown.select("extraction_id", "sort_order", *columns)
 
 
 def report_rows(frame: DataFrame) -> DataFrame:

@@ -97,21 +97,24 @@ def reading_order(blocks: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Text blocks (document_id, page_number, ordinal, text, confidence, box of 4 corners) -> lines (line_no, text, confidence, y).
 
     Blocks are taken from the top; one starts a new line if its centre is further from the running mean of the current line's
-    centres than `tolerance` times the page's mean height. A page is one fold over its blocks; only pages bound its size."""
+    centres than `tolerance` times the page's mean height. A page is one fold over its blocks that keeps where lines start; lines are then
+    cut out of the page's blocks."""
     y = (F.col("box")[0][1] + F.col("box")[2][1]) / 2
     x = F.array_min(F.transform("box", lambda p: p[0]))
     height = F.abs(F.col("box")[2][1] - F.col("box")[0][1])
     b = blocks.select("document_id", "page_number", y.alias("y"), "ordinal", x.alias("x"), height.alias("h"), "text", "confidence")
     pages = b.groupBy("document_id", "page_number").agg(F.sort_array(F.collect_list(F.struct("y", "ordinal", "x", "text", "confidence"))).alias("b"), (F.avg("h") * tolerance).alias("tol"))
-    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0).alias("line"), F.array().cast("array<int>").alias("ids"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.array().cast("array<int>").alias("starts"))
 
     def step(acc: Column, e: Column) -> Column:
-        new = (acc["n"] > 0) & (F.abs(e["y"] - acc["total"] / acc["n"]) > F.col("tol"))
-        line = F.when(new, acc["line"] + 1).otherwise(acc["line"])
-        return F.struct(F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, e["y"]).otherwise(acc["total"] + e["y"]).alias("total"), line.alias("line"), F.concat(acc["ids"], F.array(line)).alias("ids"))
-
-    ids = F.aggregate("b", start, step, lambda acc: acc["ids"])
-    rows = pages.withColumn("ids", ids).select("document_id", "page_number", F.explode(F.arrays_zip("b", "ids")).alias("z")).select("document_id", "page_number", F.col("z.ids").alias("line"), "z.b.*")
+        new = (acc["n"] == 0) | (F.abs(e["y"] - acc["total"] / acc["n"]) > F.col("tol"))
+        return F.struct((acc["at"] + 1).alias("at"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), F.when(new, e["y"]).otherwise(acc["total"] + e["y"]).alias("total"), F.when(new, F.array_append(acc["starts"], acc["at"])).otherwise(acc["starts"]).alias("starts"))
+
+    pages = pages.withColumn("starts", F.aggregate("b", start, step, lambda acc: acc["starts"]))
+    ends = F.array_append(F.slice("starts", F.lit(2), F.size("starts")), F.size("b"))
+    cut = F.transform(F.arrays_zip("starts", ends.alias("ends")), lambda z: F.slice("b", z["starts"] + 1, z["ends"] - z["starts"]))
+    lines = pages.select("document_id", "page_number", F.posexplode(cut).alias("line", "xs")).select("document_id", "page_number", "line", F.explode("xs").alias("x"))
+    rows = lines.select("document_id", "page_number", "line", "x.*")
     return merge_lines(rows)
 
 

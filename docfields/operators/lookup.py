@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -90,3 +90,14 @@ def money(c: Column, symbol: str = "$") -> Column:
 def shown_date(c: Column) -> Column:
     """Texts that are dates as `dd MMM yyyy`; others as they are."""
     return F.coalesce(F.date_format(F.try_to_date(c, "yyyy-MM-dd"), "dd MMM yyyy"), c)
+
+
+def in_display_order(fields: DataFrame) -> DataFrame:
+    """Each extraction's fields as they are shown; ties by id."""
+    return fields.orderBy("extraction_id", "sort_order", "id")
+
+
+def document_log(logs: DataFrame, document_id: int | None = None) -> DataFrame:
+    """Log rows with their place in their document, oldest first; of one document if its id is given."""
+    rows = logs if document_id is None else logs.where(F.col("document_id") == document_id)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id")))

@@ -14,6 +14,7 @@ before the ratio itself, the one helper that Spark's functions lack, sees the pa
 from __future__ import annotations
 
 import math
+import string
 from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import reduce
@@ -31,7 +32,7 @@ LINE, WORD, UNION_SHARE, BOOST = 0.85, 0.9, 0.95, 0.9
 Boxes = DataFrame | dict[str, DataFrame]
 #: Writes a table and reads it back.
 Keep = Callable[[DataFrame, str], DataFrame]
-#: Letters from rare to frequent; digits and all other characters are two more classes behind them.
+#: Letters from rare to frequent.
 LETTERS = "zqxjkvbpygfwmucldrhsnioate"
 #: From this length on the ratio leaves out frequent characters, so that a text may hold another and have a ratio below their share.
 JUNK_FROM = 200
@@ -43,12 +44,6 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
 
 
-def letter_bits(c: Column) -> Column:
-    """A bit for each class of characters that a text has, the rarest lowest. Two texts differ in at least as many characters as bits."""
-    known = [F.contains(c, F.lit(x)) for x in LETTERS] + [F.translate(c, "0123456789", "") != c, F.translate(c, LETTERS + "0123456789", "") != ""]
-    return reduce(Column.bitwiseOR, [F.when(has, F.lit(1 << k)).otherwise(0) for k, has in enumerate(known)])
-
-
 def letter_distance(a: Column, b: Column) -> Column:
     """The least number of characters that two texts differ in, whatever their order: of each class, how many more one of them has."""
     digits, rest = "0123456789", LETTERS + "0123456789"
@@ -56,17 +51,13 @@ def letter_distance(a: Column, b: Column) -> Column:
     return reduce(Column.__add__, [F.abs(x - y) for x, y in zip(of(a), of(b), strict=True)])
 
 
-def rare_letters(bits: Column, length: Column, least: float) -> Column:
-    """The lowest bits of a text, of which any text with a ratio of `least` has one among its own: it has at least length * least /
-    (2 - least) characters in common with such a text, so not all of as many characters as it may lack and one more, rarest first."""
-    needed = F.least(length - F.ceil(length * (least / (2 - least)) - 1e-9) + 1, F.lit(len(LETTERS) + 2))
-    start = F.struct(bits.alias("left"), F.array().cast("array<int>").alias("found"))
-
-    def step(acc: Column, _: Column) -> Column:
-        one = acc["left"].bitwiseAND(-acc["left"])
-        return F.struct(acc["left"].bitwiseXOR(one).alias("left"), F.when(one != 0, F.array_append(acc["found"], one)).otherwise(acc["found"]).alias("found"))
-
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), needed.cast("long")), start, step, lambda acc: acc["found"])
+def rare_letters(c: Column, least: float) -> Column:
+    """The first of a text's distinct characters in one order for all texts, of which any text with a ratio of `least` has one among its
+    own: it has at least length * least / (2 - least) characters in common with such a text, so not all of as many as it may lack
+    and one more. Letters come by rarity, as capitals, which a normalised text doesn't have."""
+    needed = F.length(c) - F.ceil(F.length(c) * (least / (2 - least)) - 1e-9) + 1
+    ranked = F.array_sort(F.array_distinct(F.split(F.translate(c, LETTERS, string.ascii_uppercase), "")))
+    return F.slice(F.array_remove(ranked, ""), F.lit(1), F.greatest(needed, F.lit(1)).cast("int"))
 
 
 def length_band(length: Column) -> Column:
@@ -136,6 +127,7 @@ def _rated(pairs: DataFrame, a: str, b: str, known: Column, ratio: Column, keep:
     rows must stay in their document: `keep` then writes them, since a plan forgets behind a helper how its rows are dealt."""
     if keep:
         return keep(pairs.withColumn("r", F.when(known, ratio).otherwise(fuzzy_ratio(F.when(~known, F.col(a)), F.col(b)))), "rated")
+    pairs = stored(pairs, "pairs")  # read three times
     rest = pairs.where(~known)
     asked = rest.select(a, b).distinct().withColumn("r", fuzzy_ratio(a, b))
     return pairs.where(known).withColumn("r", ratio).unionByName(rest.join(asked, [a, b]))
@@ -176,9 +168,8 @@ def match_similar_lines(targets: DataFrame, boxes: Boxes, by_page: bool = False)
 def _indexed(df: DataFrame, name: str, spread: tuple[int, ...]) -> DataFrame:
     """A row for each rare letter of a text and each band of lengths that `spread` takes beside its own, as (letter, band)."""
     c = F.col(name)
-    rows = df.withColumns({f"bits_{name}": letter_bits(c), f"n_{name}": F.length(c)})
-    rows = rows.withColumn("letter", F.explode(rare_letters(F.col(f"bits_{name}"), F.col(f"n_{name}"), LINE)))
-    band = length_band(F.col(f"n_{name}"))
+    rows = df.withColumn("letter", F.explode(rare_letters(c, LINE)))
+    band = length_band(F.length(c))
     return rows.withColumn("band", F.explode(F.array(*[band + k for k in spread])) if len(spread) > 1 else band)
 
 
@@ -187,10 +178,11 @@ def similar_words(asked: DataFrame, boxes: Boxes, by_page: bool = False, keep: K
     must be LINE or more. Only words that are near enough are looked up among the boxes again, for their first places."""
     ship()
     keys = _keys(by_page)
-    words = _normal(boxes, "word", by_page)
-    pairs = _indexed(asked, "w", (-1, 0, 1)).join(_indexed(words.select(*keys, "b"), "b", (0,)), [*keys, "letter", "band"])
-    n, m, least = F.col("n_w"), F.col("n_b"), F.col("least")
-    pairs = pairs.where(may_reach(n, m, least) & (F.bit_count(F.col("bits_w").bitwiseXOR(F.col("bits_b"))) <= may_differ(n, m, least))).select(*keys, "w", "least", "b").distinct()
+    words = _normal(boxes, "word", by_page, blank=True)
+    pairs = _indexed(asked, "w", (-1, 0, 1)).join(_indexed(words.select(*keys, "b").distinct(), "b", (0,)), [*keys, "letter", "band"])
+    n, m, least = F.length("w"), F.length("b"), F.col("least")
+    # What one text has beyond the other in order is at least as many characters as must be changed to get from one to the other.
+    pairs = pairs.where(may_reach(n, m, least) & (F.levenshtein("w", "b") <= may_differ(n, m, least))).select(*keys, "w", "least", "b").distinct()
     near = (keep or stored)(_rated(pairs, "b", "w", F.col("b") == F.col("w"), F.lit(1.0), keep).where("r >= least"), "near")
     places = words.join(near.select(*keys, "b").distinct(), [*keys, "b"]).groupBy(*keys, "b").agg(F.min("box").alias("box"))
     first = F.min(F.struct("box.ordinal", "box.page", "b", "r", "box")).alias("m")

@@ -39,14 +39,16 @@ AGAIN = "Please correct your response and ensure you return VALID JSON with this
 
 def build_prompts(docs: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """docs: document_id, text, custom_prompt, template_name -> prompt. Parts that are null or empty are left out. Templates are
-    joined by name; Spark broadcasts them if they are small."""
+    joined by name; Spark broadcasts them if they are small. An expected field is shown by its `key` or, where that is null or lacks,
+    by its `name`."""
     part = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c, F.lit("\n")))
     rows = docs
     keys, instructions = F.lit(None).cast("string"), F.lit(None).cast("string")
     if templates is not None:
         t = templates.select(F.col("name").alias("template_name"), "expected_fields", "extraction_prompt")
         rows = docs.join(t, "template_name", "left")
-        keys = F.array_join(F.transform("expected_fields", lambda f: F.coalesce(f["key"], F.lit(""))), ", ")
+        parts = [n for n in ("key", "name") if n in templates.schema["expected_fields"].dataType.elementType.names]
+        keys = F.array_join(F.transform("expected_fields", lambda f: F.coalesce(*[f[n] for n in parts], F.lit(""))), ", ")
         instructions = F.col("extraction_prompt")
     prompt = F.concat_ws(
         "\n",

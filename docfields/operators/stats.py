@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,3 +122,8 @@ def form_type_summary(extractions: DataFrame, fields: DataFrame) -> DataFrame:
 def page_info(total: Column, page: Column, size: Column) -> Column:
     pages = F.greatest(F.ceil(total / size), F.lit(1)).cast("long")
     return F.struct(pages.alias("pages"), (page < pages).alias("has_next"), (page > 1).alias("has_previous"))
+
+
+def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): the rows of each table."""
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in tables.items()])

@@ -109,7 +109,7 @@ _register("search_documents", "documents", lambda d: lookup.search(d, "bui", sta
 _register("by_ids", "documents extractions", lambda d, e: lookup.by_ids(d, e.where("is_finalized").select(F.col("document_id").alias("id"))).select("id", "status"), "SELECT id, status FROM t_documents WHERE id IN (SELECT document_id FROM t_extractions WHERE is_finalized)")
 _register("low_confidence_fields", "fields", lambda f: edits.low_confidence(f).select("id", "confidence"), "SELECT id, confidence FROM t_fields WHERE confidence < 0.6")
 _register("edited_fields", "fields", lambda f: edits.edited_fields(f).select("id", "extraction_id", "field_key"), "SELECT id, extraction_id, field_key FROM t_fields WHERE is_edited")
-_register("fields_in_order", "fields", lambda f: f.orderBy("extraction_id", "sort_order").select("extraction_id", "sort_order", "field_key", "field_type"), "SELECT extraction_id, sort_order, field_key, field_type FROM t_fields")
+_register("fields_in_order", "fields", lambda f: lookup.in_display_order(f).select("extraction_id", "sort_order", "field_key", "field_type"), "SELECT extraction_id, sort_order, field_key, field_type FROM t_fields")
 _register("document_display", "documents", lambda d: d.select("id", text.display_status(F.col("status")).alias("shown"), text.file_size(F.col("file_size_bytes")).alias("size_text")), """SELECT id, upper(substr(status, 1, 1)) || substr(status, 2) AS shown, CASE WHEN file_size_bytes IS NULL OR file_size_bytes = 0 THEN NULL WHEN file_size_bytes < 1024 THEN printf('%.1f B', CAST(file_size_bytes AS DOUBLE))
     WHEN file_size_bytes < 1048576 THEN printf('%.1f KB', file_size_bytes / 1024) WHEN file_size_bytes < 1073741824 THEN printf('%.1f MB', file_size_bytes / 1048576) ELSE printf('%.1f GB', file_size_bytes / 1073741824) END AS size_text FROM t_documents""")
 _register("response_defaults", "fields", lambda f: lookup.response_defaults(f).select("id", "field_type", "confidence", "is_valid", "is_edited", "page_number"), "SELECT id, coalesce(field_type, 'text') AS field_type, coalesce(confidence, 0.0) AS confidence, is_valid, is_edited, page_number FROM t_fields")
@@ -172,6 +172,16 @@ def _prompts(p: DataFrame) -> DataFrame:
     return responses.build_prompts(docs, files.starter_templates(p.sparkSession)).select("document_id", F.md5("prompt").alias("prompt_md5"))
 
 
+def _named_prompts(p: DataFrame) -> DataFrame:
+    """Prompts by a template whose expected fields have names; the key of each second one lacks."""
+    docs = layout.combine_pages(p, "markdown").select("document_id", F.col("markdown").alias("text"), F.lit(None).cast("string").alias("custom_prompt"), F.lit("Invoice").alias("template_name"))
+    names = F.transform("expected_fields", lambda x, i: F.struct(F.when(i % 2 == 0, x["key"]).alias("key"), F.concat(F.lit("the "), x["key"]).alias("name")))
+    return responses.build_prompts(docs, files.starter_templates(p.sparkSession).withColumn("expected_fields", names)).select("document_id", F.md5("prompt").alias("prompt_md5"))
+
+
+_register("build_prompts_named", "pages", _named_prompts, f"""SELECT document_id, md5(concat('Expected fields to look for: Invoice Number, the Date, Total Amount, the Vendor Name' || chr(10) || chr(10),
+    {_PROMPT} || chr(10) || 'DOCUMENT TEXT (OCR OUTPUT):' || chr(10) || {_PROMPT} || chr(10) || markdown || chr(10) || {_PROMPT} || chr(10) || chr(10) || 'Extract all key-value pairs from the document above.' || chr(10)
+    || 'Return the results as a JSON object with ''form_type'', ''language'', and ''fields'' array.')) AS prompt_md5 FROM t_texts""", _TEXTS)
 _register("build_prompts", "pages", _prompts, f"""SELECT document_id, md5(concat(CASE WHEN document_id % 2 = 0 THEN 'Additional Instructions:' || chr(10) || 'Be brief' || chr(10) || chr(10) ELSE '' END,
     CASE WHEN document_id % 3 = 0 THEN 'Expected fields to look for: Invoice Number, Date, Total Amount, Vendor Name' || chr(10) || chr(10) ELSE '' END,
     {_PROMPT} || chr(10) || 'DOCUMENT TEXT (OCR OUTPUT):' || chr(10) || {_PROMPT} || chr(10) || markdown || chr(10) || {_PROMPT} || chr(10) || chr(10) || 'Extract all key-value pairs from the document above.' || chr(10)
@@ -218,6 +228,10 @@ _register("export_document_info", "documents extractions fields", lambda d, e, f
 _EXT = r"lower(regexp_extract(filename, '\.([^.]*)$', 1))"
 _register("check_uploads", "files", lambda f: f.select("id", files.check_upload(F.col("filename"), F.col("size")).alias("v"), files.mime_type(F.col("filename")).alias("mime")).select("id", "v.ok", "v.message", "mime"), f"""SELECT id, {_EXT} IN ('png', 'jpg', 'jpeg', 'pdf') AND size <= 20971520 AS ok, CASE WHEN {_EXT} NOT IN ('png', 'jpg', 'jpeg', 'pdf') THEN 'File type ''' || {_EXT} || ''' not allowed. Allowed: jpeg, jpg, pdf, png'
     WHEN size > 20971520 THEN printf('File too large (%.1fMB). Maximum: 20MB', size / 1048576) END AS message, CASE {_EXT} WHEN 'png' THEN 'image/png' WHEN 'jpg' THEN 'image/jpeg' WHEN 'jpeg' THEN 'image/jpeg' WHEN 'pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime FROM t_files""")
+_register("check_uploads_without_names", "files", lambda f: f.select("id", files.check_upload(F.when(F.col("id") % 7 > 0, F.col("filename")), F.col("size")).alias("v")).select("id", "v.ok", "v.message"), f"""SELECT id, id % 7 > 0 AND {_EXT} IN ('png', 'jpg', 'jpeg', 'pdf') AND size <= 20971520 AS ok, CASE WHEN id % 7 = 0 THEN 'File type '''' not allowed. Allowed: jpeg, jpg, pdf, png' WHEN {_EXT} NOT IN ('png', 'jpg', 'jpeg', 'pdf') THEN 'File type ''' || {_EXT} || ''' not allowed. Allowed: jpeg, jpg, pdf, png'
+    WHEN size > 20971520 THEN printf('File too large (%.1fMB). Maximum: 20MB', size / 1048576) END AS message FROM t_files""")
+_register("export_chosen_columns", "documents extractions fields", lambda d, e, f: exports.to_flat(exports.export_frame(d, e, f), columns=("Document", "Type", "Field Name")), """SELECT extraction_id, sort_order, original_filename AS "Document", field_type AS "Type", field_key AS "Field Name" FROM t_frame""", _FRAME)
+_register("table_counts", "documents extractions fields logs", lambda d, e, f, g: stats.row_counts({"documents": d, "extractions": e, "fields": f, "logs": g}), "SELECT 'documents' AS name, count(*) AS n FROM t_documents UNION ALL SELECT 'extractions', count(*) FROM t_extractions UNION ALL SELECT 'fields', count(*) FROM t_fields UNION ALL SELECT 'logs', count(*) FROM t_logs")
 _register("stored_names", "files", lambda f: f.select("id", files.sanitize(F.concat(F.lit("in/a dir/my file:"), F.col("filename"))).alias("clean"), files.stored_name(F.col("filename"), F.lit(NOW), F.col("id")).alias("stored")), f"""SELECT id, regexp_replace('my file:' || regexp_replace(filename, '\\.[^.]*$', ''), '[^a-zA-Z0-9._-]', '_', 'g') || '.' || {_EXT} AS clean, 'doc_20240301_120000_' || substr(md5(CAST(id AS VARCHAR)), 1, 8) || '.' || {_EXT} AS stored FROM t_files""".replace("\\\\", "\\"))
 _register("repeated_uploads", "files", lambda f: files.repeated_uploads(f.select("id", F.concat(F.substring("html", 1, 15), F.col("id") % 100).alias("content"))), "SELECT md5(substr(html, 1, 15) || (id % 100)) AS hash, count(*) AS n, min(id) AS first_id FROM t_files GROUP BY 1 HAVING count(*) > 1")
 
@@ -408,4 +422,4 @@ def _stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["daily_step_status"] = _stream_counts
 ORACLES["daily_step_status"] = f"SELECT strftime(created_at, '%Y-%m-%d') AS day, step, status, count(*) AS n FROM {fixtures.duck('logs')} GROUP BY ALL"
-_register("newest_logs", "logs", lambda g: g.withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy("created_at", "id"))).select("id", "document_id", "place"), "SELECT id, document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS INTEGER) AS place FROM t_logs")
+_register("newest_logs", "logs", lambda g: lookup.document_log(g).select("id", "document_id", "place"), "SELECT id, document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY created_at, id) AS INTEGER) AS place FROM t_logs")

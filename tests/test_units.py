@@ -2,13 +2,14 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from docfields.operators import edits, exports, layout, matching
+from docfields.operators import edits, exports, layout, matching, responses
 from docfields.sources import files
 from docfields.streaming import jobs
 
@@ -175,3 +176,24 @@ def test_rollup_gathers_the_boxes_of_all_pages_and_exports_are_read_back(spark,
         exports.write_export(pages.select("document_id", "page_number"), str(tmp_path / fmt), fmt, by="document_id")
         back = spark.read.option("header", True).option("inferSchema", True).format(fmt).load(str(tmp_path / fmt))
         assert sorted((r.document_id, r.page_number) for r in back.collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_reading_order_of_a_page_of_many_blocks(spark):
+    n = 100_000
+    k = F.col("id")
+    y, x = (F.floor(k / 20) * 20.0), (k % 20) * 10.0
+    corner = lambda dx, dy: F.array(x + dx, y + dy)
+    blocks = spark.range(n).select(F.lit(1).alias("document_id"), F.lit(1).alias("page_number"), k.alias("ordinal"), k.cast("string").alias("text"), F.lit(1.0).alias("confidence"), F.array(corner(0, 0), corner(8, 0), corner(8, 8), corner(0, 8)).alias("box"))
+    began = time.time()
+    got = layout.reading_order(blocks)
+    assert got.count() == n / 20 and got.where("line_no = 3").first().text == " ".join(map(str, range(40, 60)))
+    assert time.time() - began < 60
+
+
+def test_named_fields_and_chosen_columns(spark):
+    templates = spark.createDataFrame([("A", [(None, "n1"), ("k2", "n2"), (None, None)], None)], "name string, expected_fields array<struct<key:string,name:string>>, extraction_prompt string")
+    docs = spark.createDataFrame([(1, "text", None, "A")], "document_id int, text string, custom_prompt string, template_name string")
+    assert responses.build_prompts(docs, templates).first().prompt.startswith("Expected fields to look for: n1, k2, \n")
+    assert files.mime_type(F.lit(None)) is not None
+    checked = spark.createDataFrame([(None, 1), ("a.pdf", 1)], "n string, s long").select(files.check_upload(F.col("n"), F.col("s")).alias("v")).collect()
+    assert [r.v.ok for r in checked] == [False, True]
