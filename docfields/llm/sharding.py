@@ -7,7 +7,9 @@ shared folder first: a row has the same place in every pass, whatever executors
 The driver looks for the keys at which the rows, in this order, reach given numbers of bytes: each round counts bytes and rows
 exactly below evenly spread probes inside the cells that still hold a wanted boundary, and narrows these cells, until every
 boundary is as near as the tolerance asks, or its cell holds one key. Where one text's hash holds a boundary, the second key goes on
-inside it. Then the rows are exchanged once, dealt to groups of about RANGE_BYTES inside their shards, and numbered there.
+inside it. Then the rows are exchanged once, dealt to groups of about RANGE_BYTES inside their shards, and numbered there. A group is
+a range of text keys; a text that holds more than a group has groups of its own, ranges of the second key, behind the other texts of
+its range. So equal texts of a shard have neighbouring slots at every size.
 
 Law `bytes`: shards have nearly equal sizes. Null text has no bytes; null ids are hashed as such. An empty table gives an empty
 result. Columns of the input keep their names; a name that begins with `_` should not be one that is added.
@@ -30,6 +32,8 @@ KEY_BITS = 63
 MOST_CELLS = 1 << 16
 #: Rows of a shard are numbered in groups of about this many bytes.
 RANGE_BYTES = 256 << 20
+#: Fewer texts than this get groups of their own (they are broadcast): those that hold more than this part of all bytes, and a range.
+MOST_HOT = 10_000
 
 
 @dataclass(frozen=True)
@@ -99,6 +103,19 @@ def _position(key: Column, cuts: list[Boundary]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(padded, at + step - 1) <= key, at + step).otherwise(at))
 
 
+def _grouped(rows: DataFrame, total: int) -> DataFrame:
+    """Rows with their groups (_cell, _hot, _part), which are ordered: a range of text keys; -1 or, for a text that holds more than
+    RANGE_BYTES, its key; a range of row keys in such a text."""
+    bits = lambda size: max(0, -(-int(size) // RANGE_BYTES) - 1).bit_length()
+    cell = F.shiftright("_text_key", KEY_BITS - bits(total)).alias("_cell")
+    if not bits(total):
+        return rows.select("*", cell, F.lit(-1).cast("long").alias("_hot"), F.lit(0).cast("long").alias("_part"))
+    held = rows.groupBy("_text_key").agg(F.sum("_size").alias("_held")).where(F.col("_held") > max(RANGE_BYTES, total / MOST_HOT))
+    hot = held.select("_text_key", F.col("_text_key").alias("_hot"), F.ceil(F.log2(F.col("_held") / RANGE_BYTES)).cast("int").alias("_bits"))
+    part = F.coalesce(F.expr(f"shiftright(_row_key, {KEY_BITS} - _bits)"), F.lit(0))
+    return rows.join(F.broadcast(hot), "_text_key", "left").withColumns({"_cell": cell, "_hot": F.coalesce("_hot", F.lit(-1)), "_part": part}).drop("_bits")
+
+
 def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", tolerance: float = 0.001, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of df (all, if None) with _size, _shard and _slot. Boundaries of shards are within `tolerance` of a mean
     shard, or as near as whole rows allow. The kept columns are written once, with the keys."""
@@ -110,13 +127,13 @@ def shard(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "t
     mean = total / shards
     cuts = boundaries(rows.select(F.col("_text_key").alias("text_key"), F.col("_row_key").alias("row_key"), F.col("_size").alias("size")), [(mean * k, mean * tolerance) for k in range(1, shards)]) if total else []
     cuts.sort(key=lambda b: b.key)
-    groups = max(1, -(-int(mean) // RANGE_BYTES))
-    dealt = rows.withColumns({"_shard": _position(F.struct("_text_key", "_row_key"), cuts), "_group": F.pmod("_row_key", F.lit(groups))})
-    counts = dealt.groupBy("_shard", "_group").agg(F.count("*").alias("_n"))
-    begin = counts.withColumn("_begin", F.sum("_n").over(Window.partitionBy("_shard").orderBy("_group")) - F.col("_n")).drop("_n")  # a row for each RANGE_BYTES of the input
-    order = Window.partitionBy("_shard", "_group").orderBy("_text_key", "_row_key")
-    placed = dealt.withColumn("_slot", F.row_number().over(order) - 1).join(begin, ["_shard", "_group"])
-    return placed.withColumn("_slot", (F.col("_slot") + F.col("_begin")).cast("long")).drop("_text_key", "_row_key", "_group", "_begin").select(*(keep or df.columns), "_size", "_shard", "_slot")
+    dealt = _grouped(rows, total).withColumn("_shard", _position(F.struct("_text_key", "_row_key"), cuts))
+    group = ["_cell", "_hot", "_part"]
+    counts = dealt.groupBy("_shard", *group).agg(F.count("*").alias("_n"))
+    begin = counts.withColumn("_begin", F.sum("_n").over(Window.partitionBy("_shard").orderBy(*group)) - F.col("_n")).drop("_n")  # a row for each RANGE_BYTES of the input
+    order = Window.partitionBy("_shard", *group).orderBy("_text_key", "_row_key")
+    placed = dealt.withColumn("_slot", F.row_number().over(order) - 1).join(begin, ["_shard", *group])
+    return placed.withColumn("_slot", (F.col("_slot") + F.col("_begin")).cast("long")).select(*(keep or df.columns), "_size", "_shard", "_slot")
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

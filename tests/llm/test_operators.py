@@ -1,6 +1,7 @@
 """Operators against brute force, library round trips and held-out labels, and rows of every awkward kind."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -355,6 +356,26 @@ def test_sharding(spark, texts, odd, none):
         assert all(r.n == r.top + 1 == r.slots for r in out.groupBy("_shard").agg(F.count("*").alias("n"), F.max("_slot").alias("top"), F.count_distinct("_slot").alias("slots")).collect())
 
 
+def test_equal_texts_are_neighbours_in_shards_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RANGE_BYTES", 8 << 10)
+    words = F.concat(F.lit("text of some length "), (F.col("id") % 500).cast("string"))
+    copies = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a text that a third of the rows share").otherwise(words).alias("text"))
+    out = rows(sharding.shard(copies.repartition(7), 4))
+    assert len(out) == 4000 and len({r["doc_id"] for r in out}) == 4000
+    total = sum(r["_size"] for r in out)
+    runs = 0
+    for k in range(4):
+        here = sorted((r["_slot"], r["text"], r["_size"]) for r in out if r["_shard"] == k)
+        assert [r[0] for r in here] == list(range(len(here))) and abs(sum(r[2] for r in here) - total / 4) <= 100
+        got = [t for t, _ in itertools.groupby(r[1] for r in here)]
+        assert len(got) == len(set(got))
+        runs += len(got)
+    assert runs > 500
+    keyed = spark.range(4000).select(F.col("id"), F.when(F.col("id") % 2 == 0, 77).otherwise(F.shiftrightunsigned(F.xxhash64("id"), 1)).alias("_text_key"), F.shiftrightunsigned(F.xxhash64("id", F.lit(1)), 1).alias("_row_key"), F.lit(100).cast("long").alias("_size"))
+    largest = sharding._grouped(keyed, 400_000).groupBy("_cell", "_hot", "_part").count().agg(F.max("count")).first()[0]
+    assert largest * 100 <= 2 * (8 << 10)
+
+
 def test_boundaries_equal_those_of_a_sorted_list(spark):
     rng = random.Random(9)
     keys = [(rng.randrange(2**63) if rng.random() < 0.6 else 12345, rng.randrange(2**63), rng.randrange(1, 400)) for _ in range(3000)]
