@@ -222,8 +222,8 @@ class PrefixTable:
         return out
 
     def forget(self) -> None:
+        """Gives the stretches of a task's texts back. Pairs are the model's, of bounded number, and stay for the worker's next task."""
         self.memory.clear()
-        self.pairs.clear()
 
     def decoded(self, ids: list[int]) -> str:
         """What ids stand for, spaces of the first piece included; bytes that are no UTF-8 become U+FFFD."""
