@@ -19,9 +19,14 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/docfields-{uuid.uuid4().hex}/{name}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/docfields-{uuid.uuid4().hex}/{name}"
+    path = new_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

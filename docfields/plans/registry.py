@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docfields.functions import text, validators
-from docfields.operators import edits, exports, extraction, layout, lookup, matching, responses, stats, versions
+from docfields.functions.store import new_folder
+from docfields.operators import edits, exports, extraction, layout, lookup, matching, mergetable, responses, stats, versions
 from docfields.sources import files, fixtures
+from docfields.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,6 +153,34 @@ _register("apply_edits", "edited_fields edits", lambda f, x: edits.apply_edits(f
 _register("edit_audit", "edited_fields edits", lambda f, x: edits.apply_edits(f, x)[1].select("id", "field_id", "old_value", "new_value"), "SELECT id, field_id, lag(new_value, 1, '0') OVER (PARTITION BY field_id ORDER BY created_at, id) AS old_value, new_value FROM t_edits")
 _register("bulk_update", "edited_fields edits", lambda f, x: edits.bulk_update(f.withColumn("field_type", F.lit("text")), x.select("id", "field_id", "created_at", F.when(F.col("id") % 2 == 0, F.col("new_value")).alias("field_value"), F.when(F.col("id") % 3 == 0, F.col("edit_type")).alias("field_type")))[0].select("id", "field_value", "field_type"), "SELECT f.id, coalesce(max_by(x.new_value, (x.created_at, x.id)) FILTER (WHERE x.id % 2 = 0), '0') AS field_value, coalesce(max_by(x.edit_type, (x.created_at, x.id)) FILTER (WHERE x.id % 3 = 0), 'text') AS field_type FROM t_edited_fields f JOIN t_edits x ON x.field_id = f.id GROUP BY f.id")
 _register("value_as_of", "edited_fields edits", lambda f, x: edits.value_as_of(f, x, datetime(2024, 1, 15)), "SELECT f.id, coalesce(max_by(x.new_value, (x.created_at, x.id)), CASE WHEN f.is_edited THEN f.original_value ELSE f.field_value END) AS value FROM t_edited_fields f LEFT JOIN t_edits x ON x.field_id = f.id AND x.created_at <= TIMESTAMP '2024-01-15' GROUP BY f.id, f.is_edited, f.original_value, f.field_value")
+
+
+def _stored(f: DataFrame, x: DataFrame) -> mergetable.FieldTable:
+    """A stored table after three appends, the second of them tried twice, and a compaction between them."""
+    kept = mergetable.FieldTable.create(f, new_folder(f.sparkSession, "fields"), buckets=64)
+    for part in (0, 1, 1, 2):
+        kept.append(x.where(F.col("id") % 3 == part), part)
+        if part == 1:
+            kept.compact(0.5)
+    return kept
+
+
+def _streamed(f: DataFrame, x: DataFrame) -> DataFrame:
+    """A stream of edits, from files, into a stored table."""
+    spark, root = f.sparkSession, new_folder(f.sparkSession, "stream")
+    x.write.parquet(f"{root}/edits")
+    kept = mergetable.FieldTable.create(f, f"{root}/fields", buckets=64)
+    stream = spark.readStream.schema(x.schema).option("maxBytesPerTrigger", 4 << 30).parquet(f"{root}/edits")
+    run = jobs.merged_values(stream, kept.path).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return kept.current().select("id", "field_value", "is_edited", "original_value")
+
+
+_CURRENT = "SELECT f.id, max_by(x.new_value, (x.created_at, x.id)) AS field_value, true AS is_edited, CASE WHEN f.is_edited THEN f.original_value ELSE f.field_value END AS original_value FROM t_edited_fields f JOIN t_edits x ON x.field_id = f.id GROUP BY f.id, f.is_edited, f.original_value, f.field_value"
+_register("stored_fields", "edited_fields edits", lambda f, x: _stored(f, x).current().select("id", "field_value", "is_edited", "original_value"), _CURRENT)
+_register("stored_fields_of_ids", "edited_fields edits", lambda f, x: _stored(f, x).current(f.where("id % 10 = 3")).select("id", "field_value"), f"SELECT id, field_value FROM ({_CURRENT}) WHERE id % 10 = 3")
+_register("stored_value_as_of", "edited_fields edits", lambda f, x: _stored(f, x).value_as_of(datetime(2024, 1, 15)), "SELECT f.id, coalesce(max_by(x.new_value, (x.created_at, x.id)), CASE WHEN f.is_edited THEN f.original_value ELSE f.field_value END) AS value FROM t_edited_fields f LEFT JOIN t_edits x ON x.field_id = f.id AND x.created_at <= TIMESTAMP '2024-01-15' GROUP BY f.id, f.is_edited, f.original_value, f.field_value")
+_register("streamed_values", "edited_fields edits", _streamed, _CURRENT)
 _register("roll_back", "edited_fields", lambda f: edits.roll_back(f).select("id", "field_value", "is_edited"), "SELECT id, CASE WHEN is_edited THEN original_value ELSE field_value END AS field_value, false AS is_edited FROM t_edited_fields")
 _register("edit_history", "edits", lambda x: edits.edit_history(x).select("id", "field_id", "place"), "SELECT id, field_id, CAST(row_number() OVER (PARTITION BY field_id ORDER BY created_at DESC, id DESC) AS INTEGER) AS place FROM t_edits")
 _register("guarded_changes", "fields extractions documents", lambda f, e, d: edits.guarded(f.select(F.col("id"), F.col("id").alias("field_id"), F.when(F.col("id") % 10 == 0, F.col("extraction_id") + 1).otherwise(F.col("extraction_id")).alias("extraction_id")), f, e, d).groupBy(F.coalesce("reason", F.lit("ok")).alias("verdict")).agg(F.count("*").alias("n")), """SELECT CASE WHEN e.id IS NULL THEN 'extraction not found' WHEN coalesce(d.is_deleted, true) THEN 'document not found' WHEN e.is_finalized THEN 'extraction is finalized' WHEN c.owner <> c.extraction_id THEN 'field of another extraction' ELSE 'ok' END AS verdict, count(*) AS n

@@ -1,4 +1,4 @@
-"""Two incremental jobs over append-only logs."""
+"""Incremental jobs over append-only logs."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from docfields.operators.edits import apply_edits
+from docfields.operators.mergetable import FieldTable
 
 
 def daily_step_status(logs: DataFrame, late: str = "1 day") -> DataFrame:
@@ -36,3 +37,16 @@ def current_values(edits: DataFrame, fields: DataFrame, path: str) -> DataStream
         new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return edits.writeStream.foreachBatch(apply)
+
+
+def merged_values(edits: DataFrame, path: str, share: float = 0.25) -> DataStreamWriter:
+    """Appends each micro-batch to the FieldTable at `path`: a batch costs what its own edits cost, and now and then the compaction of
+    the buckets that have filled up. A batch that is tried again is known by its number; a stream with a new checkpoint begins at
+    number 0, so it needs a new table. The current values are `FieldTable(spark, path).current()`, at any time."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        table = FieldTable(batch.sparkSession, path)
+        table.append(batch, number)
+        table.compact(share)
+
+    return edits.writeStream.foreachBatch(apply)
