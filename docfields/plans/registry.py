@@ -314,6 +314,10 @@ def _analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = layout.flatten_boxes(_analyses(spark, sf_dir))
+    return _box_counts(boxes)
+
+
+def _box_counts(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("document_id", "page_number", "type").agg(F.count("*").alias("n"), F.count_if("odd_polygon").alias("odd"), F.max(F.length("content")).alias("longest"), F.sum("row_index").alias("rows_"), F.max("row_count").alias("row_count"), F.count_if(F.col("state") == "selected").alias("selected"), F.max("role").alias("role"), F.count("confidence").alias("rated"))
 
 
@@ -325,6 +329,29 @@ ORACLES["flatten_boxes"] = _LINES + """, p AS (SELECT doc_id AS document_id, CAS
   UNION ALL SELECT document_id, page_number, 'table', 1, 0, NULL, NULL, n, 0, NULL, 0 FROM k
   UNION ALL SELECT document_id, page_number, 'table_cell', n, 0, longest, rows_, NULL, 0, NULL, 0 FROM k
   UNION ALL SELECT document_id, page_number, 'paragraph', n, 0, cut, NULL, NULL, 0, 'text', 0 FROM k"""
+
+
+def _stored_layouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Analyses written as lines of JSON and read back. Of each fifty documents the first page of one is cut short, of one has a page
+    number in words, of one has none and of one has words that are no list."""
+    page = F.when(F.col("page_number") == 1, F.pmod("document_id", F.lit(50)))
+    whole = F.to_json(F.struct("*"))
+    line = (
+        F.when(page == 0, F.substring(whole, 1, 40))
+        .when(page == 1, F.regexp_replace(whole, '"page_number":1,"words"', '"page_number":"one","words"'))
+        .when(page == 2, F.regexp_replace(whole, '"page_number":1,"words"', '"words"'))
+        .when(page == 3, F.regexp_replace(whole, '"words":', '"words":"many","others":'))
+        .otherwise(whole)
+    )
+    path = new_folder(spark, "layouts")
+    _analyses(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return files.declared(files.raw_layouts(spark, path), layout.ANALYSIS)
+
+
+QUERIES["stored_layouts"] = lambda spark, sf_dir: _box_counts(layout.flatten_boxes(_stored_layouts(spark, sf_dir)[0]))
+ORACLES["stored_layouts"] = f"SELECT * FROM ({ORACLES['flatten_boxes']}) WHERE page_number <> 1 OR document_id % 50 > 3"
+QUERIES["rejected_layouts"] = lambda spark, sf_dir: _stored_layouts(spark, sf_dir)[1].groupBy("reason").agg(F.count("*").alias("n"))
+ORACLES["rejected_layouts"] = "SELECT ['no JSON', 'page_number is no int', 'no page_number', 'words is no list'][doc_id % 50 + 1] AS reason, count(*) AS n FROM documents WHERE doc_id % 50 < 4 GROUP BY 1"
 QUERIES["page_counts"] = lambda spark, sf_dir: layout.page_counts(_analyses(spark, sf_dir))
 ORACLES["page_counts"] = _LINES + "SELECT d.document_id, d.page_number, w.words, d.lines, 1 AS tables, d.lines AS paragraphs FROM (SELECT doc_id AS document_id, CAST(1 + line // 40 AS INTEGER) AS page_number, CAST(count(*) AS INTEGER) AS lines FROM docs GROUP BY 1, 2) d JOIN (SELECT doc_id AS document_id, CAST(1 + line // 40 AS INTEGER) AS page_number, CAST(count(*) AS INTEGER) AS words FROM words GROUP BY 1, 2) w USING (document_id, page_number)"
 

@@ -62,11 +62,52 @@ def read_layouts(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, first: date, last: date, days: int = 30, column: str = "created_at", properties: dict[str, str] | None = None) -> DataFrame:
-    """A table in ranges of a time column, a task for each; rows outside first..last and without a time in ranges of their own."""
-    edges = [first + timedelta(days=k) for k in range(0, max(1, (last - first).days), days)] + [last]
-    ranges = [f"{column} >= '{a}' AND {column} < '{b}'" for a, b in zip(edges, edges[1:], strict=False)]
-    rest = f"{column} < '{first}' OR {column} >= '{last}' OR {column} IS NULL"
+def raw_layouts(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """Stored analyses as they are: file, raw (VARIANT; null if the text is no JSON). A line is an analysis or a list of them; with
+    `whole` a file is. Blank lines are left out."""
+    texts = spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), "value").where(F.col("value").rlike(r"\S"))
+    raw = texts.select("file", F.try_parse_json("value").alias("raw"))
+    pages = F.coalesce(F.try_variant_get("raw", "$", "array<variant>"), F.array("raw"))
+    return raw.select("file", F.explode(pages).alias("raw"))
+
+
+def declared(raw: DataFrame, schema: str, required: tuple[str, ...] = ("document_id", "page_number")) -> tuple[DataFrame, DataFrame]:
+    """Analyses with the declared columns, and those set aside: file, reason, raw. A declared path that is there must have its type,
+    and the required ones must be there; paths that aren't declared are left alone."""
+    kinds = {f.name: f.dataType.simpleString() for f in raw.sparkSession.createDataFrame([], schema).schema}
+    found = raw.select("file", "raw", *[F.try_variant_get("raw", f"$.{n}", t).alias(n) for n, t in kinds.items()])
+    at = {n: F.try_variant_get("raw", f"$.{n}", "variant") for n in kinds}
+    there = {n: v.isNotNull() & ~F.is_variant_null(v) for n, v in at.items()}
+    faults = [F.when(there[n] & F.col(n).isNull(), f"{n} is no {'list' if t.startswith('array') else t}") for n, t in kinds.items()]
+    absent = [F.when(~there[n], f"no {n}") for n in required]
+    judged = found.withColumn("reason", F.when(F.col("raw").isNull(), "no JSON").otherwise(F.coalesce(*absent, *faults)))
+    return judged.where("reason IS NULL").select(*kinds), judged.where("reason IS NOT NULL").select("file", "reason", "raw")
+
+
+def _ts(day: date) -> str:
+    return f"{{ts '{day} 00:00:00'}}"
+
+
+def balanced_days(spark: SparkSession, url: str, table: str, parts: int, column: str = "created_at", properties: dict[str, str] | None = None) -> list[date]:
+    """Days that cut a table into about `parts` ranges of equal numbers of rows: the database counts the rows of each day, so what
+    comes back is bounded by the days of its history."""
+    counted = f"(SELECT CAST({column} AS DATE) AS d, COUNT(*) AS n FROM {table} WHERE {column} IS NOT NULL GROUP BY CAST({column} AS DATE)) counted"
+    days = sorted(tuple(r) for r in spark.read.jdbc(url, counted, properties=properties or {}).collect())
+    total, seen, cuts = sum(n for _, n in days), 0, []
+    for day, n in days:
+        if cuts and seen * parts >= len(cuts) * total or not cuts:
+            cuts.append(day)
+        seen += n
+    return [*cuts, days[-1][0] + timedelta(days=1)] if days else []
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, first: date | None = None, last: date | None = None, days: int = 30, column: str = "created_at", properties: dict[str, str] | None = None, edges: list[date] | None = None) -> DataFrame:
+    """A table in ranges of a time column, a task for each: `edges`, such as balanced_days gives, or steps of `days` from first to last.
+    Rows outside them and without a time have a range of their own."""
+    if edges is None:
+        edges = [first + timedelta(days=k) for k in range(0, max(1, (last - first).days), days)] + [last]
+    ranges = [f"{column} >= {_ts(a)} AND {column} < {_ts(b)}" for a, b in zip(edges, edges[1:], strict=False)]
+    rest = f"{column} < {_ts(edges[0])} OR {column} >= {_ts(edges[-1])} OR {column} IS NULL" if edges else "1 = 1"
     return spark.read.jdbc(url, table, predicates=[*ranges, rest], properties=properties or {})
 
 
@@ -74,6 +115,29 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str] |
     df.write.jdbc(url, table, mode="append", properties=properties or {})
 
 
+def load_jdbc(df: DataFrame, url: str, table: str, key: str, properties: dict[str, str] | None = None) -> None:
+    """Adds the rows whose key the table lacks, once, whatever tasks or whole loads are tried again: tasks fill a staging table, then
+    one statement of the database moves its distinct rows. Rows of one key should be equal; columns must be comparable there (no
+    large objects: name their types in the property createTableColumnTypes)."""
+    staging, properties = f"{table}_load", properties or {}
+    df.write.jdbc(url, staging, mode="overwrite", properties=properties)
+    names = ", ".join(f's."{c}"' for c in df.columns)
+    plain = ", ".join(f'"{c}"' for c in df.columns)
+    jvm = df.sparkSession.sparkContext._jvm
+    given = jvm.java.util.Properties()
+    for k, v in properties.items():
+        given.setProperty(k, v)
+    link = jvm.java.sql.DriverManager.getConnection(url, given)
+    try:
+        link.setAutoCommit(False)
+        link.createStatement().executeUpdate(f'INSERT INTO {table} ({plain}) SELECT DISTINCT {names} FROM {staging} s WHERE NOT EXISTS (SELECT 1 FROM {table} t WHERE t."{key}" = s."{key}")')
+        link.createStatement().executeUpdate(f"DROP TABLE {staging}")
+        link.commit()
+    finally:
+        link.rollback()
+        link.close()
+
+
 def starter_templates(spark: SparkSession) -> DataFrame:
     """Three templates."""
     rows = [
