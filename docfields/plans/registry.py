@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docfields.functions import text, validators
 from docfields.functions.store import new_folder
-from docfields.operators import edits, exports, extraction, layout, lookup, matching, mergetable, responses, stats, versions
+from docfields.operators import edits, exports, extraction, layout, lookup, matching, mergetable, ordered, responses, stats, versions
 from docfields.sources import files, fixtures
 from docfields.streaming import jobs
 
@@ -120,6 +120,9 @@ _register("extractions_with_fields", "extractions fields", lambda e, f: lookup.w
 _register("document_detail", "documents extractions", lambda d, e: lookup.document_detail(d, e).select("id", "n_extractions", "current_extraction_id"), "SELECT d.id, count(e.id) AS n_extractions, max(CASE WHEN e.is_current THEN e.id END) AS current_extraction_id FROM t_documents d LEFT JOIN t_extractions e ON e.document_id = d.id WHERE NOT d.is_deleted GROUP BY d.id")
 _register("finalized_with_document", "extractions documents", lambda e, d: lookup.finalized(e, d, limit=None).select("id", "document_id", "original_filename"), "SELECT e.id, e.document_id, d.original_filename FROM t_extractions e JOIN t_documents d ON d.id = e.document_id WHERE e.is_finalized")
 _register("last_finalized", "extractions documents", lambda e, d: lookup.finalized(e, d, skip=5, limit=40).select("id", "original_filename"), "SELECT e.id, d.original_filename FROM (SELECT * FROM t_extractions WHERE is_finalized ORDER BY finalized_at DESC, id LIMIT 40 OFFSET 5) e JOIN t_documents d ON d.id = e.document_id")
+_LISTED = ["created_at desc", "id"]
+_register("page_of_documents", "documents", lambda d: ordered.OrderedParts.write(d.where("NOT is_deleted"), new_folder(d.sparkSession, "listed"), _LISTED, rows=500).page(60, 40).select("id", "status", "created_at"), "SELECT id, status, created_at FROM (SELECT * FROM t_documents WHERE NOT is_deleted ORDER BY created_at DESC, id LIMIT 40 OFFSET 60)")
+_register("ordered_export", "documents", lambda d: ordered.OrderedParts.write(d.select("id", "original_filename", "form_type", "created_at"), new_folder(d.sparkSession, "export"), _LISTED, "json", rows=20_000).numbered(), "SELECT id, original_filename, form_type, created_at, row_number() OVER (ORDER BY created_at DESC, id) - 1 AS place FROM t_documents")
 _register("recent_edits", "edits edited_fields", lambda x, f: lookup.recent_edits(x, f).select("id", "field_id", "new_value", "field_value"), "SELECT x.id, x.field_id, x.new_value, f.field_value FROM (SELECT * FROM t_edits ORDER BY created_at DESC, id DESC LIMIT 50) x LEFT JOIN t_edited_fields f ON f.id = x.field_id")
 _register("documents_without_extractions", "documents extractions", lambda d, e: exports.missing_ids(d.select(F.explode(F.array("id", -F.col("id"))).alias("id")), e.select(F.col("document_id").alias("id"))), "SELECT id FROM (SELECT unnest([id, -id]) AS id FROM t_documents) WHERE id NOT IN (SELECT document_id FROM t_extractions)")
 
