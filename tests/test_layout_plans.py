@@ -50,3 +50,24 @@ def test_a_run_deals_words_and_lines_only(spark):
     assert run["fields"].count() == 0
     tables = [t.name for t in spark.catalog.listTables() if t.name.endswith("_analyses")]
     assert tables and all(set(spark.table(t).columns) == {"document_id", "page_number", "words", "lines"} for t in tables if spark.table(t).count() == 0)
+
+
+@pytest.mark.parametrize("name", ["stored_layouts", "rejected_layouts"])
+def test_analyses_as_texts_are_not_written(spark, name):
+    from pathlib import Path
+
+    from docfields.functions.store import shared_folder
+
+    before = set(Path(shared_folder(spark)).glob("*"))
+    assert registry.QUERIES[name](spark, SF).count()
+    assert set(Path(shared_folder(spark)).glob("*")) == before
+
+
+def test_fields_are_dealt_once_for_exports(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shown = plan(registry.QUERIES["export_nested"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # customers, orders by customer (for versions), extractions by id, fields
+    assert shown.count("Exchange hashpartitioning") == 4
