@@ -71,3 +71,9 @@ def test_fields_are_dealt_once_for_exports(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     # customers, orders by customer (for versions), extractions by id, fields
     assert shown.count("Exchange hashpartitioning") == 4
+
+
+@pytest.mark.parametrize("name", ["match_text", "match_fields", "match_contains", "match_equal_lines"])
+def test_matching_broadcasts_nothing(spark, name):
+    shown = plan(registry.QUERIES[name](spark, SF))
+    assert "SortMergeJoin" in shown and "Broadcast" not in shown
