@@ -22,9 +22,10 @@ import re
 import string
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,9 @@ from docfields.llm.packing import LETTERS, Encoder, Ragged
 
 #: Cost of a token beside the others of its piece, for layers of width d: 24 d^2 of weights to 4 d for each token attended to.
 LINEAR, QUADRATIC = 6 * 1024, 1
-#: Distinct words that a task remembers from slice to slice, about 150 bytes each.
-REMEMBERED = 400_000
+#: Distinct words that a worker remembers from slice to slice and from task to task, about 150 bytes each; when there are more, or
+#: more than so many characters for each on average, it goes on with those met in several slices and no longer than LONG.
+REMEMBERED, CHARACTERS, LONG = 400_000, 16, 64
 FIRST, LINE = "\x01", "\x02"
 #: Marks that stay one token group behind a word; an apostrophe may begin a group of its own.
 MARKS = "".join(c for c in string.punctuation if c != "'")
@@ -48,6 +50,14 @@ MARKS = "".join(c for c in string.punctuation if c != "'")
 SPACE = r"\s\v\x1c-\x1f\x{85}\p{Z}"
 
 
+class Numbers(dict):
+    """Numbers from 0 for keys, in the order in which they were first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
+
+
 class ByteEncoder(Encoder):
     """The ids of texts for byte-level tokenizers whose groups never hold white space after something else: a text may be cut
     before a space or line break that follows another character. Each distinct stretch between such cuts is encoded once, and
@@ -72,36 +82,72 @@ class ByteEncoder(Encoder):
         self.clear()
 
     def fast(self, word: str) -> list[int]:
-        return self.ready(word.translate(self.spelt))
-
-    def ready(self, spelt: str) -> list[int]:
-        """The ids of a word in the model's own spelling: ASCII letters, with a space written as `self.space`."""
-        return [t.id for t in self.model.tokenize(spelt)]
+        return [t.id for t in self.model.tokenize(word.translate(self.spelt))]
+
+    def ready(self, word: str) -> list[int]:
+        """The ids of a word of ASCII letters, or a number, that may follow a space: only that is spelt otherwise by the model."""
+        return [t.id for t in self.model.tokenize(self.space + word[1:] if word[0] == " " else word)]
+
+    def clear(self) -> None:
+        self.number, self.known = Numbers({"": 0}), Ragged(np.empty(0, "<u4"), np.array([0, 0]))
+        self.met, self.held = np.ones(1, np.int64), 0
+
+    def numbers(self, words: list[str], how: Callable[[str], list[int]]) -> np.ndarray:
+        """The run of `known` that holds each word's ids; words not met before are encoded."""
+        before = len(self.number)
+        found = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > before:
+            new = list(islice(reversed(self.number), len(self.number) - before))[::-1]
+            ids = list(map(how, new))
+            flat = np.fromiter(chain.from_iterable(ids), "<u4")
+            self.known = Ragged(np.concatenate([self.known.ids, flat]), np.concatenate([self.known.ends, self.known.ends[-1] + np.cumsum(list(map(len, ids)))]))
+            self.met = np.append(self.met, np.zeros(len(new), np.int64))
+            self.held += sum(map(len, new))
+        self.met[found] += 1
+        return found
+
+    def forget(self) -> None:
+        """Keeps the words met in several slices, at most three quarters of what may be remembered. Old meetings count half, so
+        words that no longer come are forgotten in time."""
+        words, least = list(self.number), 2
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        most, kept = REMEMBERED * 3 // 4, (size <= LONG) & (self.met >= least)
+        while np.count_nonzero(kept) > most or size[kept].sum() > most * CHARACTERS:
+            least += 1
+            kept &= self.met >= least
+        kept[0] = True
+        which = np.flatnonzero(kept)
+        self.number = Numbers({words[k]: n for n, k in enumerate(which.tolist())})
+        self.known, self.met, self.held = self.known.take(which), (self.met[which] + 1) // 2, sum(map(len, self.number))
 
     def encode(self, texts: pa.Array) -> Ragged:
         """The ids of each text. A text that holds FIRST, LINE or the model's sign for a space itself is encoded whole."""
-        if len(self.number) > REMEMBERED:
-            self.clear()
         odd = pc.match_substring_regex(texts, f"[{FIRST}{LINE}{self.space}]").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(odd), "", texts)
         lists = pc.split_pattern(pc.binary_join_element_wise(FIRST, pc.replace_substring(plain, "\n", f" {LINE}"), ""), " ")
         words, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        coded = words.dictionary_encode()
+        distinct, which = coded.dictionary, coded.indices.to_numpy()
         # A stretch goes on past a word that is empty or ends in white space.
-        open_ = pc.match_substring_regex(words, f"(^|[{FIRST}{LINE}{SPACE}])$").to_numpy(zero_copy_only=False)
+        open_ = pc.match_substring_regex(distinct, f"(^|[{FIRST}{LINE}{SPACE}])$").to_numpy(zero_copy_only=False)[which]
         head = np.append(True, ~open_[:-1]) if len(words) else np.empty(0, bool)
         head[ends[:-1]] = True
         heads = np.flatnonzero(head)
-        joined = np.flatnonzero(np.diff(np.append(heads, len(words))) > 1)
-        coded = words.take(pa.array(heads)).dictionary_encode()
-        distinct, which = coded.dictionary, coded.indices.to_numpy()
-        parts = np.zeros((len(heads), 3), np.int64)
-        parts[:] = self._parts(distinct)[which]
-        stretches = [_shown([w.as_py() for w in words[heads[k] : heads[k + 1] if k + 1 < len(heads) else len(words)]]) for k in joined.tolist()]
-        self.numbers(list(dict.fromkeys(stretches)), self.slow)
-        parts[joined] = 0
-        parts[joined, 1] = [self.number[s] for s in stretches]
+        size = np.diff(np.append(heads, len(words)))
+        joined = size > 1
+        run = which[heads].astype(np.int64)
+        used = np.zeros(len(distinct), bool)
+        used[run[~joined]] = True
+        rest = iter(_strings(words.filter(pa.array(np.repeat(joined, size)))))
+        stretches = Numbers()
+        run[joined] = [len(distinct) + stretches[_shown(list(islice(rest, n)))] for n in size[joined].tolist()]
+        parts = np.zeros((len(distinct) + len(stretches), 3), np.int64)
+        parts[: len(distinct)][used] = self._parts(distinct.filter(pa.array(used)))
+        parts[len(distinct) :, 1] = self.numbers(list(stretches), self.slow)
         runs = self.known.take(parts.ravel())
-        found = Ragged(runs.ids, runs.ends[::3]).joined(np.searchsorted(heads, ends))
+        found = Ragged(runs.ids, runs.ends[::3]).take(run).joined(np.searchsorted(heads, ends))
+        if len(self.number) > REMEMBERED or self.held > REMEMBERED * CHARACTERS:
+            self.forget()
         if not odd.any():
             return found
         ids = [np.array(self.slow(t), "<u4") if whole else found.ids[a:b] for t, whole, a, b in zip(texts.to_pylist(), odd, found.ends[:-1], found.ends[1:], strict=True)]
@@ -114,17 +160,22 @@ class ByteEncoder(Encoder):
         parts = np.zeros((len(words), 3), np.int64)
         lines = pc.fill_null(pc.equal(found.field("before"), LINE), False).to_numpy(zero_copy_only=False)
         parts[plain & lines, 0] = self.numbers(["\n"], self.slow)[0]
-        spaced = pc.binary_join_element_wise(pc.if_else(pc.equal(found.field("before"), ""), self.space, ""), found.field("stem"), "")
+        spaced = pc.binary_join_element_wise(pc.if_else(pc.equal(found.field("before"), ""), " ", ""), found.field("stem"), "")
         simple = plain & pc.fill_null(pc.string_is_ascii(found.field("stem")), False).to_numpy(zero_copy_only=False)
         for at, which, column, how in ((1, simple, spaced, self.ready), (1, plain & ~simple, spaced, self.fast), (2, plain, found.field("marks"), self.slow)):
             coded = column.filter(pa.array(which)).dictionary_encode()
             if len(coded):
-                parts[which, at] = self.numbers(coded.dictionary.to_pylist(), how)[coded.indices.to_numpy()]
-        others = words.filter(pa.array(~plain)).to_pylist()
+                parts[which, at] = self.numbers(_strings(coded.dictionary), how)[coded.indices.to_numpy()]
+        others = _strings(words.filter(pa.array(~plain)))
         parts[~plain, 1] = self.numbers([_shown([w]) for w in others], self.slow)
         return parts
 
 
+def _strings(texts: pa.Array) -> list[str]:
+    """What `to_pylist` gives for texts without nulls, about six times faster, since no scalar is made for each."""
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
 def _shown(words: list[str]) -> str:
     """The stretch of text that these words of a split stand for."""
     return "".join(w[1:] if w.startswith(FIRST) else "\n" + w[1:] if w.startswith(LINE) else " " + w for w in words)
@@ -161,7 +212,6 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
             arrays = [part.column("id").take(pa.array(taken, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "start", "length", "doc_tokens", "ids_crc32", "ids", "task", "nth"])
-        encoder(tokenizer).clear()
 
     return df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {PIECES}")
 

@@ -33,6 +33,34 @@ def test_encoder_equals_the_library(tokenizer):
         assert found.ids[found.ends[k] : found.ends[k + 1]].tolist() == ids_of(tokenizer, t)[:-1], repr(t)
 
 
+def test_frequent_words_stay_known(tokenizer, monkeypatch):
+    """When more words came than may be remembered, those met often are not encoded again, and the rest is forgotten."""
+    monkeypatch.setattr(bp, "REMEMBERED", 60)
+    own, coded, rng = bp.ByteEncoder(PATH), Counter(), random.Random(4)
+    plain = own.ready
+    monkeypatch.setattr(own, "ready", lambda w: coded.update([w.lstrip(" Ġ")]) or plain(w))
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(12))
+    often = [word() for _ in range(25)]
+    for k in range(40):
+        texts = [" ".join(["É", *often, *(word() for _ in range(20))]), f"a  {k} \n\t{'x y  ' * 40}{k}" if k % 3 else ""]
+        found = own.encode(pa.array(texts))
+        for t, a, b in zip(texts, found.ends[:-1], found.ends[1:], strict=True):
+            assert found.ids[a:b].tolist() == ids_of(tokenizer, t)[:-1]
+        assert len(own.number) <= 60 and len(own.known.ends) == len(own.number) + 1
+    assert max(coded[w] for w in often) == 1
+
+
+def test_memory_holds_when_every_word_is_frequent_or_long(tokenizer, monkeypatch):
+    monkeypatch.setattr(bp, "REMEMBERED", 40)
+    own, rng = bp.ByteEncoder(PATH), random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [" ".join(word(12) for _ in range(50)), *(word(3000) for _ in range(3))]
+    for _ in range(9):
+        found = own.encode(pa.array(texts))
+        assert [found.ids[a:b].tolist() for a, b in zip(found.ends[:-1], found.ends[1:], strict=True)] == [ids_of(tokenizer, t)[:-1] for t in texts]
+        assert len(own.number) <= 40 and sum(map(len, own.number)) <= 40 * 16
+
+
 def one_by_one(lengths, capacity, cost):
     """Descending pieces, each into the cheapest sequence with room; what fits nowhere is cut at the roomiest. Sequences' costs."""
     total = sum(lengths)
