@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from docfields.operators import layout
+from docfields.operators import extraction, layout
 from docfields.plans import registry
 from docfields.sources import files
 
@@ -33,3 +33,18 @@ def test_paths_that_give_nothing_are_looked_up(spark):
     assert sorted(got) == [1, 2, 7] and got[1].words is None and got[2].paragraphs == [] and got[2].page_number == 1
     assert [w and (w.content, w.confidence) for w in got[2].words] == [("5", None), None, None]
     assert sorted(r.reason for r in aside.collect()) == ["document_id is no bigint", "lines is no list", "no document_id", "page_number is no int", "tables is no list"]
+
+
+def test_a_run_over_dealt_analyses_deals_no_boxes(spark, monkeypatch):
+    plans, written = {}, extraction.bucketed
+
+    def spy(df, name, key, buckets, exchange=True):
+        plans[name] = (exchange, df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name, key, buckets, exchange)
+
+    monkeypatch.setattr(extraction, "bucketed", spy)
+    assert registry.QUERIES["located_fields"](spark, "/root/testdata/sf0.001").count()
+    exchange, shown = plans["analyses"]
+    # The one exchange is of texts, below what makes boxes of them; pages are decoded a few at a time.
+    assert not exchange and shown.count("Exchange") == 1 and shown.index("Generate") < shown.index("Exchange")
+    assert int(extraction.SETTINGS["spark.sql.parquet.columnarReaderBatchSize"]) < 1000
